@@ -23,7 +23,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import cut, slices
-from lodestar.llm.tokens import PieceEncoder, public_path
+from lodestar.llm.tokens import encoder, public_path
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -31,25 +31,26 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """One row a piece: the first piece of a document takes what whole pieces leave over."""
     schema = PIECE_SCHEMA + (", ids binary" if with_ids else "")
-    end = int(end_id).to_bytes(4, "little")
+    end = np.array([end_id], "<u4")
 
     def run(batches):
         import pyarrow as pa
 
-        encoder = PieceEncoder(tokenizer, keeps_space=True)
+        tokens = encoder(tokenizer, keeps_space=True)
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            for part in slices(batch, 2 << 20):
+            for part in slices(batch, 6 << 20):
                 cols: list[list] = [[] for _ in range(5 + with_ids)]
-                texts = [t.decode("utf-8", "replace") for t in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                    ids += end
-                    at, piece, step = 0, 0, (len(ids) // 4) % capacity or capacity
-                    while at * 4 < len(ids):
-                        data = ids[at * 4 : (at + step) * 4]
+                ids, starts = tokens.encode(part.column(1).cast(pa.string()))
+                for doc, a, b in zip(part.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    n = b - a + 1
+                    own = memoryview(np.concatenate([ids[a:b], end])).cast("B")
+                    at, piece, step = 0, 0, n % capacity or capacity
+                    while at < n:
+                        data = own[at * 4 : (at + step) * 4]
                         for c, v in zip(cols, (doc, piece, at, step, zlib.crc32(data), data), strict=False):
                             c.append(v)
                         at, piece, step = at + step, piece + 1, capacity
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=[x.split()[0] for x in schema.split(", ")])
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import scratch, slices
-from lodestar.llm.tokens import PieceEncoder, public_path
+from lodestar.llm.tokens import encoder, public_path
 
 MAGIC, BLOCK, SPAN = b"DACS0001", 1 << 20, 512
 FOOTER = struct.Struct("<QQQQQ8s")  # documents, ids, blocks, place of document index, place of block index, magic
@@ -185,14 +185,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         store.create_dir(base, recursive=True)
         pid, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         path, part = f"{base}/part-{pid:06d}.dac", f"{base}/.part-{pid:06d}-{attempt}"
-        writer, encoder = None, None
+        writer = None
         for batch in batches:
-            for rows in slices(batch, 2 << 20):
-                encoder = encoder or PieceEncoder(tokenizer, keeps_space=False)
+            for rows in slices(batch, 6 << 20):
                 writer = writer or FileWriter(store.open_output_stream(part))
-                texts = [t.decode("utf-8", "replace") for t in rows.column(1).to_pylist()]
-                for doc, ids in zip(rows.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                    writer.add(doc, np.concatenate([np.frombuffer(ids, "<u4"), end]))
+                ids, starts = encoder(tokenizer, keeps_space=False).encode(rows.column(1).cast(pa.string()))
+                for doc, a, b in zip(rows.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    writer.add(doc, np.concatenate([ids[a:b], end]))
         if writer:
             writer.close()
             store.move(part, path)

@@ -2,52 +2,137 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from array import array
 
-#: Two neighbouring white-space characters: such a text is encoded in one piece.
-IRREGULAR = re.compile(r"\s\s")
+import numpy as np
+
+#: Two neighbouring white-space characters, or the sign put before a text: such a text is encoded in one piece. (RE2)
+IRREGULAR = r"[\s\x0b\x1c-\x1f\x{85}\pZ][\s\x0b\x1c-\x1f\x{85}\pZ]|\x02"
+#: A new piece's cut into letters, digits, line ends and the rest; apostrophes and white space may bind, so they are left alone.
+PARTS = re.compile(r"[^\W\d_]+|[^\w\s']+|\n")
+FIRST, MARK = "\x02", "\x01"
+SPECIAL = re.compile(r"[\x01\x02]|<\|")
 
 
 class PieceEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
+    """Ids of texts as unsigned 32-bit numbers.
 
     Both vocabularies cut a text before they merge, and never across a single space: the cut takes
     a space together with the word behind it, or drops it. So a text is the sum of its
-    space-separated pieces, and each piece's ids are remembered. Texts with runs of white
-    space go through the library whole. At `limit` pieces the memory starts anew.
+    space-separated pieces. A batch's pieces are numbered once, and each piece's ids are remembered. New
+    pieces are encoded together, in one text. Texts with runs of white space go through the library
+    whole. Beyond `limit` pieces the half that was met first stays, which holds the frequent ones.
     """
 
-    def __init__(self, path: str, keeps_space: bool, limit: int = 400_000):
+    def __init__(self, path: str, keeps_space: bool, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.lead, self.limit = Tokenizer.from_file(path), " " if keeps_space else "", limit
+        self.tokenizer, self.keeps_space, self.limit = Tokenizer.from_file(path), keeps_space, limit
         self.memo: dict[str, bytes] = {}
+        if keeps_space:
+            self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+        else:
+            (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.inner: dict[str, bytes] = {"\n": self.whole(["\n"])[0]}  # parts without a space in front
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if IRREGULAR.search(t) else t.split(" ") for t in texts]
-        if len(self.memo) > self.limit:
-            self.memo = {}
-        memo = self.memo
-        regular = [p for p in split if p]
-        missing = list(set().union(*[p[1:] if self.lead else p for p in regular]) - memo.keys()) if regular else []
-        memo.update(zip(missing, self._whole([self.lead + p for p in missing]), strict=True))
-        whole = iter(self._whole([t for t, p in zip(texts, split, strict=True) if p is None]))
-        first = iter(self._whole([p[0] for p in regular]) if self.lead else [])
-        get, out = memo.__getitem__, []
-        for p in split:
-            if p is None:
-                out.append(next(whole))
-            elif self.lead:
-                out.append(next(first) + b"".join(map(get, p[1:])))
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without inner spaces (a space in front where kept), from one text of them all."""
+        if not pieces:
+            return []
+        joined = f" {' '.join(pieces)}" if self.keeps_space else f" {MARK} ".join(pieces)
+        ids = array("I", self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids)
+        data, values = ids.tobytes(), np.frombuffer(ids, np.uint32)
+        if self.keeps_space:
+            starts = np.flatnonzero(self.begins[values])
+            ends = np.append(starts[1:], len(values))
+        else:
+            cuts = np.flatnonzero(values == self.mark)
+            starts, ends = np.append(0, cuts + 1), np.append(cuts, len(values))
+        if len(starts) != len(pieces):
+            return self.whole([(" " if self.keeps_space else "") + p for p in pieces])
+        return [data[a:b] for a, b in zip((starts * 4).tolist(), (ends * 4).tolist(), strict=True)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember the ids of new pieces; a piece that begins a text has FIRST in front."""
+        memo, lead = self.memo, " " if self.keeps_space else ""
+        heads = dict.fromkeys(filter(str.isalpha, pieces))
+        # letters followed by signs and line ends: each part has its own ids, only the first takes the space
+        cut, alone, tails = [], [], {}
+        for p in itertools.filterfalse(str.isalpha, pieces):
+            parts = PARTS.findall(p)
+            if parts and parts[0] != "\n" and sum(map(len, parts)) == len(p) and p[-1] != "\n" and not SPECIAL.search(p):
+                cut.append((p, parts))
+                heads[parts[0]] = None
+                tails.update(dict.fromkeys(parts[1:]))
+            elif p and not p[0].isspace() and not p[-1].isspace() and not SPECIAL.search(p):
+                heads[p] = None
             else:
-                out.append(b"".join(map(get, p)))
-        return out
+                alone.append(p)
+        memo.update(zip(alone, self.whole([p[1:] if p[:1] == FIRST else lead + p for p in alone]), strict=True))
+        heads = [p for p in heads if p not in memo]
+        memo.update(zip(heads, self._together(heads), strict=True))
+        if len(self.inner) > self.limit // 4:
+            self.inner = {"\n": self.whole(["\n"])[0]}
+        tails = [p for p in tails if p not in self.inner]
+        self.inner.update(zip(tails, self.whole(tails) if self.keeps_space else self._together(tails), strict=True))
+        for p, parts in cut:
+            memo[p] = memo[parts[0]] + b"".join([self.inner[x] for x in parts[1:]])
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of an Arrow array of texts end to end, and where each text begins (one more for the end)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        odd = np.flatnonzero(pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False)).tolist()
+        regular = texts
+        if odd:
+            plain = texts.to_pylist()
+            for i in odd:
+                plain[i] = ""
+            regular = pa.array(plain, pa.string())
+        split = pc.split_pattern(pc.binary_join_element_wise(FIRST, regular, "") if self.keeps_space else regular, " ")
+        flat = split.flatten().dictionary_encode()
+        distinct = flat.dictionary.to_pylist()
+        if len(self.memo) > self.limit:
+            self.memo = dict(itertools.islice(self.memo.items(), self.limit // 2))
+        found = list(map(self.memo.get, distinct))
+        absent = [i for i, ids in enumerate(found) if ids is None]
+        self._learn([distinct[i] for i in absent])
+        for i in absent:
+            found[i] = self.memo[distinct[i]]
+        pool = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        which = flat.indices.to_numpy()
+        n = size[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat((np.cumsum(size) - size)[which] - ends[:-1], n) + np.arange(ends[-1])]
+        offsets = split.offsets.to_numpy()
+        starts = ends[offsets - offsets[0]]
+        if not odd:
+            return ids, starts
+        pieces = [ids[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        for i, data in zip(odd, self.whole(texts.take(pa.array(odd)).to_pylist()), strict=True):
+            pieces[i] = np.frombuffer(data, "<u4")
+        return np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+
+
+_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
+
+
+def encoder(path: str, keeps_space: bool) -> PieceEncoder:
+    """The encoder of this worker, with what it remembers from earlier tasks."""
+    key = (path, keeps_space)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PieceEncoder(path, keeps_space)
+    return _ENCODERS[key]
 
 
 def public_path(name: str) -> str:
