@@ -9,12 +9,13 @@ from array import array
 
 import numpy as np
 
-#: Two neighbouring white-space characters, or the sign put before a text: such a text is encoded in one piece. (RE2)
-IRREGULAR = r"[\s\x0b\x1c-\x1f\x{85}\pZ][\s\x0b\x1c-\x1f\x{85}\pZ]|\x02"
-#: A new piece's cut into letters, digits, line ends and the rest; apostrophes and white space may bind, so they are left alone.
-PARTS = re.compile(r"[^\W\d_]+|[^\w\s']+|\n")
+#: Two neighbouring white-space characters, the sign put before a text, or the start of an added token's name:
+#: such a text is encoded in one piece. (RE2)
+IRREGULAR = r"[\s\x0b\x1c-\x1f\x{85}\pZ][\s\x0b\x1c-\x1f\x{85}\pZ]|\x02|<\|"
+#: A new piece's cut into letters, ASCII signs and line ends. Pieces with anything else, apostrophes too, are left alone.
+PARTS = re.compile(r"[^\W\d_]+|[!-&(-/:-@\[-^`{-~]+|\n")
 FIRST, MARK = "\x02", "\x01"
-SPECIAL = re.compile(r"[\x01\x02]|<\|")
+SPECIAL = re.compile(r"[\x01\x02]")
 
 
 class PieceEncoder:
@@ -27,7 +28,7 @@ class PieceEncoder:
     whole. Beyond `limit` pieces the half that was met first stays, which holds the frequent ones.
     """
 
-    def __init__(self, path: str, keeps_space: bool, limit: int = 1_000_000):
+    def __init__(self, path: str, keeps_space: bool, limit: int = 850_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -68,7 +69,7 @@ class PieceEncoder:
         cut, alone, tails = [], [], {}
         for p in itertools.filterfalse(str.isalpha, pieces):
             parts = PARTS.findall(p)
-            if parts and parts[0] != "\n" and sum(map(len, parts)) == len(p) and p[-1] != "\n" and not SPECIAL.search(p):
+            if parts and parts[0] != "\n" and sum(map(len, parts)) == len(p) and p[-1] != "\n" and (p.isascii() or all(x.isascii() or x.isalpha() for x in parts)):
                 cut.append((p, parts))
                 heads[parts[0]] = None
                 tails.update(dict.fromkeys(parts[1:]))
@@ -98,7 +99,8 @@ class PieceEncoder:
             for i in odd:
                 plain[i] = ""
             regular = pa.array(plain, pa.string())
-        split = pc.split_pattern(pc.binary_join_element_wise(FIRST, regular, "") if self.keeps_space else regular, " ")
+        # the other vocabulary is lower case, so A-Z may be folded before pieces are told apart
+        split = pc.split_pattern(pc.binary_join_element_wise(FIRST, regular, "") if self.keeps_space else pc.ascii_lower(regular), " ")
         flat = split.flatten().dictionary_encode()
         distinct = flat.dictionary.to_pylist()
         if len(self.memo) > self.limit:
