@@ -32,54 +32,43 @@ WINDOW, GRAM = 35, 8
 BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F)
 MIX = 0xD6E8FEB86659FD93
 BLOCK = 1 << 20  # cells of a row that travel together
+SLICE = 2 << 20  # bytes of text hashed at once
 
 
-class Vocabulary(dict):
-    """word -> number, with a 128-bit hash of each; starts anew beyond `limit` words."""
-
-    def __init__(self, limit: int = 500_000):
-        from array import array
-
-        self.limit, self.low, self.high = limit, array("Q"), array("Q")
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = xxhash.xxh3_128_intdigest(word)
-        self.low.append(h & 0xFFFFFFFFFFFFFFFF)
-        self.high.append(h >> 64)
-        self[word] = number = len(self)
-        return number
-
-    def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) > self.limit:
-            self.__init__(self.limit)
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return np.array(self.low, np.uint64)[ids], np.array(self.high, np.uint64)[ids]
+#: 64 random bits for each byte; all white space counts as one space.
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+VALUE = np.random.default_rng(20240607).integers(0, 1 << 64, 256, np.uint64)
+VALUE[SPACE] = VALUE[32]
 
 
 class Windows:
-    """Rolling hashes over the words of some texts laid end to end."""
+    """Rolling hashes over the words of some texts (UTF-8 bytes) laid end to end.
+
+    White space is brought to one space a word, so the hash of words i to j is that of a byte range: the
+    sum of VALUE times powers of a base, modulo 2**64, moved to power 0.
+    """
 
     powers: dict[int, np.ndarray] = {}
 
-    def __init__(self, split: list[list[bytes]], vocabulary: Vocabulary, width: int = WINDOW):
-        self.n = np.array([len(w) for w in split], np.int64)
-        self.starts = np.cumsum(self.n) - self.n
-        flat = [x for w in split for x in w]
-        self.words = vocabulary.hashes(flat)
-        self.width = width
-        total = len(flat)
-        room = np.repeat(self.starts + self.n, self.n) - np.arange(total)
-        self.valid = room >= width  # a window begins here
+    def __init__(self, texts: list[bytes], width: int = WINDOW):
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        space = SPACE[raw]
+        before = np.append(True, space[:-1])
+        ends = np.flatnonzero(space & ~before)  # the sign behind each word
+        self.data = raw[~space | ~before]
+        self.stop = np.flatnonzero(SPACE[self.data])
+        self.begin = np.append(0, self.stop[:-1] + 1)[: len(self.stop)]
+        closed = np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts]) - 1, "right")
+        self.starts = np.append(0, closed[:-1])
+        self.n = closed - self.starts
+        self.width, total = width, len(self.stop)
+        self.sums: dict[int, np.ndarray] = {}
+        self.grams, self.anchor_at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if total >= width:
-            grams = self.roll(0, GRAM)
-            self.anchor_at = self._argmin(grams, width - GRAM + 1)
-            self.grams = grams
-        else:
-            self.anchor_at = np.zeros(0, np.int64)
-            self.grams = np.zeros(0, np.uint64)
-        self.valid = self.valid[: len(self.anchor_at)]
+            self.grams = self.roll(0, GRAM)
+            self.anchor_at = self._argmin(self.grams, width - GRAM + 1)
+        room = np.repeat(closed, self.n) - np.arange(total)
+        self.valid = (room >= width)[: len(self.anchor_at)]  # a window begins here
 
     @classmethod
     def _power(cls, base: int, n: int) -> np.ndarray:
@@ -90,17 +79,24 @@ class Windows:
             cls.powers[base] = have = np.multiply.accumulate(steps)
         return have[:n]
 
-    def roll(self, which: int, size: int) -> np.ndarray:
-        """Polynomial hash modulo 2**64 of every `size` words in a row."""
-        h, base = self.words[which], BASES[which]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * self._power(base, len(h)))])
-        n = len(h) - size + 1
-        inverse = pow(base, -1, 1 << 64)
-        out = (total[size:] - total[:n]) * self._power(inverse, n)
+    def roll(self, which: int, size: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of `size` words from each word (or those `at`) on."""
+        base = BASES[which]
+        if which not in self.sums:
+            own = VALUE[self.data] * self._power(base, len(self.data))
+            self.sums[which] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own, out=own)])
+        total, n = self.sums[which], len(self.stop) - size + 1
+        first, last = (self.begin[:n], self.stop[size - 1 :]) if at is None else (self.begin[at], self.stop[at + size - 1])
+        out = (total[last] - total[first]) * self._power(pow(base, -1, 1 << 64), len(self.data))[first]
         out ^= out >> np.uint64(29)
         out *= np.uint64(MIX)
         return out ^ (out >> np.uint64(32))
 
+    def plain(self) -> list[bytes]:
+        """Each text's words joined by one space."""
+        data = np.where(SPACE[self.data], np.uint8(32), self.data).tobytes()
+        return [data[self.begin[a] : self.stop[a + n - 1]] if n else b"" for a, n in zip(self.starts.tolist(), self.n.tolist(), strict=True)]
+
     @staticmethod
     def _argmin(values: np.ndarray, size: int) -> np.ndarray:
         """Place of the leftmost smallest value in every `size` values in a row."""
@@ -156,10 +152,6 @@ class Sketch:
         return out
 
 
-def _texts(part, column: int) -> list[list[bytes]]:
-    return [t.split() for t in part.column(column).to_pylist()]
-
-
 def build_sketch(docs: DataFrame, width: int, max_bits: int) -> Sketch:
     """The merged sketch of all documents' anchors."""
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -168,10 +160,9 @@ def build_sketch(docs: DataFrame, width: int, max_bits: int) -> Sketch:
     def count(batches):
         import pyarrow as pa
 
-        vocabulary = Vocabulary()
         for batch in batches:
-            for part in slices(batch, 4 << 20):
-                rows = cells(Windows(_texts(part, 0), vocabulary, width).anchors(), bits)
+            for part in slices(batch, SLICE):
+                rows = cells(Windows(part.column(0).to_pylist(), width).anchors(), bits)
                 met, n = np.unique(np.concatenate([rows[0], rows[1] + (1 << bits)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n.astype(np.int64))], names=["cell", "n"])
 
@@ -197,7 +188,7 @@ def _window_rows(docs: DataFrame, sketch, width: int, flush: int = 2_000_000) ->
     def scan(batches):
         import pyarrow as pa
 
-        vocabulary, held, size = Vocabulary(), [], 0
+        held, size = [], 0
         names = ["h1", "h2", "t1", "t2", "at", "n"]
 
         def emit():
@@ -223,13 +214,13 @@ def _window_rows(docs: DataFrame, sketch, width: int, flush: int = 2_000_000) ->
 
         number = 0
         for batch in batches:
-            for part in slices(batch, 4 << 20):
-                w = Windows(_texts(part, 2), vocabulary, width)
+            for part in slices(batch, SLICE):
+                w = Windows(part.column(2).to_pylist(), width)
                 starts = w.estimated(sketch.value)
                 if len(starts):
-                    doc = np.searchsorted(w.starts, starts, "right") - 1
+                    doc = np.searchsorted(w.starts + w.n, starts, "right")
                     t = [part.column(k).to_numpy()[doc] for k in (0, 1)]
-                    held.append((w.roll(0, width)[starts].view(np.int64), w.roll(1, width)[starts].view(np.int64), *t, starts - w.starts[doc], doc + number))
+                    held.append((w.roll(0, width, starts).view(np.int64), w.roll(1, width, starts).view(np.int64), *t, starts - w.starts[doc], doc + number))
                     size += len(starts)
                 number += part.num_rows
                 if size > flush:
@@ -279,15 +270,14 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = WINDOW,
     def settle(batches):
         import pyarrow as pa
 
-        vocabulary = Vocabulary()
         for batch in batches:
-            for part in slices(batch, 4 << 20):
-                split = _texts(part, 3)
-                w = Windows(split, vocabulary, width)
-                open_ = np.zeros(len(split), bool)
-                open_[np.searchsorted(w.starts, w.estimated(sketch.value), "right") - 1] = True
-                texts = [t if o else (b" ".join(s) if with_text else hashlib.sha256(b" ".join(s)).hexdigest().encode()) for t, o, s in zip(part.column(3).to_pylist(), open_, split, strict=True)]
-                n = pa.array([None if o else len(s) for o, s in zip(open_, split, strict=True)], pa.int64())
+            for part in slices(batch, SLICE):
+                raw = part.column(3).to_pylist()
+                w = Windows(raw, width)
+                open_ = np.zeros(len(raw), bool)
+                open_[np.searchsorted(w.starts + w.n, w.estimated(sketch.value), "right")] = True
+                texts = [t if o else (p if with_text else hashlib.sha256(p).hexdigest().encode()) for t, o, p in zip(raw, open_, w.plain(), strict=True)]
+                n = pa.array([None if o else k for o, k in zip(open_, w.n.tolist(), strict=True)], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(texts, pa.binary()), n], names=["doc_id", "t1", "t2", "text", "n_words"])
 
     def finish(batches):
