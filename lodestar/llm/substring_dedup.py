@@ -4,7 +4,7 @@ Every window has an anchor: the smallest hash among its 8-word grams. Equal wind
 anchors at different places, so an anchor is counted at least as often as any window it stands for,
 at a fourteenth of the cost. Partitions' anchor counts go into a count-min sketch, which is
 merged by cell; it overestimates, so a window with an estimate below two is unique. The second pass
-groups exactly the windows estimated repeated, by 128-bit hashes of their words. None is lost.
+groups exactly the windows estimated repeated, by 96-bit hashes of their words. None is lost.
 
 What reaches driver and workers is one bit a cell (estimate of two or more), with a width that
 follows the input up to 2**max_bits cells a row; a fuller sketch sends more windows to the second pass
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import cut, slices
+from lodestar.llm.common import slices
 
 WINDOW, GRAM = 35, 8
 BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F)
@@ -179,10 +179,10 @@ def build_sketch(docs: DataFrame, width: int, max_bits: int) -> Sketch:
 
 
 def _window_rows(docs: DataFrame, sketch, width: int, flush: int = 2_000_000) -> DataFrame:
-    """Windows estimated repeated.
+    """Windows estimated repeated, by the 96 leading bits of their hashes.
 
-    h set, t set: the only occurrence in its task. h set, t null: several there. h null: a run of `n` window
-    starts from `at` on whose windows repeat within the task.
+    n = 0: the only occurrence in its task, or with `at` null a window that occurs several times there.
+    n > 0: a run of n window starts from `at` on whose windows repeat within the task; its hash is of its own.
     """
 
     def scan(batches):
@@ -200,17 +200,17 @@ def _window_rows(docs: DataFrame, sketch, width: int, flush: int = 2_000_000) ->
             twice[order] = ~head | np.append(same, False)
             first = order[head & np.append(same, False)]
             once = ~twice
-            yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in (h1, h2, t1, t2)] + [pa.array(at[once].astype(np.int32)), pa.array(np.ones(once.sum(), np.int32))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in (h1, h2, t1, t2, at)] + [pa.array(np.zeros(once.sum(), np.int32))], names=names)
             k = len(first)
-            yield pa.RecordBatch.from_arrays([pa.array(h1[first]), pa.array(h2[first]), *[pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(h1[first]), pa.array(h2[first]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.array(np.zeros(k, np.int32))], names=names)
             place = np.flatnonzero(twice)
             if len(place):
                 new = np.append(True, (np.diff(at[place]) != 1) | (np.diff(doc[place]) != 0))
                 begin = np.flatnonzero(new)
                 runs = np.diff(np.append(begin, len(place)))
                 p = place[begin]
-                cols = [pa.nulls(len(p), pa.int64())] * 2 + [pa.array(t1[p]), pa.array(t2[p]), pa.array(at[p].astype(np.int32)), pa.array(runs.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                own = [t1[p] ^ at[p], t2[p], t1[p], t2[p], at[p], runs.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in own], names=names)
 
         number = 0
         for batch in batches:
@@ -220,7 +220,8 @@ def _window_rows(docs: DataFrame, sketch, width: int, flush: int = 2_000_000) ->
                 if len(starts):
                     doc = np.searchsorted(w.starts + w.n, starts, "right")
                     t = [part.column(k).to_numpy()[doc] for k in (0, 1)]
-                    held.append((w.roll(0, width, starts).view(np.int64), w.roll(1, width, starts).view(np.int64), *t, starts - w.starts[doc], doc + number))
+                    second = (w.roll(1, width, starts) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    held.append((w.roll(0, width, starts).view(np.int64), second, *t, (starts - w.starts[doc]).astype(np.int32), doc + number))
                     size += len(starts)
                 number += part.num_rows
                 if size > flush:
@@ -229,21 +230,20 @@ def _window_rows(docs: DataFrame, sketch, width: int, flush: int = 2_000_000) ->
         if held:
             yield from emit()
 
-    return docs.select("t1", "t2", "text").mapInArrow(scan, "h1 long, h2 long, t1 long, t2 long, at int, n int")
+    return docs.select("t1", "t2", "text").mapInArrow(scan, "h1 long, h2 int, t1 long, t2 int, at int, n int")
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(F.col("`doc_id`").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.cast("binary").alias("text"))
+    return docs.select(F.col("`doc_id`").alias("doc_id"), F.xxhash64(text).alias("t1"), F.hash(F.lit(1), text).alias("t2"), text.cast("binary").alias("text"))
 
 
 def repeated_runs(docs: DataFrame, width: int = WINDOW, max_bits: int = 29) -> tuple[DataFrame, object]:
     """(t1, t2, runs) of every text with repeated windows, and the broadcast sketch."""
     sketch = docs.sparkSession.sparkContext.broadcast(build_sketch(docs, width, max_bits))
-    rows = cut(_window_rows(docs, sketch, width), "op8-windows")
-    met = rows.where("h1 is not null").withColumn("met", F.count("*").over(Window.partitionBy("h1", "h2"))).where("met > 1 and t1 is not null")
-    runs = met.select("t1", "t2", "at", "n").unionByName(rows.where("h1 is null").select("t1", "t2", "at", "n"))
-    runs = runs.groupBy("t1", "t2", "at").agg(F.max("n").alias("n"))
+    met = F.count("*").over(Window.partitionBy("h1", "h2"))
+    rows = _window_rows(docs, sketch, width).withColumn("met", met).where("at is not null and (n > 0 or met > 1)")
+    runs = rows.groupBy("t1", "t2", "at").agg(F.greatest(F.max("n"), F.lit(1)).alias("n"))
     return runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("at", "n")).alias("runs")), sketch
 
 
@@ -265,7 +265,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = WINDOW,
     keyed = _keyed(docs, text_col)
     runs, sketch = repeated_runs(keyed, width, **options)
     out = keyed.schema["doc_id"].dataType.simpleString()
-    middle = f"doc_id {out}, t1 long, t2 long, text binary, n_words long"
+    middle = f"doc_id {out}, t1 long, t2 int, text binary, n_words long"
 
     def settle(batches):
         import pyarrow as pa
