@@ -247,14 +247,11 @@ def repeated_runs(docs: DataFrame, width: int = WINDOW, max_bits: int = 29) -> t
     return runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("at", "n")).alias("runs")), sketch
 
 
-def _kept(words: list[bytes], runs, width: int) -> list[bytes]:
-    gone = np.zeros(len(words) + 1, np.int64)
-    at = np.array([r["at"] for r in runs], np.int64)
-    n = np.array([r["n"] for r in runs], np.int64)
-    np.add.at(gone, at, 1)
-    np.add.at(gone, at + n - 1 + width, -1)
-    stay = np.flatnonzero(np.cumsum(gone[:-1]) == 0)
-    return [words[i] for i in stay.tolist()]
+def _kept(words: list[bytes], at: np.ndarray, n: np.ndarray, width: int) -> list[bytes]:
+    """The words outside the windows of all runs."""
+    gone = np.bincount(at, minlength=len(words) + 1)[: len(words) + 1]
+    gone -= np.bincount(at + n - 1 + width, minlength=len(words) + 1)[: len(words) + 1]
+    return [words[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0).tolist()]
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = WINDOW, with_text: bool = False, **options) -> DataFrame:
@@ -284,22 +281,29 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = WINDOW,
         import pyarrow as pa
 
         for batch in batches:
-            cols: list[list] = [[], [], [], []]
-            for text, n, own in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
-                removed, kept = 0, None
-                if n is None:
-                    words = text.split()
-                    stay = _kept(words, own or [], width)
-                    n, removed, kept = len(words), len(words) - len(stay), b" ".join(stay)
-                elif with_text:
-                    kept = text
-                for c, v in zip(cols, (n, removed, text.decode() if kept is None else hashlib.sha256(kept).hexdigest(), kept), strict=True):
-                    c.append(v)
-            arrays = [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())]
-            arrays += [pa.array([k.decode("utf-8", "replace") for k in cols[3]], pa.string())] if with_text else []
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text])
-
-    settled = keyed.mapInArrow(settle, middle).join(runs, ["t1", "t2"], "left").select("doc_id", "text", "n_words", "runs")
+            for part in slices(batch, SLICE):
+                runs = part.column(2)
+                sizes = np.nan_to_num(runs.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+                ends = np.cumsum(sizes)
+                at, n_at = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in runs.flatten().flatten())
+                n_words, removed, digest, kept_text = [], [], [], []
+                for text, n, a, b in zip(part.column(3).to_pylist(), part.column(1).to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+                    gone, kept = 0, text
+                    if n is None:
+                        words = text.split()
+                        stay = _kept(words, at[a:b], n_at[a:b], width) if b > a else words
+                        n, gone, kept = len(words), len(words) - len(stay), b" ".join(stay)
+                        digest.append(hashlib.sha256(kept).hexdigest())
+                    else:
+                        digest.append(hashlib.sha256(text).hexdigest() if with_text else text.decode())
+                    n_words.append(n)
+                    removed.append(gone)
+                    kept_text.append(kept)
+                arrays = [part.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
+                arrays += [pa.array([k.decode("utf-8", "replace") for k in kept_text], pa.string())] if with_text else []
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text])
+
+    settled = keyed.mapInArrow(settle, middle).join(runs, ["t1", "t2"], "left").select("doc_id", "n_words", "runs", "text")
     return settled.mapInArrow(finish, f"doc_id {out}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
