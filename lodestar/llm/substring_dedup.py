@@ -239,18 +239,23 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, width: int = WINDOW, max_bits: int = 29) -> tuple[DataFrame, object]:
-    """(t1, t2, runs) of every text with repeated windows, and the broadcast sketch."""
+    """(t1, t2, gone) of every text with repeated windows, gone as intervals of words, and the broadcast sketch."""
     sketch = docs.sparkSession.sparkContext.broadcast(build_sketch(docs, width, max_bits))
     met = F.count("*").over(Window.partitionBy("h1", "h2"))
     rows = _window_rows(docs, sketch, width).withColumn("met", met).where("at is not null and (n > 0 or met > 1)")
     runs = rows.groupBy("t1", "t2", "at").agg(F.greatest(F.max("n"), F.lit(1)).alias("n"))
-    return runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("at", "n")).alias("runs")), sketch
-
-
-def _kept(words: list[bytes], at: np.ndarray, n: np.ndarray, width: int) -> list[bytes]:
-    """The words outside the windows of all runs."""
-    gone = np.bincount(at, minlength=len(words) + 1)[: len(words) + 1]
-    gone -= np.bincount(at + n - 1 + width, minlength=len(words) + 1)[: len(words) + 1]
+    # runs whose words touch become one interval of words, so what is joined to a text is short
+    along = Window.partitionBy("t1", "t2").orderBy("at")
+    last = F.max(F.col("at") + F.col("n") - 1).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("gap", (last.isNull() | (F.col("at") > last + width)).cast("int"))
+    runs = runs.withColumn("island", F.sum("gap").over(along))
+    runs = runs.groupBy("t1", "t2", "island").agg(F.min("at").alias("a"), (F.max(F.col("at") + F.col("n")) - 1 + width).alias("b"))
+    return runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("a", "b")).alias("gone")), sketch
+
+
+def _kept(words: list[bytes], begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """The words outside all intervals."""
+    gone = np.bincount(begin, minlength=len(words) + 1) - np.bincount(end, minlength=len(words) + 1)
     return [words[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0).tolist()]
 
 
@@ -282,16 +287,16 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = WINDOW,
 
         for batch in batches:
             for part in slices(batch, SLICE):
-                runs = part.column(2)
-                sizes = np.nan_to_num(runs.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+                gone_lists = part.column(2)
+                sizes = np.nan_to_num(gone_lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
                 ends = np.cumsum(sizes)
-                at, n_at = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in runs.flatten().flatten())
+                begin, end = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in gone_lists.flatten().flatten())
                 n_words, removed, digest, kept_text = [], [], [], []
                 for text, n, a, b in zip(part.column(3).to_pylist(), part.column(1).to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
                     gone, kept = 0, text
                     if n is None:
                         words = text.split()
-                        stay = _kept(words, at[a:b], n_at[a:b], width) if b > a else words
+                        stay = _kept(words, begin[a:b], end[a:b]) if b > a else words
                         n, gone, kept = len(words), len(words) - len(stay), b" ".join(stay)
                         digest.append(hashlib.sha256(kept).hexdigest())
                     else:
@@ -303,7 +308,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = WINDOW,
                 arrays += [pa.array([k.decode("utf-8", "replace") for k in kept_text], pa.string())] if with_text else []
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text])
 
-    settled = keyed.mapInArrow(settle, middle).join(runs, ["t1", "t2"], "left").select("doc_id", "n_words", "runs", "text")
+    settled = keyed.mapInArrow(settle, middle).join(runs, ["t1", "t2"], "left").select("doc_id", "n_words", "gone", "text")
     return settled.mapInArrow(finish, f"doc_id {out}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
