@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from lodestar.operators import retrieval, text, urls, warehouse  # noqa: F401
+from lodestar.operators.dialect import REGISTRY, Check, run
+from lodestar.plans import frames
+
+flagship = frames.flagship
+
 
 def queries() -> dict:
-    return {}
+    made = {name: (lambda spark, sf_dir, name=name: run(spark, sf_dir, name)) for name in REGISTRY}
+    return {**made, **frames.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**{name: build(Check()) for name, build in REGISTRY.items()}, **frames.oracle()}
