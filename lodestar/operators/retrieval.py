@@ -85,12 +85,14 @@ def pairs(d) -> str:
     ts = d.where(d.all("lower(content)", "[a-z][a-z0-9-]{3,}"), f"x NOT IN ({quoted(d, STOP_WORDS)})")
     return f"""{corpus(d)}, c AS (SELECT id, {ts} AS ts FROM corpus), t AS ({d.each('id', 'c', 'ts', 'w', 'pos')}),
 df AS (SELECT w, count(DISTINCT id) AS df FROM t GROUP BY w),
-co AS (SELECT least(a.w, b.w) AS x, greatest(a.w, b.w) AS y, count(*) AS n FROM t a JOIN t b ON a.id = b.id AND b.pos BETWEEN a.pos + 1 AND a.pos + 8 AND a.w <> b.w GROUP BY least(a.w, b.w), greatest(a.w, b.w))"""
+l AS (SELECT w, {', '.join(f'lead(w, {k}) OVER o AS l{k}' for k in range(1, 9))} FROM t WINDOW o AS (PARTITION BY id ORDER BY pos)),
+v AS ({d.each('w', 'l', d.list(*[f'l{k}' for k in range(1, 9)]), 'v', 'k')}),
+co AS (SELECT least(w, v) AS x, greatest(w, v) AS y, count(*) AS n FROM v WHERE v <> w GROUP BY least(w, v), greatest(w, v))"""
 
 
 @operator("agg_20")
 def document_frequency(d):
-    return f"WITH {pairs(d).split('co AS')[0].rstrip().rstrip(',')} SELECT w, df FROM df"
+    return f"WITH {pairs(d).split('l AS (SELECT w, lead')[0].rstrip().rstrip(',')} SELECT w, df FROM df"
 
 
 @operator("jn_13")

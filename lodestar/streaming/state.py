@@ -13,7 +13,7 @@ from lodestar.operators.store import folder
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a file stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
