@@ -178,7 +178,7 @@ def build_sketch(docs: DataFrame, width: int, max_bits: int) -> Sketch:
     return Sketch(bits, {r["block"]: bytes(r["bits"]) for r in blocks.collect()})
 
 
-def _window_rows(docs: DataFrame, sketch, width: int, flush: int = 2_000_000) -> DataFrame:
+def _window_rows(docs: DataFrame, sketch, width: int, flush: int = 1_000_000) -> DataFrame:
     """Windows estimated repeated, by the 96 leading bits of their hashes.
 
     n = 0: the only occurrence in its task, or with `at` null a window that occurs several times there.
