@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.operators import retrieval, text, urls, warehouse  # noqa: F401
+from lodestar.operators import retrieval, serving, text, urls, warehouse  # noqa: F401
 from lodestar.operators.dialect import REGISTRY, Check, run
 from lodestar.plans import frames
 
