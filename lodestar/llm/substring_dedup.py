@@ -32,7 +32,7 @@ WINDOW, GRAM = 35, 8
 BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F)
 MIX = 0xD6E8FEB86659FD93
 BLOCK = 1 << 20  # cells of a row that travel together
-SLICE = 2 << 20  # bytes of text hashed at once
+SLICE = 1 << 20  # bytes of text hashed at once
 
 
 #: 64 random bits for each byte; all white space counts as one space.
