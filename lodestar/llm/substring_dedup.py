@@ -241,9 +241,11 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
 def repeated_runs(docs: DataFrame, width: int = WINDOW, max_bits: int = 29) -> tuple[DataFrame, object]:
     """(t1, t2, gone) of every text with repeated windows, gone as intervals of words, and the broadcast sketch."""
     sketch = docs.sparkSession.sparkContext.broadcast(build_sketch(docs, width, max_bits))
-    met = F.count("*").over(Window.partitionBy("h1", "h2"))
-    rows = _window_rows(docs, sketch, width).withColumn("met", met).where("at is not null and (n > 0 or met > 1)")
-    runs = rows.groupBy("t1", "t2", "at").agg(F.greatest(F.max("n"), F.lit(1)).alias("n"))
+    rows = _window_rows(docs, sketch, width).repartition("h1", "h2")
+    # copies of a text count for their windows, then one row for each place in the text goes on
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("h1", "h2", "t1", "t2", "at").orderBy(F.desc("n"))))
+    rows = rows.withColumn("met", F.count("*").over(Window.partitionBy("h1", "h2")))
+    runs = rows.where("at is not null and copy = 1 and (n > 0 or met > 1)").select("t1", "t2", "at", F.greatest("n", F.lit(1)).alias("n"))
     # runs whose words touch become one interval of words, so what is joined to a text is short
     along = Window.partitionBy("t1", "t2").orderBy("at")
     last = F.max(F.col("at") + F.col("n") - 1).over(along.rowsBetween(Window.unboundedPreceding, -1))
