@@ -18,18 +18,38 @@ CATEGORY_KEYWORDS = {
 
 STRONG = [
     "as an? (?:ai|artificial intelligence|language model|assistant|llm)",
-    "please (?:let me know|feel free)",
+    "i(?:'m| am) (?:an?|a) (?:ai|language model|assistant|chatbot)",
+    "i (?:cannot|can't|am unable to) (?:browse|access the internet|view images|see images)",
+    "my (?:knowledge|training data) (?:cutoff|ends|is limited|goes up to)",
+    "let me (?:break this down|explain|help you|tell you|share|provide)",
+    "here(?:'s| is) (?:a|an|the) (?:comprehensive |quick |detailed |complete )?(?:summary|breakdown|overview|explanation|guide)",
+    "i (?:hope|would be happy) to (?:help|assist|elaborate|explain|clarify)",
+    "i (?:would|can) (?:be happy|love|glad) to (?:help|assist|elaborate)",
+    "please (?:let me know|feel free|don't hesitate)",
     "(?:great|excellent|good) question[!.]?",
     "to (?:summarize|summarise|wrap up|recap)\\b",
     "without further ado",
 ]
 
 WEAK = [
-    "when it comes to",
-    "the (?:key takeaway|bottom line) is",
-    "(?:journey|exploration) (?:into|through|of)",
+    "it(?:'s| is) important to (?:note|mention|consider|remember)",
+    "it(?:'s| is) worth noting that",
+    "here are (?:some|a few|the|several) (?:key|important|essential|notable|tips|ways|steps)",
     "harness(?:ing)? the (?:power|potential|capabilities)",
+    "(?:leverage|utilize|optimize|maximize) (?:the|this|that|your|our|its)",
+    "(?:robust|comprehensive|holistic|streamlined|seamless|intuitive|scalable) (?:approach|solution|framework|experience|interface|strategy|method)",
+    "(?:empower|enable|facilitate|enhance|streamline) (?:users|individuals|teams|businesses|your)",
+    "(?:delve|dive) (?:deeper|further|into|beneath)",
+    "(?:paint|shed) (?:a )?(?:better|clearer|more complete|a fuller) picture",
     "the (?:realm|domain|landscape|frontier|paradigm) of",
+    "let(?:'s| us) (?:explore|dive|delve|uncover|examine)",
+    "(?:journey|exploration) (?:into|through|of)",
+    "in today(?:'s|s) (?:fast-paced|digital|modern)",
+    "(?:unlock(?:ing)?|discover(?:ing)?|reveal(?:ing)?) (?:the|your|hidden|untapped)",
+    "(?:stay tuned|keep reading|read on|scroll down|continue reading|don't miss)",
+    "the (?:key takeaway|bottom line) is",
+    "when it comes to",
+    "it(?:'s| is) (?:not only|not just) about",
 ]
 
 TRANSITIONS = (
@@ -37,7 +57,7 @@ TRANSITIONS = (
     "hence likewise similarly meanwhile conversely alternatively"
 ).split()
 
-WEAK_HEDGES = ["perhaps", "possibly", "might", "could", "may", "arguably", "seemingly", "apparently", "presumably", "it seems", "it appears", "generally speaking", "broadly speaking", "in many cases", "in most cases"]
+HEDGES = ["perhaps", "possibly", "might", "could", "may", "arguably", "seemingly", "apparently", "presumably", "it seems", "it appears", "it could be argued", "one could argue", "it is worth noting", "it is important to note", "generally speaking", "broadly speaking", "in many cases", "in most cases"]
 
 LANGUAGE_WORDS = {
     "en": "the and of to in is that it for was with as".split(),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lodestar.operators.dialect import corpus, micro, operator
-from lodestar.operators.lexicon import CATEGORY_KEYWORDS, LANGUAGE_WORDS, STOP_WORDS, STRONG, TRANSITIONS, WEAK, WEAK_HEDGES
+from lodestar.operators.lexicon import CATEGORY_KEYWORDS, HEDGES, LANGUAGE_WORDS, STOP_WORDS, STRONG, TRANSITIONS, WEAK
 
 WORD = r"[^\s]+"
 CONTENT = "content"
@@ -249,7 +249,7 @@ def densities(d):
     w = d.each("id, content, n", "c", "ws", "w", "pos")
     fact = f"CASE WHEN {d.matches('w', '^[0-9]')} THEN 1 WHEN {d.matches('w', chr(94) + chr(92) + '[[0-9]+' + chr(92) + ']')} THEN 2 WHEN {d.matches('w', chr(94) + chr(92) + '([0-9]{4}' + chr(92) + ')')} THEN 2 WHEN substr(w, 1, 1) IN ('\"', '{chr(39) * 2 if d.name == 'check' else chr(92) + chr(39)}') THEN 1 ELSE 0 END"
     trans = f"CASE WHEN {d.replace('lower(w)', '[,.]+$', '')} IN ({quoted(d, TRANSITIONS)}) THEN 1 ELSE 0 END"
-    hedge = " + ".join(d.count("lower(content)", h) for h in WEAK_HEDGES)
+    hedge = " + ".join(d.count("lower(content)", h) for h in HEDGES)
     urls = d.count("content", r"https?://\S+")
     return f"""WITH {corpus(d)}, c AS (SELECT id, content, {words(d, 'content')} AS ws, {d.size(words(d, 'content'))} AS n FROM corpus), w AS ({w}),
 s AS (SELECT id, n, sum({fact}) AS facts, sum({trans}) AS transitions FROM w GROUP BY id, n),
