@@ -71,3 +71,47 @@ PROVIDER_WEIGHTS = {
     "local": 1.00, "duckdb": 0.98, "github": 0.95, "stack": 0.90, "wikipedia": 0.92, "wikidata": 0.90, "osm": 0.90, "openalex": 0.88, "crossref": 0.85, "yandex": 0.86,
     "yandex_images": 0.85, "products": 0.84, "youtube": 0.85, "hn": 0.84, "commons": 0.82, "rss": 0.82, "gdelt": 0.80, "openverse": 0.78, "ccindex": 0.72, "archive": 0.72,
 }
+
+STRUCTURE = [
+    r"(?:^|\n)#{1,3}\s+\d+[\.\)]\s+",
+    r"(?:^|\n)\*\*Step \d+",
+    r"(?:^|\n)[✅🔹📌💡🚀✨⭐🏷️📋📝🔍🎯📊📈⬇️➡️] ",
+    r"(?:^|\n)[-—] Step \d+",
+    r"(?:^|\n)\*\*\d+[\.\)]\s+\*\*",
+    r"(?:^|\n)[⚠️❗‼️] ",
+    r"(?:^|\n)[📱💻🔧🛠️⚙️🔑🔐💳] ",
+]
+
+PLATFORM = [
+    r"(?:generated|created|written|produced|drafted) by (?:openai|chatgpt|gpt-4o?|gpt-3\.5|claude|gemini|copilot)",
+    r"powered by (?:openai|chatgpt|gpt-4o?|claude|gemini|copilot)",
+    r"(?:ai|artificial intelligence)[ -]generated",
+    r"this (?:content|text|response|answer|article) was (?:generated|created|written|produced) by",
+    r"(?:written|composed|drafted) by an? (?:ai|language model|llm|chatbot)",
+    r"(?:an? )?(?:ai|chatbot|language model|llm) (?:wrote|composed|generated|produced|drafted) (?:this|the following)",
+]
+
+FORMATTING = [
+    r"(?:^|\n)#{1,2}\s+(?:Step|Phase|Stage|Part) \d+",
+    r"(?:^|\n)#{1,2}\s+(?:Introduction|Conclusion|Summary|Overview|FAQ|Key Takeaways)",
+    r"(?:^|\n)---+\s*$",
+    r"(?:^|\n)>\s+\*\*Note:\*\*|>\s+\*\*Important:\*\*|>\s+\*\*Tip:\*\*",
+    r"(?:^|\n)\|\s+.*\s+\|\s+.*\s+\|",
+]
+
+GENERIC_AUTHORS = ["admin", "administrator", "editor", "editorial team", "staff", "webmaster", "unknown", "guest", "user", "author"]
+
+SPAM_DOMAINS = (
+    "facebook.com fb.com fb.watch fbsbx.com instagram.com cdninstagram.com tiktok.com "
+    "essaypro.com essaywriter.net cheapessay.net grademiners.com studybay.com speedyessay.com essaybox.com essayoneday.com penmypaper.com papercoach.net writemypapers.org "
+    "jennifertimothyblog.com myblog-u.com blogbazooka.com masstamilan.in techybois.com techhub-news.com "
+    "aiwritershub.com chatgptwriter.com aicontentpro.com contentbot.ai writesonic.com jasper.ai rytr.me copy.ai peppertype.ai"
+).split()
+
+TRUSTED_DOMAINS = {
+    "wikipedia.org": 1.0, "britannica.com": 0.98, "stanford.edu": 0.97, "arxiv.org": 0.96, "nature.com": 0.98, "science.org": 0.98, "mit.edu": 0.97, "harvard.edu": 0.97, "yale.edu": 0.96,
+    "github.com": 0.90, "stackoverflow.com": 0.92, "mozilla.org": 0.95, "developer.mozilla.org": 0.96, "loc.gov": 0.98, "nasa.gov": 0.97, "gutenberg.org": 0.95, "archive.org": 0.95,
+    "ourworldindata.org": 0.96, "worldbank.org": 0.95, "khanacademy.org": 0.95, "ocw.mit.edu": 0.97, "mayoclinic.org": 0.97, "nhs.uk": 0.96, "scholarpedia.org": 0.95, "plato.stanford.edu": 0.97,
+    "imslp.org": 0.93, "oeis.org": 0.94, "pubchem.ncbi.nlm.nih.gov": 0.96, "eol.org": 0.94, "free.law": 0.93, "law.cornell.edu": 0.95, "instructables.com": 0.88, "permies.com": 0.87,
+    "openstove.org": 0.85, "freecodecamp.org": 0.91, "thespruce.com": 0.86, "familyhandyman.com": 0.86, "investopedia.com": 0.88, "zerotwothree.org": 0.92,
+}
