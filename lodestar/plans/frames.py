@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.operators import graph, retrieval
-from lodestar.operators.dialect import Check, Spark, micro
+from lodestar.functions import rowwise
+from lodestar.operators import gate, graph, retrieval
+from lodestar.operators.dialect import Check, Spark, corpus, micro
 from lodestar.session import TABLES, table
 from lodestar.sources import html, records
 from lodestar.streaming import state
@@ -28,6 +29,11 @@ def _micro(c):
     return F.floor(c * 1_000_000 + 0.5).cast("long")
 
 
+def _items(spark, sf_dir):
+    _views(spark, sf_dir)
+    return spark.sql(f"WITH {corpus(Spark())} SELECT id, title, content, source_name, url FROM corpus")
+
+
 def flagship(spark, sf_dir):
     """Keyword search: postings, BM25, blend with quality, the 20 best."""
     _views(spark, sf_dir)
@@ -68,6 +74,25 @@ def gr_5(spark, sf_dir):
     return graph.reach(edges, spark.createDataFrame([(3,), (5,)], "node long"), 2)
 
 
+def ir_14(spark, sf_dir):
+    """The verdict of all layers for every item."""
+    return gate.verdicts(_items(spark, sf_dir)).select("id", "verdict.*")
+
+
+def ir_15(spark, sf_dir):
+    """Every item with its verdict carried."""
+    return gate.screen(_items(spark, sf_dir)).drop("content")
+
+
+def del_2(spark, sf_dir):
+    """The audit rows of a purge of all items."""
+    return gate.purge(_items(spark, sf_dir))[1]
+
+
+def mth_3(spark, sf_dir):
+    return _items(spark, sf_dir).select("id", rowwise.compression(rowwise.strip(F.col("content"))).alias("ratio"))
+
+
 def ir_18(spark, sf_dir):
     """Greedy first-seen deduplication over banded near pairs."""
     _views(spark, sf_dir)
@@ -113,7 +138,7 @@ def stm_5(spark, sf_dir):
     return state.drain(state.rate_limit(state.events_stream(spark, sf_dir)), "append")
 
 
-QUERIES = {f.__name__: f for f in (gr_2, gr_3, gr_4, gr_5, ir_18, ir_19, ir_23, src_6, src_11, src_29, stm_1, stm_3, stm_5)} | {"flagship": flagship}
+QUERIES = {f.__name__: f for f in (del_2, gr_2, gr_3, gr_4, gr_5, ir_14, ir_15, ir_18, ir_19, ir_23, mth_3, src_6, src_11, src_29, stm_1, stm_3, stm_5)} | {"flagship": flagship}
 
 
 def oracle() -> dict[str, str]:
