@@ -11,7 +11,8 @@ from lodestar.session import TABLES, table
 from lodestar.sources import html, records
 from lodestar.streaming import state
 
-ROUNDS = 6
+#: Rounds, tolerance and rounds between two looks at it, as graph.pagerank has them.
+ROUNDS, TOLERANCE, LOOK = 30, 1e-9, 5
 FLAGSHIP = ["of", "the"]
 
 
@@ -41,31 +42,36 @@ def flagship(spark, sf_dir):
 
 
 def gr_2(spark, sf_dir):
-    return graph.pagerank(_edges(spark, sf_dir), ROUNDS, tolerance=0).select("node", _micro(F.col("rank")).alias("rank"))
+    return graph.pagerank(_edges(spark, sf_dir)).select("node", _micro(F.col("rank")).alias("rank"))
 
 
 def _rank_sql() -> str:
-    steps = []
+    """All rounds; once a look finds a change below the tolerance, ranks stay."""
+    steps, stop = [], ""
     for k in range(1, ROUNDS + 1):
         p = f"r{k - 1}"
+        new = f"0.15 / c.n + 0.85 * coalesce((SELECT sum(rank) FROM {p} WHERE degree IS NULL), 0) / c.n + 0.85 * coalesce(s.sent, 0)"
         steps.append(
-            f"r{k} AS (SELECT n.node, n.degree, 0.15 / c.n + 0.85 * coalesce((SELECT sum(rank) FROM {p} WHERE degree IS NULL), 0) / c.n + 0.85 * coalesce(s.sent, 0) AS rank "
-            f"FROM nodes n CROSS JOIN c LEFT JOIN (SELECT dst, sum(rank / degree) AS sent FROM edges JOIN {p} ON src = node GROUP BY dst) s ON s.dst = n.node)"
+            f"r{k} AS MATERIALIZED (SELECT n.node, n.degree, {f'CASE WHEN {stop} THEN n.rank ELSE {new} END' if stop else new} AS rank "
+            f"FROM {p} n CROSS JOIN c LEFT JOIN (SELECT dst, sum(rank / degree) AS sent FROM edges JOIN {p} ON src = node GROUP BY dst) s ON s.dst = n.node)"
         )
-    return f"""WITH {retrieval.edge_list()}, o AS (SELECT src, count(*) AS degree FROM edges GROUP BY src), nodes AS (SELECT node, degree FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) LEFT JOIN o ON src = node),
-c AS (SELECT count(*)::DOUBLE AS n FROM nodes), r0 AS (SELECT node, degree, 1 / n AS rank FROM nodes, c), {', '.join(steps)}
+        if k % LOOK == 0:
+            steps.append(f"m{k} AS MATERIALIZED (SELECT sum(abs(a.rank - b.rank)) AS moved FROM r{k} a JOIN {p} b ON a.node = b.node)")
+            stop = f"(SELECT moved FROM m{k}) < {TOLERANCE}"
+    return f"""WITH {retrieval.edge_list().replace(' AS (', ' AS MATERIALIZED (')}, o AS (SELECT src, count(*) AS degree FROM edges GROUP BY src), nodes AS (SELECT node, degree FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) LEFT JOIN o ON src = node),
+c AS (SELECT count(*)::DOUBLE AS n FROM nodes), r0 AS MATERIALIZED (SELECT node, degree, 1 / n AS rank FROM nodes, c), {', '.join(steps)}
 SELECT node, {micro('rank')} AS rank FROM r{ROUNDS}"""
 
 
 def gr_3(spark, sf_dir):
-    ranks = graph.pagerank(_edges(spark, sf_dir), ROUNDS, tolerance=0)
+    ranks = graph.pagerank(_edges(spark, sf_dir))
     top = ranks.agg(F.max("rank")).first()[0]
     return ranks.select("node", _micro(F.col("rank") / top).alias("share"))
 
 
 def gr_4(spark, sf_dir):
-    ranks = graph.pagerank(_edges(spark, sf_dir), ROUNDS, tolerance=0)
-    items = spark.range(120).select(F.col("id").alias("node"), F.lit(0.5).alias("authority"))
+    ranks = graph.pagerank(_edges(spark, sf_dir))
+    items = _items(spark, sf_dir).select(F.col("id").alias("node"), F.lit(0.5).alias("authority"))
     return graph.blend_authority(items, ranks).select("node", _micro(F.col("authority")).alias("authority"))
 
 
@@ -149,7 +155,7 @@ def oracle() -> dict[str, str]:
         "flagship": retrieval.keyword_search(d, FLAGSHIP),
         "gr_2": rank,
         "gr_3": head + f"SELECT node, {micro('rank / (SELECT max(rank) FROM r' + str(ROUNDS) + ')')} AS share FROM r{ROUNDS}",
-        "gr_4": head + f"SELECT i.node, {micro('CASE WHEN rank IS NULL THEN 0.5 ELSE 0.25 + 0.5 * rank / (SELECT max(rank) FROM r' + str(ROUNDS) + ') END')} AS authority FROM (SELECT unnest(range(120)) AS node) i LEFT JOIN r{ROUNDS} r ON r.node = i.node",
+        "gr_4": head + f"SELECT i.node, {micro('CASE WHEN rank IS NULL THEN 0.5 ELSE 0.25 + 0.5 * rank / (SELECT max(rank) FROM r' + str(ROUNDS) + ') END')} AS authority FROM (SELECT doc_id AS node FROM documents) i LEFT JOIN r{ROUNDS} r ON r.node = i.node",
         "gr_5": f"WITH {retrieval.edge_list()}, a AS (SELECT unnest([3, 5])::BIGINT AS node, 0 AS depth), b AS (SELECT DISTINCT dst AS node, 1 AS depth FROM edges JOIN a ON src = node WHERE dst NOT IN (SELECT node FROM a)), c AS (SELECT DISTINCT dst AS node, 2 AS depth FROM edges JOIN b ON src = node WHERE dst NOT IN (SELECT node FROM a UNION SELECT node FROM b)) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c",
         "src_6": "SELECT url, 'text/html' AS mime, page_id AS \"offset\", 10::BIGINT AS length FROM pages WHERE page_id % 5 > 0",
         "src_11": "SELECT o_orderkey AS \"offset\", o_custkey AS page_id, 'A:' || o_orderpriority AS title FROM orders",
