@@ -118,15 +118,20 @@ def evaluation(d):
 SELECT b.item_id, count(r.doc_id) AS hits, {micro('coalesce(sum(CASE WHEN rn <= 10 THEN 1 / log2(rn + 1.0) ELSE 0 END), 0)')} AS dcg, {micro('coalesce(1.0 / min(rn), 0)')} AS rr FROM b LEFT JOIN r ON b.item_id = r.item_id GROUP BY b.item_id"""
 
 
-def prints(d, shingle: int = 3) -> str:
-    """60-bit fingerprints from the first 15 hex digits of md5 over every three words in a row."""
-    ws = d.all("lower(substr(content, 1, 4000))", "[a-z0-9']+")
-    bits = ", ".join(f"sum(CASE WHEN {d.shift_and('h', i, 1)} = 1 THEN 1 ELSE -1 END) AS b{i}" for i in range(60))
-    fold = " + ".join(f"CASE WHEN b{i} > 0 THEN {1 << i} ELSE 0 END" for i in range(60))
-    return f"""{corpus(d)}, c AS (SELECT id, {ws} AS ws FROM corpus), w AS ({d.each('id', 'c', 'ws', 'w', 'pos')}),
-g AS (SELECT id, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM w WINDOW o AS (PARTITION BY id ORDER BY pos)),
-hs AS (SELECT id, {d.hex_long("md5(concat_ws(' ', w, w1, w2))")} AS h FROM g WHERE w2 IS NOT NULL),
-s AS (SELECT id, {bits} FROM hs GROUP BY id), prints AS (SELECT id, cast({fold} AS bigint) AS h FROM s)"""
+def prints(d) -> str:
+    """64-bit fingerprints of whole texts, from the first 16 hex digits of md5 over every three words in a row.
+
+    A text of one or two words counts its words; one without words has fingerprint 0.
+    """
+    ws = d.all("lower(content)", "[a-z0-9']+")
+    bits = ", ".join(f"sum(CASE WHEN {d.shift_and('hi' if i > 31 else 'lo', i % 32, 1)} = 1 THEN 1 ELSE -1 END) AS b{i}" for i in range(64))
+    low = " + ".join(f"CASE WHEN b{i} > 0 THEN cast({1 << i} AS bigint) ELSE 0 END" for i in range(63))
+    return f"""{corpus(d)}, c AS (SELECT id, {ws} AS ws FROM corpus), c2 AS (SELECT id, ws, {d.size('ws')} AS n FROM c), w AS ({d.each('id, n', 'c2', 'ws', 'w', 'pos')}),
+g AS (SELECT id, n, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM w WINDOW o AS (PARTITION BY id ORDER BY pos)),
+ms AS (SELECT id, md5(CASE WHEN n < 3 THEN w ELSE concat_ws(' ', w, w1, w2) END) AS m FROM g WHERE n < 3 OR w2 IS NOT NULL),
+hs AS (SELECT id, {d.hex_long('m', 8)} AS hi, {d.hex_long('substr(m, 9)', 8)} AS lo FROM ms),
+s AS (SELECT id, {bits} FROM hs GROUP BY id), folded AS (SELECT id, CASE WHEN b63 > 0 THEN -9223372036854775807 - 1 ELSE 0 END + {low} AS h FROM s),
+prints AS (SELECT c.id, coalesce(h, 0) AS h FROM c LEFT JOIN folded f ON f.id = c.id)"""
 
 
 @operator("mth_4")

@@ -185,7 +185,7 @@ def near_earlier(d):
 
 @operator("mth_5")
 def bands(d):
-    cols = ", ".join(f"{d.shift_and('h', 10 * i, 1023)} AS b{i}" for i in range(6))
+    cols = ", ".join(f"{d.shift_and('h', 8 * i, 255)} AS b{i}" for i in range(8))
     return f"WITH {prints(d)} SELECT id, {cols} FROM prints"
 
 

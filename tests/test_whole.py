@@ -1,7 +1,10 @@
 """Queries over the whole of their tables, against brute force on the smallest ones or on a few rows."""
 
+import hashlib
+import re
 from collections import defaultdict
 
+from lodestar.operators import dialect
 from lodestar.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +50,27 @@ def test_graph(spark):
         for b in {b for a, b in edges if depth.get(a) == k - 1} - depth.keys():
             depth[b] = k
     assert {x["node"]: x["depth"] for x in QUERIES["gr_5"](spark, SF).collect()} == depth
+
+
+def plain_print(text):
+    ws = re.findall("[a-z0-9']+", (text or "").lower())
+    grams = [" ".join(ws[i : i + 3]) for i in range(len(ws) - 2)] if len(ws) > 2 else ws
+    hashes = [int(hashlib.md5(g.encode()).hexdigest()[:16], 16) for g in grams]
+    value = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+    return value - (1 << 64) if value >> 63 else value
+
+
+LONG = "".join(f"w{i} " for i in range(1500))
+TEXTS = ["", "?!", "one", "one two", "one two three", LONG + "".join(f"x{i} " for i in range(1500)), LONG + "".join(f"y{i} " for i in range(1500)), None]
+
+
+def documents(spark, texts):
+    return spark.createDataFrame([(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_fingerprints(spark):
+    tables = {"documents": documents(spark, TEXTS)}
+    got = {x["id"]: x["fingerprint"] for x in dialect.run(spark, SF, "mth_4", tables).collect()}
+    assert got == {i: plain_print(t) for i, t in enumerate(TEXTS)} and got[5] != got[6]
+    bands = {x["id"]: [x[f"b{i}"] for i in range(8)] for x in dialect.run(spark, SF, "mth_5", tables).collect()}
+    assert bands == {i: [h >> 8 * k & 255 for k in range(8)] for i, h in got.items()}
