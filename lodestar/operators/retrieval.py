@@ -140,10 +140,10 @@ def fingerprints(d):
 
 
 def near(d) -> str:
-    """Pairs that share one of six bands of ten bits and differ in ten bits or fewer."""
-    bands = " UNION ALL ".join(f"SELECT id, h, {i} AS band, {d.shift_and('h', 10 * i, 1023)} AS v FROM prints" for i in range(6))
-    return f"""{prints(d)}, bands AS ({bands}),
-near AS (SELECT DISTINCT a.id AS a, b.id AS b FROM bands a JOIN bands b ON a.band = b.band AND a.v = b.v AND a.id < b.id WHERE {d.bit_count(d.xor('a.h', 'b.h'))} <= 10)"""
+    """All pairs that differ in ten bits or fewer: every two distinct fingerprints are compared, so none is missed."""
+    return f"""{prints(d)}, u AS (SELECT DISTINCT h FROM prints),
+links AS (SELECT a.h AS x, b.h AS y FROM u a JOIN u b ON a.h <= b.h AND {d.bit_count(d.xor('a.h', 'b.h'))} <= 10),
+near AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM links JOIN prints a ON a.h = x JOIN prints b ON b.h = y WHERE x < y OR a.id < b.id)"""
 
 
 @operator("jn_10")

@@ -1,6 +1,7 @@
 """Queries over the whole of their tables, against brute force on the smallest ones or on a few rows."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -74,3 +75,29 @@ def test_fingerprints(spark):
     assert got == {i: plain_print(t) for i, t in enumerate(TEXTS)} and got[5] != got[6]
     bands = {x["id"]: [x[f"b{i}"] for i in range(8)] for x in dialect.run(spark, SF, "mth_5", tables).collect()}
     assert bands == {i: [h >> 8 * k & 255 for k in range(8)] for i, h in got.items()}
+
+
+def test_near_pairs(spark):
+    """Small edits of one text: pairs at every distance up to the threshold."""
+    r = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(r.choice([w, w, w, w, w, w, w, w, w, w, w, w, w, w, "zz"]) for w in base) for _ in range(60)] + ["", "!"]
+    tables = {"documents": documents(spark, texts)}
+    prints = [plain_print(t) for t in texts]
+    apart = {(i, j): ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() for j in range(len(texts)) for i in range(j)}
+    want = {p for p, n in apart.items() if n <= 10}
+    assert sum(apart[p] >= 8 for p in want) > 20
+    assert {(x["a"], x["b"]) for x in dialect.run(spark, SF, "jn_10", tables).collect()} == want
+    first = {}
+    for a, b in sorted(want):
+        first.setdefault(b, a)
+    assert {x["id"]: x["first_near"] for x in dialect.run(spark, SF, "ir_17", tables).collect()} == first
+
+
+def test_first_of_near(spark):
+    prints = {x["doc_id"]: plain_print(x["text"]) for x in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    kept = []
+    for i in sorted(prints):
+        if all(((prints[i] ^ prints[k]) & (1 << 64) - 1).bit_count() > 10 for k in kept):
+            kept.append(i)
+    assert sorted(x["id"] for x in QUERIES["ir_18"](spark, SF).collect()) == kept
