@@ -39,7 +39,7 @@ Q: dict[str, str] = {
     "jn_3": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)",
     "jn_5": "SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal > 9900)",
     "jn_9": "WITH s AS (SELECT DISTINCT {host} AS h FROM pages WHERE page_id % 2 = 0) SELECT page_id FROM pages p JOIN s ON {host} = s.h",
-    "jn_12": "WITH t AS (SELECT conv_id, turn, {bag} AS b FROM conversations WHERE conv_id < 60) SELECT a.conv_id, a.turn AS t1, b.turn AS t2 FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE {overlap} * 100 >= 20 * greatest({union}, 1)",
+    "jn_12": "WITH t AS (SELECT conv_id, turn, {bag} AS b FROM conversations) SELECT a.conv_id, a.turn AS t1, b.turn AS t2 FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE {overlap} * 100 >= 20 * greatest({union}, 1)",
     "jn_21": "WITH o AS (SELECT o_custkey AS k, count(*) AS orders FROM orders GROUP BY o_custkey), l AS (SELECT o_custkey AS k, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey) SELECT c_custkey, coalesce(orders, 0) AS orders, coalesce(lines, 0) AS lines FROM customer LEFT JOIN o ON c_custkey = o.k LEFT JOIN l ON c_custkey = l.k",
     "jn_22": "WITH k AS (SELECT a.s_suppkey AS sick, b.s_suppkey AS healthy, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY b.s_acctbal, b.s_suppkey) AS rn FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey WHERE a.s_acctbal >= 9000 AND b.s_acctbal < 7500) SELECT sick, healthy FROM k WHERE rn = 1",
     # aggregates
@@ -116,7 +116,14 @@ SELECT id, {micro('coalesce(weight, 0.7) * (0.60 + 0.40 * least(1.0, lex))')} AS
 
 @operator("win_2")
 def diversify(d):
-    """At most two of a host among the first ten; the rest go to the end in order."""
-    return f"""WITH r AS (SELECT page_id, {host(d, 'url')} AS host, row_number() OVER (ORDER BY page_id) - 1 AS idx FROM (SELECT * FROM pages ORDER BY page_id LIMIT 40) t),
-k AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY idx) AS rn FROM r)
-SELECT page_id, row_number() OVER (ORDER BY CASE WHEN idx < 10 AND rn > 2 THEN 1 ELSE 0 END, idx) AS place FROM k"""
+    """At most two of a host among the first ten; the rest go to the end in order.
+
+    Places are counted within blocks of a thousand ids and moved up by the blocks' running counts, so no window holds the whole list.
+    """
+    return f"""WITH p AS (SELECT page_id, {host(d, 'url')} AS host, floor(page_id / 1000e0) AS block FROM pages), n AS (SELECT block, count(*) AS n FROM p GROUP BY block),
+starts AS (SELECT block, sum(n) OVER (ORDER BY block) - n AS start, sum(n) OVER () AS total FROM n),
+r AS (SELECT page_id, host, start, total, start + row_number() OVER (PARTITION BY p.block ORDER BY page_id) - 1 AS idx FROM p JOIN starts ON p.block = starts.block),
+k AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY idx) AS rn FROM r WHERE idx < 10),
+late AS (SELECT page_id AS late_id, idx AS late_idx, total - count(*) OVER () + row_number() OVER (ORDER BY idx) AS late_place FROM k WHERE rn > 2)
+SELECT page_id, cast(CASE WHEN max(CASE WHEN late_idx = idx THEN 1 ELSE 0 END) = 1 THEN max(CASE WHEN late_idx = idx THEN late_place END) ELSE idx + 1 - count(late_idx) END AS bigint) AS place
+FROM r LEFT JOIN late ON late_idx <= idx GROUP BY page_id, idx"""

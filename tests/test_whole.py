@@ -101,3 +101,25 @@ def test_first_of_near(spark):
         if all(((prints[i] ^ prints[k]) & (1 << 64) - 1).bit_count() > 10 for k in kept):
             kept.append(i)
     assert sorted(x["id"] for x in QUERIES["ir_18"](spark, SF).collect()) == kept
+
+
+def test_all_turns(spark):
+    rows = [(c, t, "user", "alpha beta gamma" if t else "alpha beta delta") for c in (1, 60, 900) for t in (0, 1)]
+    tables = {"conversations": spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")}
+    assert sorted(x["conv_id"] for x in dialect.run(spark, SF, "jn_12", tables).collect()) == [1, 60, 900]
+
+
+def test_all_items(spark):
+    tables = {"documents": documents(spark, ["has passage one", "none", "has passage two"]), "benchmark": spark.createDataFrame([(1, "passage one"), (10, "passage two"), (77, "absent")], "item_id long, text string")}
+    assert {x["item_id"]: x["hits"] for x in dialect.run(spark, SF, "ir_24", tables).collect()} == {1: 1, 10: 1, 77: 0}
+
+
+def test_all_pages(spark):
+    r = random.Random(4)
+    rows = [(i, f"https://h{r.randrange(3) if k < 10 else 0}.example/{i}") for k, i in enumerate(sorted(r.sample(range(5000), 120)))]
+    hosts, late, early = defaultdict(int), [], []
+    for k, (i, url) in enumerate(rows):
+        hosts[url[:10]] += k < 10
+        (late if k < 10 and hosts[url[:10]] > 2 else early).append(i)
+    tables = {"pages": spark.createDataFrame(rows, "page_id long, url string")}
+    assert late and [x["page_id"] for x in dialect.run(spark, SF, "win_2", tables).orderBy("place").collect()] == early + late
