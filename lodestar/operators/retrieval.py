@@ -100,14 +100,18 @@ def cooccurrence(d):
     return f"WITH {pairs(d)} SELECT x, y, n FROM co WHERE n >= 3"
 
 
-@operator("ir_12")
-def thesaurus(d):
-    """The 15 strongest partners of each term by positive mutual information, from 3 joint occurrences on."""
-    return f"""WITH {pairs(d)}, tot AS (SELECT cast(sum(n) AS double) AS pairs FROM co), tw AS (SELECT cast(count(*) AS double) AS words FROM t), n AS (SELECT w, count(*) AS n FROM t GROUP BY w),
+def associations(d) -> str:
+    """k(term, related, ppmi, n, rn): partners of each term in either order by positive mutual information, from 3 joint occurrences on."""
+    return f"""{pairs(d)}, tot AS (SELECT cast(sum(n) AS double) AS pairs FROM co), tw AS (SELECT cast(count(*) AS double) AS words FROM t), n AS (SELECT w, count(*) AS n FROM t GROUP BY w),
 p AS (SELECT x, y, co.n, greatest(0, log2((co.n / pairs) / ((a.n / words) * (b.n / words)))) AS ppmi FROM co JOIN n a ON a.w = x JOIN n b ON b.w = y JOIN df da ON da.w = x JOIN df db ON db.w = y CROSS JOIN tot CROSS JOIN tw WHERE co.n >= 3 AND da.df >= 2 AND db.df >= 2),
 both_ways AS (SELECT x AS term, y AS related, n, {micro('ppmi')} AS ppmi FROM p UNION ALL SELECT y, x, n, {micro('ppmi')} FROM p),
-k AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ppmi DESC, n DESC, related) AS rn FROM both_ways WHERE ppmi > 0)
-SELECT term, related, ppmi, n FROM k WHERE rn <= 15"""
+k AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ppmi DESC, n DESC, related) AS rn FROM both_ways WHERE ppmi > 0)"""
+
+
+@operator("ir_12")
+def thesaurus(d):
+    """The 15 strongest partners of each term."""
+    return f"WITH {associations(d)} SELECT term, related, ppmi, n FROM k WHERE rn <= 15"
 
 
 @operator("ir_24")

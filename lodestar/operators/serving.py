@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lodestar.operators.dialect import corpus, micro, operator
-from lodestar.operators.retrieval import bm25, near, pairs, prints
+from lodestar.operators.retrieval import associations, bm25, near, prints
 from lodestar.operators.text import sentences, tokens, words
 from lodestar.operators.urls import dated, host, path
 from lodestar.operators.warehouse import _fill
@@ -147,7 +147,7 @@ SELECT qid, id, score FROM r WHERE rn = 1 AND score >= 2"""
 
 @operator("ir_8")
 def expansion(d):
-    return f"""WITH {pairs(d)}, k AS (SELECT x, y, n, row_number() OVER (PARTITION BY x ORDER BY n DESC, y) AS rn FROM co WHERE n >= 3) SELECT x AS term, y AS related FROM k WHERE rn <= 3"""
+    return f"WITH {associations(d)} SELECT term, related FROM k WHERE rn <= 3"
 
 
 @operator("ir_11")
@@ -249,4 +249,4 @@ def dictionary_query(d):
 
 @operator("jn_15")
 def lookup(d):
-    return f"WITH {pairs(d)}, k AS (SELECT x, y, n, row_number() OVER (PARTITION BY x ORDER BY n DESC, y) AS rn FROM co WHERE x IN ('with', 'eine', 'tion', 'that', 'mente')) SELECT x, y, n FROM k WHERE rn <= 8"
+    return f"WITH {associations(d)} SELECT term AS x, related AS y, n FROM k WHERE term IN ('with', 'eine', 'tion', 'that', 'mente') AND rn <= 8"

@@ -123,3 +123,21 @@ def test_all_pages(spark):
         (late if k < 10 and hosts[url[:10]] > 2 else early).append(i)
     tables = {"pages": spark.createDataFrame(rows, "page_id long, url string")}
     assert late and [x["page_id"] for x in dialect.run(spark, SF, "win_2", tables).orderBy("place").collect()] == early + late
+
+
+def test_associations(spark):
+    """The last word of all gets partners; a frequent word without association stays behind rarer real ones."""
+    r = random.Random(6)
+    fill = [f"fill{c}" for c in "abcdefgh"]
+    texts = [" ".join(["common", *r.sample(fill, 4), "common"]) for _ in range(40)] + [f"mate zebra {r.choice(fill)} common common" for _ in range(6)] + ["alone queer " * 9]
+    tables = {"documents": documents(spark, texts), "labels": spark.createDataFrame([], "doc_id long, quality int, toxic int")}
+    top = defaultdict(list)
+    for x in sorted(dialect.run(spark, SF, "ir_12", tables).collect(), key=lambda x: (x["term"], -x["ppmi"], -x["n"], x["related"])):
+        top[x["term"]].append(x["related"])
+    assert top["zebra"][0] == "mate" and not top["alone"]
+    got = defaultdict(set)
+    for x in dialect.run(spark, SF, "ir_8", tables).collect():
+        got[x["term"]].add(x["related"])
+    assert got == {t: set(v[:3]) for t, v in top.items() if v}
+    tables["documents"] = documents(spark, [t.replace("zebra", "tion") for t in texts])
+    assert ("tion", "mate") in {(x["x"], x["y"]) for x in dialect.run(spark, SF, "jn_15", tables).collect()}
