@@ -37,12 +37,12 @@ class ByteCNN:
         self.p["emb"][0] = 0
         self.doc = np.zeros(5, np.float64)
 
-    def conv(self, data: np.ndarray) -> np.ndarray:
-        """Filter outputs at every stride of `data` (bytes, a multiple of STRIDE)."""
+    def conv(self, data: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Filter outputs at the strides of `data` (bytes, one stride more than outputs); strides that end a text (`last`) see none behind."""
         x = self.p["emb"][data].reshape(-1, STRIDE * DIM)
-        out = x @ self.p["left"]
-        out[:-1] += x[1:] @ self.p["right"]
-        return out
+        right = x[1:] @ self.p["right"]
+        right[last] = 0
+        return x[:-1] @ self.p["left"] + right
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
         h = np.maximum(np.maximum(pooled + self.p["cb"], 0) @ self.p["w1"] + self.p["b1"], 0)
@@ -52,14 +52,17 @@ class ByteCNN:
         """Logits of all chunks, and where each text's chunks begin."""
         halves = np.array([max(2, -(-(len(t) + STRIDE) // HALF)) for t in texts], np.int64)
         data = np.frombuffer(b"".join(t.ljust(int(h) * HALF, b"\0") for t, h in zip(texts, halves, strict=True)), np.uint8)
+        data = np.append(data, np.zeros(STRIDE, np.uint8))
         pooled = np.empty((len(data) // HALF, FILTERS), np.float32)
-        step = 4096
-        for at in range(0, len(pooled), step):
-            block = data[at * HALF : (at + step) * HALF]
-            pooled[at : at + step] = self.conv(block).reshape(-1, HALF // STRIDE, FILTERS).max(axis=1)
         ends = np.cumsum(halves)
         last = np.zeros(len(pooled), bool)
         last[ends - 1] = True
+        step = 4096
+        for at in range(0, len(pooled), step):
+            to = min(at + step, len(pooled))
+            stops = (np.flatnonzero(last[at:to]) + 1) * (HALF // STRIDE) - 1
+            block = data[at * HALF : to * HALF + STRIDE]
+            pooled[at:to] = self.conv(block, stops).reshape(-1, HALF // STRIDE, FILTERS).max(axis=1)
         chunks = np.maximum(pooled[:-1], pooled[1:])[~last[:-1]]
         return self.logits(chunks), ends - halves - np.arange(len(texts))
 
