@@ -138,40 +138,41 @@ def _exchange(donor: tuple[int, ...], other: tuple[int, ...], room: int) -> tupl
     return best
 
 
-def local_search(bins: Bins, patience: int = 200) -> Bins:
+def local_search(bins: Bins) -> Bins:
     """Empty the emptiest bins into fuller ones by moves and exchanges.
 
     Every step raises the sum of squared fill, so the search ends. It stops at the
-    lower bound (total length over capacity), or when the emptiest groups, `patience` of them, improve no more.
+    lower bound (total length over capacity), or when no open group improves any more. Whether a pair of groups
+    improves depends on their contents alone, so a pair that failed is not tried again.
     """
     total = sum(sum(c) * n for g in [bins.full, *bins.open.values()] for c, n in g.items())
     least = -(-total // bins.capacity)
-    stuck: set[tuple[int, ...]] = set()
-    while bins.count() > least and len(stuck) < patience:
-        order = [(room, c) for room in sorted(bins.open, reverse=True) for c in bins.open[room]]
-        donor = next(((r, c) for r, c in order if c not in stuck), None)
-        if donor is None:
-            break
-        d_room, contents = donor
+    failed: dict[tuple[int, ...], set[tuple[int, ...]]] = defaultdict(set)
+    moved = True
+    while moved and bins.count() > least:
         moved = False
-        for room, other in reversed(order):
-            if room > d_room or (other == contents and bins.open[room][other] < 2):
-                continue
-            swap = _exchange(contents, other, room)
-            if swap:
-                given, got = swap
-                times = min(bins.open[d_room][contents], bins.open[room][other])
-                if other == contents:
-                    times = bins.open[room][other] // 2
-                bins.take(d_room, contents, times)
-                bins.take(room, other, times)
-                bins.add(tuple(sorted(_without(contents, *given) + got, reverse=True)), times)
-                bins.add(tuple(sorted(_without(other, *got) + given, reverse=True)), times)
-                stuck.clear()
-                moved = True
+        order = [(room, c) for room in sorted(bins.open, reverse=True) for c in bins.open[room]]
+        for d_room, contents in order:
+            for room, other in reversed(order):
+                if room > d_room:
+                    break
+                if other in failed[contents] or (other == contents and bins.open[room][other] < 2):
+                    continue
+                swap = _exchange(contents, other, room)
+                if swap:
+                    given, got = swap
+                    times = min(bins.open[d_room][contents], bins.open[room][other])
+                    if other == contents:
+                        times = bins.open[room][other] // 2
+                    bins.take(d_room, contents, times)
+                    bins.take(room, other, times)
+                    bins.add(tuple(sorted(_without(contents, *given) + got, reverse=True)), times)
+                    bins.add(tuple(sorted(_without(other, *got) + given, reverse=True)), times)
+                    moved = True
+                    break
+                failed[contents].add(other)
+            if moved:
                 break
-        if not moved:
-            stuck.add(contents)
     return bins
 
 

@@ -1,8 +1,8 @@
-"""Scores that depend on their text alone."""
+"""Scores that depend on their text alone, and a packing search that tries every group."""
 
 import numpy as np
 
-from lodestar.llm import quality_cnn
+from lodestar.llm import packing, quality_cnn
 
 
 def test_score_alone_and_in_a_batch():
@@ -20,3 +20,15 @@ def test_score_alone_and_in_a_batch():
     long = r.integers(32, 127, n + 1000).astype(np.uint8).tobytes()
     tail = m.chunk_logits([long[n - 4 * quality_cnn.HALF :]])[0]
     assert np.allclose(m.chunk_logits([long])[0][4092:], tail, atol=1e-4)
+
+
+def test_search_tries_every_group():
+    """250 stuck bins with one piece each stand before three that can empty a fourth."""
+    bins = packing.Bins(2048)
+    for n in range(1025, 1275):
+        bins.add((n,), 1)
+    bins.add((1400,), 3)
+    bins.add((640, 640, 640), 1)
+    pieces = lambda: sorted(x for g in [bins.full, *bins.open.values()] for c, n in g.items() for x in c * n)
+    before = pieces()
+    assert packing.local_search(bins).count() == 253 and pieces() == before
