@@ -1,11 +1,11 @@
 """Packing of token pieces into sequences by swap-based local search.
 
 The search works on the histogram of piece lengths, not on pieces: bins with the same
-contents are one group with a multiplicity, so the driver's work is bounded by the
-sequence length and not by the corpus. A first packing puts the longest pieces into the
-fullest bins that take them; local search then moves pieces, exchanges one for one or two for
-one between underfull bins, always from an emptier bin to a fuller one, which raises the sum of
-squared fill, until bins empty and nothing improves. Pieces then get seats by their rank within their length.
+contents are one group with a multiplicity, so the driver's work follows the number of distinct
+lengths and not the corpus. It begins with every piece in a bin of its own. Local search then moves pieces and
+exchanges one for one or two for one between underfull bins, always from an emptier bin to a
+fuller one, which raises the sum of squared fill, until bins empty and nothing improves. Pieces then
+get seats by their rank within their length.
 
 Defined cases: a null or empty text is the end id alone; equal ids and repeated rows are separate
 pieces; an empty table gives an empty result; extra columns are ignored.
@@ -14,17 +14,19 @@ pieces; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
-from dataclasses import dataclass, field
+from bisect import bisect_right
+from collections import Counter
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import cut, slices
+from lodestar.llm.common import cut, fresh, slices
 from lodestar.llm.tokens import encoder, public_path
 
+NONE = 1 << 40  # a fill that no bin has
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -39,7 +41,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
         tokens = encoder(tokenizer, keeps_space=True)
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            for part in slices(batch, 6 << 20):
+            for part in slices(batch, 2 << 20):
                 cols: list[list] = [[] for _ in range(5 + with_ids)]
                 ids, starts = tokens.encode(part.column(1).cast(pa.string()))
                 for doc, a, b in zip(part.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
@@ -57,122 +59,179 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     return docs.select(F.col("doc_id").cast("long"), text.alias("text")).mapInArrow(run, schema)
 
 
-@dataclass
 class Bins:
-    """Bins in groups: contents (sorted lengths) -> how many bins hold just that."""
-
-    capacity: int
-    full: Counter = field(default_factory=Counter)
-    open: dict[int, Counter] = field(default_factory=lambda: defaultdict(Counter))
-
-    def add(self, contents: tuple[int, ...], times: int) -> None:
-        room = self.capacity - sum(contents)
-        if times and contents:
-            (self.open[room] if room else self.full)[contents] += times
-
-    def take(self, room: int, contents: tuple[int, ...], times: int) -> None:
-        group = self.open[room]
-        group[contents] -= times
-        if not group[contents]:
-            del group[contents]
-        if not group:
-            del self.open[room]
+    """Bins in groups: contents (lengths, longest first) -> how many bins hold just that."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.full: Counter = Counter()
+        self.open: dict[tuple[int, ...], int] = {}
+        #: Accepted steps by kind, each counted once a bin.
+        self.steps: Counter = Counter()
+        self.total = 0
+        self._holders: list[list[tuple[int, tuple[int, ...]]]] = [[] for _ in range(capacity + 1)]
+        #: The lowest fill of an open bin that holds a piece of this length.
+        self.lowest = np.full(capacity + 1, NONE, np.int64)
+        self._sums: dict[tuple[int, ...], list[int]] = {}
+
+    def add(self, contents: tuple[int, ...], times: int = 1) -> None:
+        fill = sum(contents)
+        if not times or not contents:
+            return
+        self.total += times
+        if fill == self.capacity:
+            self.full[contents] += times
+            return
+        if contents not in self.open:
+            for a in set(contents):
+                heappush(self._holders[a], (fill, contents))
+                self.lowest[a] = min(self.lowest[a], fill)
+        self.open[contents] = self.open.get(contents, 0) + times
+
+    def take(self, contents: tuple[int, ...], times: int) -> None:
+        """Take out `times` open bins with these contents."""
+        self.total -= times
+        self.open[contents] -= times
+        if not self.open[contents]:
+            del self.open[contents]
+            self._sums.pop(contents, None)
+            for a in set(contents):
+                self._settle(a)
+
+    def _settle(self, length: int) -> None:
+        heap = self._holders[length]
+        while heap and heap[0][1] not in self.open:
+            heappop(heap)
+        self.lowest[length] = heap[0][0] if heap else NONE
+
+    def holder(self, length: int, bin_: tuple[int, ...], fill: int) -> tuple[int, ...] | None:
+        """The emptiest open bin of at most `fill` with a piece of `length`, other than a bin_ that is the only one of its kind."""
+        heap = self._holders[length]
+        top = heap[0][1]
+        if top != bin_ or self.open[bin_] > 1:
+            return top
+        return min((x for x in heap if x[0] <= fill and x[1] != bin_ and x[1] in self.open), default=(0, None))[1]
+
+    def pair_sums(self, contents: tuple[int, ...]) -> list[int]:
+        """What two pieces of the bin make together, in order."""
+        if contents not in self._sums:
+            own = Counter(contents)
+            kinds = sorted(own)
+            self._sums[contents] = sorted({a + b for i, a in enumerate(kinds) for b in kinds[i:] if a != b or own[a] > 1})
+        return self._sums[contents]
+
+    def groups(self):
+        """(contents, how many bins), full ones first, then from the fullest to the emptiest."""
+        yield from self.full.items()
+        yield from sorted(self.open.items(), key=lambda g: (-sum(g[0]), g[0]))
 
     def count(self) -> int:
-        return sum(self.full.values()) + sum(sum(g.values()) for g in self.open.values())
+        return self.total
+
+    def least(self) -> int:
+        """The lower bound: total length over capacity."""
+        return -(-sum(sum(c) * n for c, n in self.groups()) // self.capacity)
 
 
-def first_packing(histogram: dict[int, int], capacity: int) -> Bins:
-    """Longest first, each into the fullest bins with room, whole groups of bins at a time."""
+def one_each(histogram: dict[int, int], capacity: int) -> Bins:
+    """Every piece in a bin of its own."""
     bins = Bins(capacity)
-    for length in sorted(histogram, reverse=True):
-        left = histogram[length]
-        rooms = iter(sorted(r for r in bins.open if r >= length))
-        room = next(rooms, None)
-        while left and room is not None:
-            each = room // length
-            while left and bins.open.get(room):
-                contents, times = next(iter(bins.open[room].items()))
-                k = min(each, left)
-                m = min(times, left // k)
-                bins.take(room, contents, m)
-                bins.add(contents + (length,) * k, m)
-                left -= k * m
-            room = next(rooms, None)
-        each = capacity // length
-        bins.add((length,) * each, left // each)
-        bins.add((length,) * (left % each), 1)
+    for length, n in histogram.items():
+        bins.add((length,), n)
     return bins
 
 
-def _without(contents: tuple[int, ...], *out: int) -> list[int]:
+def _swapped(contents: tuple[int, ...], out: tuple[int, ...], into: tuple[int, ...]) -> tuple[int, ...]:
     rest = list(contents)
     for x in out:
         rest.remove(x)
-    return rest
-
-
-def _exchange(donor: tuple[int, ...], other: tuple[int, ...], room: int) -> tuple[list[int], list[int]] | None:
-    """What donor gives and gets so that the fuller bin `other` gains most, within its room."""
-    best, gain = None, 0
-    mine, theirs = sorted(set(donor), reverse=True), sorted(set(other))
-    for a in mine:
-        if gain < a <= room:
-            best, gain = ([a], []), a
-        for i, b in enumerate(theirs):
-            if gain < a - b <= room:
-                best, gain = ([a], [b]), a - b
-            for c in theirs[i:]:
-                if a - b - c <= gain:
+    return tuple(sorted([*rest, *into], reverse=True))
+
+
+def _split(contents: tuple[int, ...], total: int) -> tuple[int, int]:
+    """Two pieces of the bin that make `total`."""
+    own = Counter(contents)
+    return next((a, total - a) for a in own if total - a in own and (2 * a != total or own[a] > 1))
+
+
+def best_step(bins: Bins, bin_: tuple[int, ...], failed: set) -> tuple | None:
+    """(donor, given, got): the step that fills an open bin most, taking from bins that are no fuller.
+
+    A move gives one piece for none; exchanges give one for one, one for two or two for one. The first
+    kind that fills the bin to the brim is taken, else the one that gains most. `failed` holds bins and
+    donors without a two-for-one step, which depends on their contents alone.
+    """
+    fill = sum(bin_)
+    room, best, gain = bins.capacity - fill, None, 0
+    backs = [(0, ()), *[(x, (x,)) for x in sorted(set(bin_))]]
+    for kind in (backs[:1], backs[1:], [(x, None) for x in bins.pair_sums(bin_)] if len(bin_) > 1 else []):
+        for back, got in kind:
+            low = back + gain + 1
+            for a in (np.flatnonzero(bins.lowest[low : back + room + 1] <= fill)[::-1] + low).tolist():
+                donor = bins.holder(a, bin_, fill)
+                if donor:
+                    best, gain = (donor, (a,), _split(bin_, back) if got is None else got), a - back
                     break
-                if a - b - c <= room and (b != c or other.count(b) > 1):
-                    best, gain = ([a], [b, c]), a - b - c
-        for b in mine:
-            if b > a or (a == b and donor.count(a) < 2):
-                continue
-            for c in reversed(theirs):
-                if gain < a + b - c <= room:
-                    best, gain = ([a, b], [c]), a + b - c
+            if gain == room:
+                return best
+    for donor in bins.open:
+        if len(donor) < 2 or sum(donor) > fill or (bin_, donor) in failed or (donor == bin_ and bins.open[bin_] < 2):
+            continue
+        sums, found = bins.pair_sums(donor), False
+        for back, got in backs[1:]:
+            k = bisect_right(sums, back + room) - 1
+            if k >= 0 and sums[k] > back:
+                found = True
+                if sums[k] - back > gain:
+                    best, gain = (donor, _split(donor, sums[k]), got), sums[k] - back
         if gain == room:
-            break
+            return best
+        if not found:
+            failed.add((bin_, donor))
     return best
 
 
-def local_search(bins: Bins) -> Bins:
-    """Empty the emptiest bins into fuller ones by moves and exchanges.
-
-    Every step raises the sum of squared fill, so the search ends. It stops at the
-    lower bound (total length over capacity), or when no open group improves any more. Whether a pair of groups
-    improves depends on their contents alone, so a pair that failed is not tried again.
+def apply_step(bins: Bins, bin_: tuple[int, ...], donor: tuple[int, ...], given: tuple[int, ...], got: tuple[int, ...]) -> list[tuple[int, ...]]:
+    """Make the step in as many bins of both groups as go together; lone pieces move in as often as they fit. Returns the new contents."""
+    m, n = bins.open[bin_], bins.open[donor]
+    if donor == given and not got:
+        k = min((bins.capacity - sum(bin_)) // given[0], n - 1 if donor == bin_ else n)
+        times = n // (k + 1) if donor == bin_ else min(m, n // k)
+        bins.take(bin_, times)
+        bins.take(donor, times * k)
+        made = [tuple(sorted([*bin_, *given * k], reverse=True))]
+        bins.steps["move"] += times * k
+    else:
+        times = n // 2 if donor == bin_ else min(m, n)
+        bins.take(bin_, times)
+        bins.take(donor, times)
+        made = [_swapped(bin_, got, given), _swapped(donor, given, got)]
+        bins.steps["move" if not got else "one for one" if len(given) == len(got) else "two for one"] += times
+    for contents in made:
+        bins.add(contents, times)
+    return made
+
+
+def local_search(bins: Bins, tolerance: float = 1e-5) -> Bins:
+    """Fill the fullest open bins from emptier ones by moves and exchanges until bins empty.
+
+    A pass goes through all open bins and fills each as far as any step goes. Every step takes from a bin that is
+    no fuller and so raises the sum of squared fill. Passes end at the lower bound, when one makes no step, or when two
+    in a row empty no bin or, of very many, less than a share of `tolerance`.
     """
-    total = sum(sum(c) * n for g in [bins.full, *bins.open.values()] for c, n in g.items())
-    least = -(-total // bins.capacity)
-    failed: dict[tuple[int, ...], set[tuple[int, ...]]] = defaultdict(set)
-    moved = True
-    while moved and bins.count() > least:
-        moved = False
-        order = [(room, c) for room in sorted(bins.open, reverse=True) for c in bins.open[room]]
-        for d_room, contents in order:
-            for room, other in reversed(order):
-                if room > d_room:
-                    break
-                if other in failed[contents] or (other == contents and bins.open[room][other] < 2):
-                    continue
-                swap = _exchange(contents, other, room)
-                if swap:
-                    given, got = swap
-                    times = min(bins.open[d_room][contents], bins.open[room][other])
-                    if other == contents:
-                        times = bins.open[room][other] // 2
-                    bins.take(d_room, contents, times)
-                    bins.take(room, other, times)
-                    bins.add(tuple(sorted(_without(contents, *given) + got, reverse=True)), times)
-                    bins.add(tuple(sorted(_without(other, *got) + given, reverse=True)), times)
-                    moved = True
-                    break
-                failed[contents].add(other)
-            if moved:
-                break
+    least, quiet = bins.least(), 0
+    failed: set = set()
+    while bins.count() > least and quiet < 2:
+        before, made = bins.count(), bins.steps.total()
+        queue = [(-sum(c), c) for c in bins.open]
+        heapify(queue)
+        while queue and bins.count() > least:
+            _, bin_ = heappop(queue)
+            while bin_ in bins.open and bins.count() > least and (step := best_step(bins, bin_, failed)):
+                fuller = apply_step(bins, bin_, *step)[0]
+                if fuller in bins.open:
+                    heappush(queue, (-sum(fuller), fuller))
+        quiet = 2 if bins.steps.total() == made else quiet + 1 if before - bins.count() <= tolerance * before else 0
     return bins
 
 
@@ -182,36 +241,37 @@ def seats(bins: Bins) -> dict[str, np.ndarray]:
     Row: pieces of `length` with ranks from `rank` on sit `each` to a bin, from bin `first` and from `offset` on.
     """
     rows, used, first = [], Counter(), 0
-    for group in [bins.full, *[bins.open[r] for r in sorted(bins.open)]]:
-        for contents, times in group.items():
-            offset = 0
-            for length, each in sorted(Counter(contents).items(), reverse=True):
-                rows.append((length, used[length], each, first, offset))
-                used[length] += each * times
-                offset += length * each
-            first += times
+    for contents, times in bins.groups():
+        offset = 0
+        for length, each in sorted(Counter(contents).items(), reverse=True):
+            rows.append((length, used[length], each, first, offset))
+            used[length] += each * times
+            offset += length * each
+        first += times
     table = np.array(sorted(rows), np.int64).reshape(-1, 5)
     return dict(zip(("length", "rank", "each", "first", "offset"), table.T, strict=True))
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, cells: int = 256) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, cell_rows: int = 20_000) -> DataFrame:
     """`pieces` (any columns with a `length` of 1 to capacity) plus sequence_id and offset.
 
-    Ranks within a length are numbered in `cells` cells by hash and moved up by the cells'
+    Ranks within a length are numbered in cells by hash, of about `cell_rows` rows each, and moved up by the cells'
     running counts, so no window holds a whole length. The driver gets one count for each length.
     """
     pieces = cut(pieces, "pieces")
     spark = pieces.sparkSession
-    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    table = spark.sparkContext.broadcast(seats(local_search(first_packing(histogram, capacity))))
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    table = spark.sparkContext.broadcast(seats(local_search(one_each(histogram, capacity))))
     names = [c for c in pieces.columns if c != "ids"]
-    row = pieces.withColumn("cell", F.pmod(F.xxhash64(*names), F.lit(cells)).cast("int"))
-    counts = row.groupBy("length", "cell").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("cell_start"))
-    within = Window.partitionBy("length", "cell").orderBy(*names)
-    ranked = row.withColumn("rank", F.row_number().over(within) - 1).join(starts, ["length", "cell"])
-    ranked = ranked.select(*pieces.columns, (F.col("cell_start") + F.col("rank")).alias("rank"))
+    cell, rank, many, n, start = (fresh(pieces, x) for x in ("cell", "rank", "cells", "cell_n", "cell_start"))
+    sizes = spark.createDataFrame([(k, v // cell_rows + 1) for k, v in histogram.items()], f"length long, `{many}` long")  # at most `capacity` rows
+    row = pieces.join(F.broadcast(sizes), "length").withColumn(cell, F.pmod(F.xxhash64(*names), F.col(many)))
+    counts = row.groupBy("length", cell).agg(F.count("*").alias(n))
+    before = Window.partitionBy("length").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("length", cell, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy("length", cell).orderBy(*names)
+    ranked = row.withColumn(rank, F.row_number().over(within) - 1).join(starts, ["length", cell])
+    ranked = ranked.select(*pieces.columns, (F.col(start) + F.col(rank)).alias(rank))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
 
     def seat(batches):

@@ -2,90 +2,155 @@
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 from array import array
 
 import numpy as np
 
-#: Two neighbouring white-space characters, the sign put before a text, or the start of an added token's name:
-#: such a text is encoded in one piece. (RE2)
-IRREGULAR = r"[\s\x0b\x1c-\x1f\x{85}\pZ][\s\x0b\x1c-\x1f\x{85}\pZ]|\x02|<\|"
-#: A new piece's cut into letters, ASCII signs and line ends. Pieces with anything else, apostrophes too, are left alone.
-PARTS = re.compile(r"[^\W\d_]+|[!-&(-/:-@\[-^`{-~]+|\n")
-FIRST, MARK = "\x02", "\x01"
-SPECIAL = re.compile(r"[\x01\x02]")
+#: Two neighbouring white-space characters, or the start of an added token's name: such a text goes to the library itself. (RE2)
+IRREGULAR = r"[\s\x0b\x1c-\x1f\x{85}\pZ][\s\x0b\x1c-\x1f\x{85}\pZ]|<\|"
+#: Beyond ASCII something else than a letter: such a text is cut at spaces only. (RE2)
+COARSE = r"[^\x00-\x7f\pL]"
+MARK = "\x01"
+SINGLE = re.compile(r"(?<=\S) (?=\S)")
+#: Characters encoded as one text, distinct units looked up at once, and bytes that an entry's objects take beside its letters and ids.
+JOINED, LONG, BLOCK, ENTRY = 1 << 18, 1 << 18, 1 << 15, 170
+
+# classes of bytes: 0 space, 1 letter (and all beyond ASCII), 2 digit, 3 sign, 4 line end, 5 the rest, apostrophes too
+CLASS = np.full(256, 5, np.uint8)
+CLASS[32], CLASS[10] = 0, 4
+CLASS[65:91] = CLASS[97:123] = CLASS[128:] = 1
+CLASS[48:58] = 2
+CLASS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'_"]] = 3
+#: Class before and class behind (6 * before + behind) between which the library always cuts; a space goes with what follows it.
+CUT = np.array([[b == 0 or (0 < a < 5 and 0 < b < 5 and a != b) for b in range(6)] for a in range(6)]).ravel()
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 
 
 class PieceEncoder:
     """Ids of texts as unsigned 32-bit numbers.
 
-    Both vocabularies cut a text before they merge, and never across a single space: the cut takes
-    a space together with the word behind it, or drops it. So a text is the sum of its
-    space-separated pieces. A batch's pieces are numbered once, and each piece's ids are remembered. New
-    pieces are encoded together, in one text. Texts with runs of white space go through the library
-    whole. Beyond `limit` pieces the half that was met first stays, which holds the frequent ones.
+    Both vocabularies cut a text before they merge: never across a single space (it is taken
+    together with what is behind it, or dropped), and always between letters, digits, signs and line ends.
+    So a text is the sum of its units. A batch's units are numbered once, and each unit's ids
+    are remembered. New units are encoded together, in texts of JOINED characters. Texts with runs of white
+    space go through the library in stretches of LONG characters that end before a single space.
+
+    What is remembered is held in two generations of `limit_bytes` / 2 (by an estimate that counts the
+    objects): when the younger is full it becomes the older one, whose units come back when they are met.
     """
 
-    def __init__(self, path: str, keeps_space: bool, limit: int = 850_000):
+    def __init__(self, path: str, keeps_space: bool, limit_bytes: int = 80 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keeps_space, self.limit = Tokenizer.from_file(path), keeps_space, limit
-        self.memo: dict[str, bytes] = {}
-        if keeps_space:
-            self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
-            self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
-        else:
-            (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.inner: dict[str, bytes] = {"\n": self.whole(["\n"])[0]}  # parts without a space in front
+        self.tokenizer, self.keeps_space, self.limit = Tokenizer.from_file(path), keeps_space, limit_bytes // 2
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.weight = 0
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _together(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without inner spaces (a space in front where kept), from one text of them all."""
-        if not pieces:
-            return []
-        joined = f" {' '.join(pieces)}" if self.keeps_space else f" {MARK} ".join(pieces)
-        ids = array("I", self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids)
-        data, values = ids.tobytes(), np.frombuffer(ids, np.uint32)
-        if self.keeps_space:
-            starts = np.flatnonzero(self.begins[values])
-            ends = np.append(starts[1:], len(values))
-        else:
-            cuts = np.flatnonzero(values == self.mark)
-            starts, ends = np.append(0, cuts + 1), np.append(cuts, len(values))
-        if len(starts) != len(pieces):
-            return self.whole([(" " if self.keeps_space else "") + p for p in pieces])
-        return [data[a:b] for a, b in zip((starts * 4).tolist(), (ends * 4).tolist(), strict=True)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Remember the ids of new pieces; a piece that begins a text has FIRST in front."""
-        memo, lead = self.memo, " " if self.keeps_space else ""
-        heads = dict.fromkeys(filter(str.isalpha, pieces))
-        # letters followed by signs and line ends: each part has its own ids, only the first takes the space
-        cut, alone, tails = [], [], {}
-        for p in itertools.filterfalse(str.isalpha, pieces):
-            parts = PARTS.findall(p)
-            if parts and parts[0] != "\n" and sum(map(len, parts)) == len(p) and p[-1] != "\n" and (p.isascii() or all(x.isascii() or x.isalpha() for x in parts)):
-                cut.append((p, parts))
-                heads[parts[0]] = None
-                tails.update(dict.fromkeys(parts[1:]))
-            elif p and not p[0].isspace() and not p[-1].isspace() and not SPECIAL.search(p):
-                heads[p] = None
+    def stretches(self, text: str) -> bytes:
+        """Ids of any text, encoded in stretches cut at single spaces."""
+        out, at = [], 0
+        while len(text) - at > LONG and (found := SINGLE.search(text, at + LONG)):
+            out.append(text[at : found.start()])
+            at = found.start() + (not self.keeps_space)
+        return b"".join(self.whole([*out, text[at:]]))
+
+    def _together(self, units: list[str], glue: str) -> list[bytes]:
+        """Ids of units from texts of many of them: each begins with a space (glue ""), or glue holds MARK."""
+        out, at = [], 0
+        ends = np.cumsum([len(u) + len(glue) for u in units]) if units else np.zeros(0, np.int64)
+        while at < len(units):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + JOINED)))
+            own = units[at:to]
+            ids = array("I", self.tokenizer.encode_batch_fast([glue.join(own)], add_special_tokens=False)[0].ids)
+            data, values = ids.tobytes(), np.frombuffer(ids, np.uint32)
+            if glue:
+                cuts = np.flatnonzero(values == self.mark)
+                starts, stops = np.append(0, cuts + 1), np.append(cuts, len(values))
+            else:
+                starts = np.flatnonzero(self.begins[values])
+                stops = np.append(starts[1:], len(values))
+            if len(starts) == len(own):
+                out += [data[a:b] for a, b in zip((starts * 4).tolist(), (stops * 4).tolist(), strict=True)]
             else:
-                alone.append(p)
-        memo.update(zip(alone, self.whole([p[1:] if p[:1] == FIRST else lead + p for p in alone]), strict=True))
-        heads = [p for p in heads if p not in memo]
-        memo.update(zip(heads, self._together(heads), strict=True))
-        if len(self.inner) > self.limit // 4:
-            self.inner = {"\n": self.whole(["\n"])[0]}
-        tails = [p for p in tails if p not in self.inner]
-        self.inner.update(zip(tails, self.whole(tails) if self.keeps_space else self._together(tails), strict=True))
-        for p, parts in cut:
-            memo[p] = memo[parts[0]] + b"".join([self.inner[x] for x in parts[1:]])
+                out += self.whole(own)
+            at = to
+        return out
+
+    def _new(self, units: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of new units, by unit."""
+        texts = [u.decode() for u in units] if self.keeps_space else [u[u[:1] == b" " :].decode() for u in units]
+        joined: list[int] = []
+        marked: list[int] = []
+        alone: list[int] = []
+        for i, t in enumerate(texts):
+            if not t or t[-1].isspace() or MARK in t:
+                alone.append(i)
+            elif self.keeps_space and t[0] == " ":
+                joined.append(i)
+            elif t.isalpha() or not self.keeps_space:
+                marked.append(i)
+            else:
+                alone.append(i)
+        out = {}
+        for own, made in (
+            (alone, self.whole([texts[i] for i in alone])),
+            (joined, self._together([texts[i] for i in joined], "")),
+            (marked, self._together([texts[i] for i in marked], MARK if self.keeps_space else f" {MARK} ")),
+        ):
+            out.update(zip([units[i] for i in own], made, strict=True))
+        return out
+
+    def _remember(self, learned: dict[bytes, bytes]) -> None:
+        self.weight += len(learned) * ENTRY + sum(map(len, learned)) + sum(map(len, learned.values()))
+        self.memo.update(learned)
+        if self.weight > self.limit:
+            self.memo, self.older, self.weight = {}, self.memo, 0
+
+    def _ids(self, units: list[bytes]) -> list[bytes]:
+        """Ids of distinct units, remembered or new."""
+        found = list(map(self.memo.get, units))
+        absent = [i for i, ids in enumerate(found) if ids is None]
+        if absent:
+            missing = [units[i] for i in absent]
+            learned = {u: ids for u, ids in zip(missing, map(self.older.get, missing), strict=True) if ids is not None}
+            learned.update(self._new([u for u in missing if u not in learned]))
+            for i, u in zip(absent, missing, strict=True):
+                found[i] = learned[u]
+            self._remember(learned)
+        return found
+
+    def _units(self, texts) -> tuple:
+        """Units of regular texts as an Arrow array over one buffer, and how many lie before each text's start and the end."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        n = len(texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int32, n + 1, texts.offset * 4) if n else np.zeros(1, np.int32)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if n and texts.buffers()[2] else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        if not self.keeps_space:  # this vocabulary is lower case
+            data = FOLD[data]
+        kind = CLASS[data]
+        cut = np.ones(len(data) + 1, bool)
+        cut[1:-1] = CUT[kind[:-1] * np.uint8(6) + kind[1:]]
+        coarse = np.flatnonzero(pc.match_substring_regex(texts, COARSE).to_numpy(zero_copy_only=False)) if n else []
+        for i in coarse:
+            cut[offsets[i] : offsets[i + 1]] = kind[offsets[i] : offsets[i + 1]] == 0
+        cut[offsets] = True
+        at = np.flatnonzero(cut).astype(np.int32)
+        units = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
+        return units, np.searchsorted(at, offsets)
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of an Arrow array of texts end to end, and where each text begins (one more for the end)."""
@@ -99,30 +164,22 @@ class PieceEncoder:
             for i in odd:
                 plain[i] = ""
             regular = pa.array(plain, pa.string())
-        # the other vocabulary is lower case, so A-Z may be folded before pieces are told apart
-        split = pc.split_pattern(pc.binary_join_element_wise(FIRST, regular, "") if self.keeps_space else pc.ascii_lower(regular), " ")
-        flat = split.flatten().dictionary_encode()
+        units, before = self._units(regular)
+        flat = units.dictionary_encode()
         distinct = flat.dictionary.to_pylist()
-        if len(self.memo) > self.limit:
-            self.memo = dict(itertools.islice(self.memo.items(), self.limit // 2))
-        found = list(map(self.memo.get, distinct))
-        absent = [i for i, ids in enumerate(found) if ids is None]
-        self._learn([distinct[i] for i in absent])
-        for i in absent:
-            found[i] = self.memo[distinct[i]]
+        found = [ids for at in range(0, len(distinct), BLOCK) for ids in self._ids(distinct[at : at + BLOCK])]
         pool = np.frombuffer(b"".join(found), "<u4")
         size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         which = flat.indices.to_numpy()
         n = size[which]
         ends = np.concatenate([[0], np.cumsum(n)])
         ids = pool[np.repeat((np.cumsum(size) - size)[which] - ends[:-1], n) + np.arange(ends[-1])]
-        offsets = split.offsets.to_numpy()
-        starts = ends[offsets - offsets[0]]
+        starts = ends[before]
         if not odd:
             return ids, starts
         pieces = [ids[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        for i, data in zip(odd, self.whole(texts.take(pa.array(odd)).to_pylist()), strict=True):
-            pieces[i] = np.frombuffer(data, "<u4")
+        for i, text in zip(odd, texts.take(pa.array(odd)).to_pylist(), strict=True):
+            pieces[i] = np.frombuffer(self.stretches(text), "<u4")
         return np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
 
 

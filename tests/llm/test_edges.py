@@ -184,22 +184,75 @@ def test_packing(docs):
     assert Counter((None if x[0] is None else int(x[0]), *x[1:]) for x in rows) == want
 
 
+def fewest(pieces, capacity):
+    """The fewest bins, by trying every place of every piece."""
+    best = [len(pieces)]
+
+    def put(k, fills):
+        if len(fills) >= best[0]:
+            return
+        if k == len(pieces):
+            best[0] = len(fills)
+            return
+        for i in range(len(fills)):
+            if fills[i] + pieces[k] <= capacity and fills[i] not in fills[:i]:
+                put(k + 1, [*fills[:i], fills[i] + pieces[k], *fills[i + 1 :]])
+        put(k + 1, [*fills, pieces[k]])
+
+    put(0, [])
+    return best[0]
+
+
 def test_local_search():
     r = random.Random(2)
     for _ in range(20):
         hist = Counter(r.randint(1, 60) for _ in range(r.randint(1, 300)))
-        bins = packing.local_search(packing.first_packing(hist, 100))
-        every = [(c, n) for g in [bins.full, *bins.open.values()] for c, n in g.items()]
-        assert all(sum(c) <= 100 and n > 0 for c, n in every)
+        bins = packing.local_search(packing.one_each(hist, 100))
+        every = list(bins.groups())
+        assert all(sum(c) <= 100 and n > 0 for c, n in every) and bins.count() == sum(n for _, n in every)
         assert sum((Counter({k: v * n for k, v in Counter(c).items()}) for c, n in every), Counter()) == hist
         assert bins.count() <= -(-sum(k * v for k, v in hist.items()) // 100) + 1
 
 
-def test_search_empties_a_bin():
+def test_search_against_the_optimum():
+    r = random.Random(8)
+    over = 0
+    for _ in range(80):
+        pieces = sorted((r.randint(3, 30) for _ in range(r.randint(1, 10))), reverse=True)
+        found = packing.local_search(packing.one_each(Counter(pieces), 40)).count()
+        assert fewest(pieces, 40) <= found <= fewest(pieces, 40) + 1
+        over += found - fewest(pieces, 40)
+    assert over <= 4
+
+
+def test_steps_raise_squared_fill():
+    r = random.Random(5)
+    kinds = Counter()
+    for _ in range(30):
+        bins = packing.one_each(Counter(r.randint(8, 70) for _ in range(60)), 100)
+        squares = lambda: sum(sum(c) ** 2 * n for c, n in bins.groups())
+        for _ in range(200):
+            steps = ((b, packing.best_step(bins, b, set())) for b in sorted(bins.open, key=lambda c: (-sum(c), c)))
+            found = next(((b, s) for b, s in steps if s), None)
+            if not found:
+                break
+            before = squares()
+            packing.apply_step(bins, found[0], *found[1])
+            assert squares() > before
+        kinds += bins.steps
+    assert set(kinds) == {"move", "one for one", "two for one"}
+
+
+def test_search_makes_the_packing():
+    """Lengths of which moves alone need a bin more."""
     bins = packing.Bins(10)
     for contents in ((6, 2), (6, 3), (5, 2), (4,), (2,)):
         bins.add(contents, 1)
     assert packing.local_search(bins).count() == 3
+    bins = packing.Bins(10)
+    for contents in ((5, 3), (5, 3), (4,)):
+        bins.add(contents, 1)
+    assert packing.local_search(bins).count() == 2 and bins.steps["one for one"] + bins.steps["two for one"] > 0
 
 
 def test_token_files(spark, docs):

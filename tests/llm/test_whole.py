@@ -29,6 +29,6 @@ def test_search_tries_every_group():
         bins.add((n,), 1)
     bins.add((1400,), 3)
     bins.add((640, 640, 640), 1)
-    pieces = lambda: sorted(x for g in [bins.full, *bins.open.values()] for c, n in g.items() for x in c * n)
+    pieces = lambda: sorted(x for c, n in bins.groups() for x in c * n)
     before = pieces()
     assert packing.local_search(bins).count() == 253 and pieces() == before
