@@ -2,44 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.operators.store import cut, folder  # noqa: F401
+
 #: Fixed value of the contracts: characters between two words.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local run without one gets its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read again: computed once, lineage ends there."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with `value` evaluated once a row, however often the body names it."""
     return F.transform(F.array(value), body)[0]
@@ -57,6 +39,13 @@ def local_path(uri: str) -> str | None:
     return uri if uri.startswith("/") else None
 
 
+def open_fs(uri: str):
+    """The file system of a URI and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """`name`, with underscores in front until no column of `df` has it."""
     taken = {c.lower() for c in df.columns}

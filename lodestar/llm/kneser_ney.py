@@ -7,6 +7,9 @@ statistics of contexts, and how many contexts each word follows (its continuatio
 workers map the files and look up sorted queries; nothing is loaded whole and no
 count is dropped. Contexts so frequent that they would fill a part alone are spread over all parts.
 
+Words are told apart by 64-bit hashes: among n distinct words two coincide with odds of n * n / 2**65. More than
+MOST_WORDS distinct words are refused. Each part is written by one reducer of its own.
+
 The files lie in the shared folder. Where that is no file system a worker can map, it keeps
 a copy in memory of the files that it meets.
 
@@ -24,11 +27,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import annotate, cut, local_path, scratch, slices
+from lodestar.llm.common import annotate, cut, local_path, open_fs, scratch, slices
 from lodestar.llm.quality_cnn import id_bucket
-from lodestar.llm.token_files import open_fs
 
 END = b"\n"  # no word holds it
+#: Numbers of words take 32 bits of a pair's code; the last two stand for a text's begin and an unknown word.
+MOST_WORDS = (1 << 32) - 2
 FIELDS = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -196,13 +200,13 @@ class Reader:
             if len(known):
                 at = np.minimum(np.searchsorted(known, q), len(known) - 1)
                 found = known[at] == q
-                count[rows[found]] = self.file(f"counts-{p}", "<u4")[at[found]]
+                count[rows[found]] = self.file(f"counts-{p}", "<u8")[at[found]]
             heads = self.file(f"heads-{p}", "<u4")
             own = rows[~hot[rows]]
             if len(heads) and len(own):
                 at = np.minimum(np.searchsorted(heads, prev[own]), len(heads) - 1)
                 found = heads[at] == prev[own]
-                stats[own[found]] = self.file(f"stats-{p}", "<u4").reshape(-1, 3)[at[found]]
+                stats[own[found]] = self.file(f"stats-{p}", "<u8").reshape(-1, 3)[at[found]]
         if hot.any():
             stats[hot] = m.hot_stats[np.searchsorted(m.hot, prev[hot])]
         return count, stats
@@ -285,11 +289,13 @@ def fit(docs: DataFrame, store: Store, part_bytes: int = 16 << 20) -> Model:
             store.write(f"totals-{p}", n)
             yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "n": [len(n)], "total": [int(n.sum())], **{f"c{k}": [0] for k in (1, 2, 3, 4)}})
 
-    made = {r["part"]: r for r in _count_words(docs, bits).repartition(1 << bits, "part").mapInArrow(write_words, meta).collect()}
+    made = {r["part"]: r for r in _count_words(docs, bits).repartitionById(1 << bits, "part").mapInArrow(write_words, meta).collect()}
     sizes = [made[p]["n"] if p in made else 0 for p in range(1 << bits)]
     model = Model(store, bits, (np.cumsum(sizes) - sizes).tolist(), sum(sizes), sum(r["total"] for r in made.values()), hot=np.zeros(0, np.int64), hot_stats=np.zeros((0, 3), np.int64))
     if not model.vocabulary:
         return model
+    if model.vocabulary >= MOST_WORDS:
+        raise ValueError(f"{model.vocabulary} distinct words; pair codes hold {MOST_WORDS}")
     begin = model.vocabulary  # the context before a text's first word
     least = max(1, model.tokens >> bits >> 2)
 
@@ -322,7 +328,7 @@ def fit(docs: DataFrame, store: Store, part_bytes: int = 16 << 20) -> Model:
                 own = order[cuts[p] : cuts[p + 1]]
                 if len(own):
                     step = np.diff(prev[own], prepend=0).astype("<u4")
-                    rows.append((p, len(own), squeeze(step, cur[own].astype("<u4"), n[own].astype("<u4"))))
+                    rows.append((p, len(own), squeeze(step, cur[own].astype("<u4"), n[own].astype("<u8"))))
             rows = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=["part", "n", "data"])
 
@@ -351,18 +357,18 @@ def fit(docs: DataFrame, store: Store, part_bytes: int = 16 << 20) -> Model:
         found: dict[int, list] = {}
         for batch in batches:
             for p, n, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                step, cur, k = unsqueeze(data, n, "<u4", "<u4", "<u4")
+                step, cur, k = unsqueeze(data, n, "<u4", "<u4", "<u8")
                 found.setdefault(p, []).append((np.cumsum(step, dtype=np.uint64) << np.uint64(32) | cur.astype(np.uint64), k.astype(np.int64)))
         rows = []
         for p, blobs in found.items():
             codes, n = sum_by(*[np.concatenate(c) for c in zip(*blobs, strict=True)])
             store.write(f"pairs-{p}", codes)
-            store.write(f"counts-{p}", np.minimum(n, 0xFFFFFFFF).astype("<u4"))
+            store.write(f"counts-{p}", n.astype("<u8"))
             prev, cur = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
             heads, *stats = sum_by(prev, *[(n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64)])
             is_hot = m.is_hot(heads)
             store.write(f"heads-{p}", heads[~is_hot].astype("<u4"))
-            store.write(f"stats-{p}", np.stack([s[~is_hot] for s in stats], axis=1).astype("<u4"))
+            store.write(f"stats-{p}", np.stack([s[~is_hot] for s in stats], axis=1).astype("<u8"))
             rows.append((0, p, len(codes), *_of_counts(n), None))
             rows += [(1, 0, h, a, b, c, 0, None) for h, a, b, c in zip(heads[is_hot].tolist(), *[s[is_hot].tolist() for s in stats], strict=True)]
             words, k = np.unique(cur, return_counts=True)
@@ -372,7 +378,7 @@ def fit(docs: DataFrame, store: Store, part_bytes: int = 16 << 20) -> Model:
             types = [pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in wide.split(", ")])
 
-    out = cut(docs.mapInArrow(count_pairs, "part int, n long, data binary").repartition(1 << bits, "part").mapInArrow(write_pairs, wide), "op6-parts")
+    out = cut(docs.mapInArrow(count_pairs, "part int, n long, data binary").repartitionById(1 << bits, "part").mapInArrow(write_pairs, wide), "op6-parts")
     sums = out.where("kind = 0").agg(*[F.sum(c).alias(c) for c in "nabcd"]).first()
     model.types, model.pair_discount = sums["n"], discounts([sums[c] for c in "abcd"])
     spread = {r["n"]: (r["a"], r["b"], r["c"]) for r in out.where("kind = 1").groupBy("n").agg(*[F.sum(c).alias(c) for c in "abc"]).collect()}
@@ -389,7 +395,7 @@ def fit(docs: DataFrame, store: Store, part_bytes: int = 16 << 20) -> Model:
             more = int((dense > 2).sum())
             yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "n": [more], "total": [int(dense.sum())], **{f"c{k + 1}": [c[k]] for k in range(4)}})
 
-    own = out.where("kind = 2").select("part", "n", "data").repartition(1 << bits, "part").mapInArrow(write_continuations, meta).collect()
+    own = out.where("kind = 2").select("part", "n", "data").repartitionById(1 << bits, "part").mapInArrow(write_continuations, meta).collect()
     c = [sum(r[f"c{k}"] for r in own) for k in (1, 2, 3, 4)]
     model.word_discount = discounts(c)
     model.word_mass = sum(d * n for d, n in zip(model.word_discount[1:], (c[0], c[1], sum(r["n"] for r in own)), strict=True)) / max(1, model.types)

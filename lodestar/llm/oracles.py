@@ -18,10 +18,16 @@ dw AS (
   FROM (SELECT rid, ws, size, unnest(range(1, (len(ws) - size + 2)::BIGINT)) AS i FROM d, sizes WHERE len(ws) >= size)),
 hits AS (SELECT rid, i, dw.size, item FROM dw JOIN bw ON dw.size = bw.size AND dw.g = bw.g),
 cover AS (SELECT rid, count(DISTINCT p)::BIGINT AS n FROM (SELECT DISTINCT rid, unnest(range(i, i + size)) AS p FROM hits) GROUP BY rid),
-found AS (SELECT rid, count(DISTINCT item)::BIGINT AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hits GROUP BY rid)
+found AS (SELECT rid, count(DISTINCT item)::BIGINT AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hits GROUP BY rid),
+dp AS (SELECT rid, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
+bp AS (SELECT bid, unnest(ws) AS w, unnest(range(len(ws))) AS j FROM (SELECT row_number() OVER () AS bid, ws FROM b)),
+eq AS (SELECT rid, bid, i - j AS diagonal, i, i - row_number() OVER (PARTITION BY rid, bid, i - j ORDER BY i) AS island FROM dp JOIN bp USING (w)),
+runs AS (SELECT rid, count(*)::BIGINT AS size, min(i)::BIGINT AS place FROM eq GROUP BY rid, bid, diagonal, island),
+longest AS (SELECT rid, max(size) AS size, arg_max(-place, [size, -place]) AS back FROM runs GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(cover.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
-  sha256(coalesce(names, '')) AS items_sha256, coalesce(cover.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN cover USING (rid) LEFT JOIN found USING (rid)
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(cover.n, 0) > 0 AS contaminated,
+  coalesce(longest.size, 0) AS longest_match, coalesce(-longest.back, -1) AS longest_at
+FROM d LEFT JOIN cover USING (rid) LEFT JOIN found USING (rid) LEFT JOIN longest USING (rid)
 """
 
 OP8_SQL = """

@@ -5,20 +5,23 @@ chunks of 256 bytes (each half belongs to two chunks), every chunk gets a logit,
 chunk logits (mean, highest, lowest, share below zero) are combined into one probability.
 
 It is fitted on the driver on a bounded sample: at most `per_class` labelled documents of each class,
-taken in hash order, and `chunks_each` chunks of each. Scoring covers every byte.
+taken in hash order, and `chunks_each` chunks of each, which the executors cut out; the driver never holds a whole text. The
+chunk summaries of the sampled documents are computed by the executors too. Scoring covers every byte.
 
 Defined cases: null and empty texts are scored as a chunk of zero bytes; labels without a
-document are unused; repeated rows are scored each; without any label of both classes every score is
+document are unused; of labels or documents that repeat an id one is taken for the fit; repeated rows are scored each; without any label of both classes every score is
 0.5; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import annotate, fresh
+from lodestar.llm.common import annotate, cut, fresh
 
 HALF, STRIDE, DIM, FILTERS, HIDDEN = 128, 4, 8, 32, 16
 
@@ -107,18 +110,12 @@ class ByteCNN:
         g["emb"][0] = 0
         return g
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 6, chunks_each: int = 6, batch: int = 128, rate: float = 3e-3, seed: int = 11, prior: float | None = None) -> ByteCNN:
-        if len(set(labels.tolist())) < 2:
+    def fit_filters(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 3e-3, seed: int = 11) -> ByteCNN:
+        """Fit the network to chunks x (rows of 2 * HALF bytes) with labels y."""
+        if len(set(y.tolist())) < 2:
             return self
         r = np.random.default_rng(seed)
-        xs, ys = [], []
-        for t, y in zip(texts, labels.tolist(), strict=True):
-            for at in r.integers(0, max(1, len(t) - 2 * HALF + 1), min(chunks_each, 1 + len(t) // HALF)).tolist():
-                size = int(r.integers(4, 2 * HALF)) if r.random() < 0.3 else 2 * HALF  # short texts occur too
-                xs.append(t[at : at + size].ljust(2 * HALF, b"\0"))
-                ys.append(y)
-        x = np.frombuffer(b"".join(xs), np.uint8).reshape(-1, 2 * HALF)
-        y = np.array(ys, np.float32)
+        y = y.astype(np.float32)
         share = y.mean()
         weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -133,11 +130,16 @@ class ByteCNN:
                     mean[k] = 0.9 * mean[k] + 0.1 * g
                     square[k] = 0.999 * square[k] + 0.001 * g * g
                     self.p[k] -= (lr * (mean[k] / (1 - 0.9**t)) / (np.sqrt(square[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-        f = self.features(texts)
+        return self
+
+    def fit_summaries(self, f: np.ndarray, labels: np.ndarray, prior: float | None = None) -> ByteCNN:
+        """Fit the last step to chunk summaries f of documents; prior is the share of good texts where they were drawn."""
+        if len(set(labels.tolist())) < 2:
+            return self
         w = np.zeros(f.shape[1])
-        prior = labels.mean() if prior is None else prior  # share of good texts where the sample was drawn
+        prior = labels.mean() if prior is None else prior
         own = np.where(labels > 0, prior / labels.mean(), (1 - prior) / (1 - labels.mean()))
-        for _ in range(30):  # Newton steps of a ridge logistic regression on the chunk summaries
+        for _ in range(30):  # Newton steps of a ridge logistic regression
             q = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
             hess = (f * (own * q * (1 - q))[:, None]).T @ f + 1e-1 * np.eye(len(w))
             w = w - np.linalg.solve(hess, f.T @ (own * (q - labels)) + 1e-1 * w)
@@ -145,19 +147,55 @@ class ByteCNN:
         return self
 
 
+def draw_chunks(text: bytes, chunks_each: int) -> bytes:
+    """Up to chunks_each chunks from places that the text itself decides, padded with zeros; some are cut short, as short texts occur too."""
+    r = np.random.default_rng([len(text), zlib.crc32(text)])
+    out = []
+    for at in r.integers(0, max(1, len(text) - 2 * HALF + 1), min(chunks_each, 1 + len(text) // HALF)).tolist():
+        size = int(r.integers(4, 2 * HALF)) if r.random() < 0.3 else 2 * HALF
+        out.append(text[at : at + size].ljust(2 * HALF, b"\0"))
+    return b"".join(out)
+
+
 def id_bucket(id_col: str, n: int):
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % n
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, folds: int = 3, held: int = 1, **options) -> ByteCNN:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, folds: int = 3, held: int = 1, chunks_each: int = 6, **options) -> ByteCNN:
     """A network fitted to at most `per_class` labelled documents of each class outside the held-out fold."""
-    pool = labels.where((id_bucket("doc_id", folds) != held) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
+    pool = labels.where((id_bucket("doc_id", folds) != held) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = [pool.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
-    sample = docs.select("doc_id", "text").join(picked[0].unionByName(picked[1]).distinct(), "doc_id").where("text is not null")
-    rows = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["quality"], r["text"]))
-    prior = pool.agg(F.avg("quality")).first()[0]
-    return ByteCNN().fit([r["text"].encode() for r in rows], np.array([r["quality"] for r in rows], np.float64), prior=prior, **options)
+    picked = cut(picked[0].unionByName(picked[1]), "op7-picked")  # 2 * per_class ids at most
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null")
+
+    def chunks():
+        import pyarrow as pa
+
+        return lambda texts: [pa.array([draw_chunks(t, chunks_each) for t in texts], pa.binary()), pa.array([zlib.crc32(t) for t in texts], pa.int64())]
+
+    drawn = annotate(sample, "text", "chunks binary, crc long", chunks, ["doc_id", "quality"])
+    rows = drawn.groupBy("doc_id", "quality").agg(F.min(F.struct("crc", "chunks")).alias("c")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    x = np.frombuffer(b"".join(r["c"]["chunks"] for r in rows), np.uint8).reshape(-1, 2 * HALF)
+    y = np.repeat(np.array([r["quality"] for r in rows], np.float64), [len(r["c"]["chunks"]) // (2 * HALF) for r in rows])
+    model = ByteCNN().fit_filters(x, y, **options)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def summaries():
+        import pyarrow as pa
+
+        def work(texts):
+            f = shared.value.features(texts) if texts else np.zeros((0, 5))
+            return [*[pa.array(c) for c in f.T], pa.array([zlib.crc32(t) for t in texts], pa.int64())]
+
+        return work
+
+    made = annotate(sample, "text", "f0 double, f1 double, f2 double, f3 double, f4 double, crc long", summaries, ["doc_id", "quality"], slice_bytes=2 << 20)
+    found = made.groupBy("doc_id", "quality").agg(F.min(F.struct("crc", *[f"f{i}" for i in range(5)])).alias("c")).collect()
+    found.sort(key=lambda r: r["doc_id"])
+    f = np.array([[r["c"][f"f{i}"] for i in range(5)] for r in found]).reshape(-1, 5)
+    return model.fit_summaries(f, np.array([r["quality"] for r in found], np.float64), pool.agg(F.avg("quality")).first()[0])
 
 
 def score_documents(docs: DataFrame, model: ByteCNN, keep: list[str], name: str = "score") -> DataFrame:

@@ -1,13 +1,14 @@
 """Secret scan: base patterns plus a linear-chain conditional random field.
 
 Tokens (runs of letters, digits, _ + / -, and single other characters) are tagged B, I or O from
-their shape, the neighbouring words and features of the file, decoded by Viterbi. The field is
-fitted on the driver to templates with known spans and to at most `snippets` short
-pieces of the corpus whose spans the base patterns know; spans that it finds beside the base ones are added.
+their shape, the neighbouring words and features of the file, decoded by Viterbi over the whole text. The field
+is fitted on the driver to templates with known spans, alone and inside prose, and to a bounded sample of the
+corpus (`train`), above all to places where a first fit finds spans. What the base patterns don't mark in the
+sample counts as no secret. Spans that the field finds beside the base ones are added.
 
-The field's tag dictionary allows only O at a plain token more than RADIUS tokens from any odd one
-(long with digits, capitals or symbols, or a hint word). A text is cut at those tokens and only the
-rest is decoded; the tags are those of decoding the whole text under that dictionary.
+Decoding is exact: a token can only be tagged B or I if some run of tokens around it could gain over O by an
+upper bound of its emissions and transitions. Running sums give that bound for all tokens at once; Viterbi then
+works on the runs that remain, with O on either side.
 
 Defined cases: null and empty texts have no spans; overlapping kinds are all reported; repeated rows are
 reported each; an empty table gives an empty result; extra columns are ignored.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,15 +33,12 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]+")
 FIELDS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
-RADIUS = 4
-#: Word classes by a part of the lower-cased token; the first that matches holds.
+#: Word classes by a part of the lower-cased token.
 HINTS = (
     (b"passw", 1), (b"passphrase", 1), (b"pwd", 1), (b"secret", 2), (b"token", 2), (b"apikey", 3), (b"api_key", 3), (b"access_key", 3), (b"private_key", 3),
     (b"bearer", 4), (b"authorization", 4), (b"credential", 4), (b"akia", 5), (b"ghp_", 5), (b"sk_live", 5), (b"xox", 5), (b"eyj", 5),
     (b"sha256", 6), (b"sha1", 6), (b"md5", 6), (b"checksum", 6), (b"commit", 6), (b"digest", 6), (b"uuid", 6), (b"phone", 6), (b"order", 6),
 )
-HINT = re.compile(b"|".join(h for h, _ in HINTS), re.I)
-HINT_CLASS = dict(HINTS)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -61,78 +60,95 @@ CLASS[[ord(c) for c in "_+/-"]] = 4
 HEX_BYTE = np.isin(np.arange(256), [ord(c) for c in "0123456789abcdefABCDEF"])
 PUNCT = {c: i + 1 for i, c in enumerate(b"\"'=:.,@<>()\n")}
 
-N_SHAPE, N_SWITCH, N_HINT, N_NEAR, N_FILE = 7 * 32 + 16, 4, 7, 12, 6
+N_SHAPE, N_SWITCH, N_HINT, N_NEAR, N_FILE = 7 * 64 + 16, 4, 7, 12, 6
 GROUPS = {"shape": N_SHAPE, "switch": N_SWITCH, "own": N_HINT, "p1": N_HINT, "p2": N_HINT, "p3": N_HINT, "p4": N_HINT, "n1": N_NEAR, "b1": N_NEAR, "b2": N_NEAR, "file": N_FILE}
 TAGS = 3  # O, B, I
+MARKS = np.array([PUNCT.get(b, 0) for b in range(256)])
+
+
+@lru_cache(1)
+def _hints():
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for h, k in HINTS:
+        found.add_word(h.decode(), (len(h), k))
+    found.make_automaton()
+    return found
 
 
 class Tokens:
-    """Tokens of one text (UTF-8 bytes) with their feature numbers."""
+    """Tokens of some texts (UTF-8 bytes) laid end to end, with their feature numbers."""
 
-    def __init__(self, text: bytes):
-        data = np.frombuffer(text, np.uint8)
+    def __init__(self, texts: list[bytes]):
+        joined = b" ".join(texts) + b" "
+        self.text_starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        data = np.frombuffer(joined, np.uint8)
         c = CLASS[data]
         inside = (c >= 1) & (c <= 5)
-        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if inside[:1].any():
+            edge = np.append(0, edge)
         alone = np.flatnonzero(c >= 6)
-        self.start = np.concatenate([starts, alone])
+        self.start = np.concatenate([edge[0::2], alone])
         order = np.argsort(self.start, kind="stable")
-        self.start, self.end = self.start[order], np.concatenate([ends, alone + 1])[order]
-        n = len(self.start)
-        self.n = n
+        self.start, self.end = self.start[order], np.concatenate([edge[1::2], alone + 1])[order]
+        self.n = n = len(self.start)
+        self.doc = np.searchsorted(self.text_starts, self.start, "right") - 1
+        self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))  # each text's first token, and the end
         if not n:
             return
         size = self.end - self.start
-        self.size = size
 
         def count(mask):
             total = np.zeros(len(data) + 1, np.int32)
             np.cumsum(mask, out=total[1:])
             return total[self.end] - total[self.start]
 
-        digits = count(c == 3)
-        lower, upper, symbol = count(c == 1), count(c == 2), count(c == 4)
+        digits, lower, upper, symbol, other = (count(c == k) for k in (3, 1, 2, 4, 5))
         is_punct = c[self.start] >= 6
-        length = np.searchsorted([1, 3, 7, 15, 23, 39], size)
         is_hex = (size >= 8) & (count(HEX_BYTE[data]) == size)
-        shape = length * 32 + (lower > 0) * 16 + (upper > 1) * 8 + (digits > 0) * 4 + (symbol > 0) * 2 + is_hex
-        mark = np.array([PUNCT.get(b, 0) for b in range(256)])[data[self.start]]
-        self.shape = np.where(is_punct, 7 * 32 + mark, shape)
+        shape = np.searchsorted([1, 3, 7, 15, 23, 39], size) * 64 + (lower > 0) * 32 + (upper > 1) * 16 + (digits > 0) * 8 + (symbol > 0) * 4 + (other > 0) * 2 + is_hex
+        mark = MARKS[data[self.start]]
+        self.shape = np.where(is_punct, 7 * 64 + mark, shape)
         switch = count(np.append(False, (c[1:] != c[:-1]) & inside[1:] & inside[:-1]))
         self.switch = np.searchsorted([1, 3, 8], np.where(is_punct, 0, switch), "right")
         self.near = np.where(is_punct, np.minimum(mark, 6), np.where(digits == 0, 7, np.where(size < 8, 8, np.where(is_hex, 9, 10))))
         self.hint = np.zeros(n, np.int64)
-        for m in HINT.finditer(text):
-            self.hint[np.searchsorted(self.start, m.start(), "right") - 1] = HINT_CLASS[m.group().lower()]
-        odd = (digits > 0) & (size >= 8)
-        share = odd.sum() / n
-        self.file = int(share > 0.01) + int(share > 0.1) + 3 * int((self.hint > 0).any())
-        self.odd = odd | (self.hint > 0) | ((size >= 16) & (upper > 1)) | (size >= 24) | ((symbol > 0) & (size >= 8))
-
-    def features(self, at: np.ndarray) -> np.ndarray:
-        """Feature numbers (one a group) of the tokens `at`."""
-
-        def moved(values, by, n):
-            to = at + by
-            return np.where((to >= 0) & (to < self.n), values[np.clip(to, 0, self.n - 1)], n - 1 if n == N_NEAR else 0)
-
-        cols = [self.shape[at], self.switch[at], self.hint[at], *[moved(self.hint, -k, N_HINT) for k in (1, 2, 3, 4)]]
-        cols += [moved(self.near, 1, N_NEAR), moved(self.near, -1, N_NEAR), moved(self.near, -2, N_NEAR), np.full(len(at), self.file)]
+        for last, (length, k) in _hints().iter(joined.lower().decode("latin-1")):
+            at = np.searchsorted(self.start, last - length + 1, "right") - 1
+            self.hint[at] = k
+        texts_n = np.diff(self.first)
+        odd = np.bincount(self.doc, (digits > 0) & (size >= 8), len(texts)) / np.maximum(texts_n, 1)
+        hinted = np.bincount(self.doc, self.hint > 0, len(texts)) > 0
+        self.file = ((odd > 0.01).astype(np.int64) + (odd > 0.1) + 3 * hinted)[self.doc]
+
+    def _moved(self, values: np.ndarray, by: int, empty: int) -> np.ndarray:
+        """Each token's neighbour `by` tokens on, `empty` beyond its text."""
+        out = np.full(self.n, empty, values.dtype)
+        if by < 0 and -by < self.n:
+            out[-by:] = np.where(self.doc[:by] == self.doc[-by:], values[:by], empty)
+        elif 0 < by < self.n:
+            out[:-by] = np.where(self.doc[by:] == self.doc[:-by], values[by:], empty)
+        return out
+
+    def features(self) -> np.ndarray:
+        """Feature numbers (one a group) of all tokens."""
+        cols = [self.shape, self.switch, self.hint, *[self._moved(self.hint, -k, 0) for k in (1, 2, 3, 4)]]
+        cols += [self._moved(self.near, k, N_NEAR - 1) for k in (1, -1, -2)] + [self.file]
         return np.stack(cols, axis=1) + OFFSETS
 
-    def windows(self) -> list[np.ndarray]:
-        """Runs of tokens within RADIUS of an odd one; the tokens between may only be O."""
-        if not self.n:
-            return []
-        odd = np.flatnonzero(self.odd)
-        if not len(odd):
-            return []
-        close = np.zeros(self.n + 1, np.int32)
-        np.add.at(close, np.maximum(odd - RADIUS, 0), 1)
-        np.add.at(close, np.minimum(odd + RADIUS + 1, self.n), -1)
-        at = np.flatnonzero(np.cumsum(close[:-1]) > 0)
-        return np.split(at, np.flatnonzero(np.diff(at) != 1) + 1)
+    def emissions(self, w: np.ndarray) -> np.ndarray:
+        """Sums of the features' weights; groups are put together first, so a token takes few look-ups."""
+        g = dict(zip(GROUPS, np.split(w, OFFSETS[1:]), strict=True))
+        own = (g["own"][:, None] + g["switch"][None]).reshape(-1, TAGS)
+        near = (g["n1"][:, None, None] + g["b1"][None, :, None] + g["b2"][None, None]).reshape(-1, TAGS)
+        before = (g["p1"][:, None, None, None] + g["p2"][None, :, None, None] + g["p3"][None, None, :, None] + g["p4"]).reshape(-1, TAGS)
+        out = g["shape"][self.shape] + own[self.hint * N_SWITCH + self.switch]
+        out += near[(self._moved(self.near, 1, 11) * N_NEAR + self._moved(self.near, -1, 11)) * N_NEAR + self._moved(self.near, -2, 11)]
+        h = [self._moved(self.hint, -k, 0) for k in (1, 2, 3, 4)]
+        out += before[((h[0] * N_HINT + h[1]) * N_HINT + h[2]) * N_HINT + h[3]]
+        return out + g["file"][self.file]
 
 
 OFFSETS = np.cumsum([0, *GROUPS.values()])[:-1]
@@ -145,10 +161,10 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 class ChainField:
-    """Weights of features by tag, and of neighbouring tags."""
+    """Weights of features by tag, and of neighbouring tags. `caution` is taken off every span's score."""
 
-    def __init__(self):
-        self.w, self.t = np.zeros((TOTAL, TAGS)), np.zeros((TAGS, TAGS))
+    def __init__(self, caution: float = 1.0):
+        self.w, self.t, self.caution = np.zeros((TOTAL, TAGS)), np.zeros((TAGS, TAGS)), caution
 
     def transitions(self) -> np.ndarray:
         t = self.t.copy()
@@ -158,34 +174,51 @@ class ChainField:
     def emissions(self, features: np.ndarray) -> np.ndarray:
         return self.w[features].sum(axis=-2)
 
-    def decode(self, features: list[np.ndarray]) -> list[np.ndarray]:
-        """Best tags of each sequence, all sequences a step at a time."""
-        if not features:
-            return []
-        order = np.argsort([-len(f) for f in features], kind="stable")
-        lengths = np.array([len(features[i]) for i in order])
-        flat = self.emissions(np.concatenate([features[i] for i in order]))
-        begin = np.cumsum(lengths) - lengths
+    def possible(self, e: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Tokens that some run of B and I could hold and score no less than O throughout."""
+        t = self.transitions()
+        step = max(0.0, max(t[0, 1], t[1:, 1:].max()) - t[0, 0])
+        leave = max(0.0, t[1:, 0].max() - t[0, 0])
+        gain = (e[:, 1:].max(axis=1) - e[:, 0] + step).astype(np.float64)
+        # a drop between texts that no gain makes up for
+        ends = np.cumsum(gain) - doc * (np.maximum(gain, 0).sum() + leave + 1)
+        low = np.minimum.accumulate(ends - gain)
+        high = np.maximum.accumulate(ends[::-1])[::-1]
+        return high - low + leave >= 0
+
+    def decode(self, e: np.ndarray, first: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Best tags of all tokens of texts laid end to end, all runs a step at a time."""
+        tags = np.zeros(len(e), np.int64)
+        if not len(e):
+            return tags
+        e = e.copy()
+        e[:, 1] -= self.caution
+        at = np.flatnonzero(self.possible(e, doc))
+        if not len(at):
+            return tags
         t = self.transitions()
-        best = flat[begin].copy()
+        new = np.append(True, (np.diff(at) != 1) | (np.diff(doc[at]) != 0))
+        begin = np.flatnonzero(new)
+        lengths = np.diff(np.append(begin, len(at)))
+        order = np.argsort(-lengths, kind="stable")
+        begin, lengths = begin[order], lengths[order]
+        flat, head, tail = e[at], at[begin], at[begin + lengths - 1]
+        at_start, at_end = first[doc[head]] == head, first[doc[tail] + 1] - 1 == tail
+        best = flat[begin] + np.where(at_start[:, None], 0.0, t[0])
         best[:, 2] = -1e6
         back: list[np.ndarray] = []
         for k in range(1, lengths[0]):
-            live = int(np.searchsorted(-lengths, -k, "left"))  # sequences longer than k
+            live = int(np.searchsorted(-lengths, -k, "left"))  # runs longer than k
             through = best[:live, :, None] + t
             back.append(through.argmax(axis=1))
             best[:live] = through.max(axis=1) + flat[begin[:live] + k]
-        tags = [np.zeros(n, np.int64) for n in lengths]
-        out: list = [None] * len(order)
-        last = best.argmax(axis=1)
-        for j, n in enumerate(lengths.tolist()):
-            y = last[j]
-            for k in range(n - 1, 0, -1):
-                tags[j][k] = y
-                y = back[k - 1][j, y]
-            tags[j][0] = y
-            out[order[j]] = tags[j]
-        return out
+        y = (best + np.where(at_end[:, None], 0.0, t[:, 0])).argmax(axis=1)
+        for k in range(lengths[0] - 1, -1, -1):
+            live = int(np.searchsorted(-lengths, -k, "left"))
+            tags[at[begin[:live] + k]] = y[:live]
+            if k:
+                y[:live] = back[k - 1][np.arange(live), y[:live]]
+        return tags
 
     def gradient(self, features: np.ndarray, gold: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Expected minus observed counts over padded sequences (rows x steps x groups)."""
@@ -234,16 +267,16 @@ class ChainField:
 
     def spans(self, texts: list[bytes]) -> list[list[tuple[int, int]]]:
         """Byte spans of the tagged secrets in each text."""
-        tokens = [Tokens(t) for t in texts]
-        where = [(i, at) for i, t in enumerate(tokens) for at in t.windows()]
-        tags = self.decode([tokens[i].features(at) for i, at in where])
+        tokens = Tokens(texts)
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
-        for (i, at), y in zip(where, tags, strict=True):
-            for b in np.flatnonzero(y == 1).tolist():
-                e = b
-                while e + 1 < len(y) and y[e + 1] == 2:
-                    e += 1
-                out[i].append((int(tokens[i].start[at[b]]), int(tokens[i].end[at[e]])))
+        if not tokens.n:
+            return out
+        y = self.decode(tokens.emissions(self.w), tokens.first, tokens.doc)
+        for b in np.flatnonzero(y == 1).tolist():
+            e, doc = b, tokens.doc[b]
+            while e + 1 < len(y) and y[e + 1] == 2 and tokens.doc[e + 1] == doc:
+                e += 1
+            out[doc].append((int(tokens.start[b] - tokens.text_starts[doc]), int(tokens.end[e] - tokens.text_starts[doc])))
         return out
 
 
@@ -257,6 +290,7 @@ def templates(n: int = 700, seed: int = 5) -> list[tuple[bytes, list[tuple[int,
     secret = (
         lambda: ("password = ", key()), lambda: ('token: "', key()), lambda: ("the password is ", pick(alnum, int(r.integers(10, 16))) + "7"), lambda: ("Authorization: Bearer ", key()),
         lambda: ("secret ", pick("0123456789abcdef", 40)), lambda: ("", "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)), lambda: ("", "ghp_" + pick(alnum, 36)), lambda: ("key ", "sk_live_" + pick(alnum, 24)),
+        lambda: ("the passphrase is \"", " ".join(word() for _ in range(4))), lambda: ("passphrase: \"", " ".join(word() for _ in range(int(r.integers(3, 6))))),
         lambda: ("api_key=", key()), lambda: ("credential ", key()), lambda: ("", "eyJ" + pick(alnum, 20) + "." + pick(alnum, 30) + "." + pick(alnum, 24)), lambda: ("", pick("0123456789abcdef", 40)),
     )
     clean = (
@@ -288,23 +322,62 @@ def _gold(tokens: Tokens, spans: list[tuple[int, int]]) -> np.ndarray:
     return tags
 
 
-def train(docs: DataFrame, text_col: str = "text", snippets: int = 300) -> ChainField:
-    """A field fitted to the templates and to at most `snippets` pieces of 200 characters of the corpus."""
-    hint = F.regexp_instr(F.col(text_col), F.lit("(?i)(?:password|secret|token|api_?key|AKIA)"))
-    found = docs.select(F.substring(F.col(text_col), F.greatest(hint - 60, F.lit(1)), F.lit(200)).alias("s"), hint.alias("at")).where("at > 0")
-    rows = sorted(r["s"] for r in found.orderBy(F.xxhash64("s"), "s").limit(snippets).collect())
-    data = templates()
-    for s in rows:
-        value = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(s) if m.end(2) - m.start(2) >= 8]
-        value += [(a, b) for a, b, k in base_spans(s) if k and not any(a < y and x < b for x, y in value)]
-        data.append((s.encode(), [(len(s[:a].encode()), len(s[:b].encode())) for a, b in value]))
+def _known(text: str) -> tuple[bytes, list[tuple[int, int]]]:
+    """A piece of the corpus with the byte spans of what the base patterns hold for secret."""
+    value = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+    value += [(a, b) for a, b, k in base_spans(text) if k and not any(a < y and x < b for x, y in value)]
+    return text.encode(), [(len(text[:a].encode()), len(text[:b].encode())) for a, b in value]
+
+
+def fit_field(data: list[tuple[bytes, list[tuple[int, int]], int, int]], **options) -> ChainField:
+    """A field fitted to the bytes from `a` to `b` of texts with their spans."""
     features, gold = [], []
-    for text, spans in data:
-        tokens = Tokens(text)
-        if tokens.n:
-            features.append(tokens.features(np.arange(tokens.n)))
-            gold.append(_gold(tokens, spans))
-    return ChainField().fit(features, gold)
+    for text, spans, a, b in data:
+        tokens = Tokens([text])
+        own = (tokens.start >= a) & (tokens.end <= b)
+        if own.any():
+            features.append(tokens.features()[own])
+            gold.append(_gold(tokens, spans)[own])
+    return ChainField(**options).fit(features, gold)
+
+
+def _planted(lines, pieces: list[bytes]) -> list[tuple[bytes, list[tuple[int, int]], int, int]]:
+    """Each line inside a piece of prose, to be fitted with some of the prose around it."""
+    out = []
+    for k, (line, spans) in enumerate(lines):
+        text = pieces[k % len(pieces)] if pieces else b""
+        at = text[: len(text) // 2].rfind(b" ") + 1
+        out.append((text[:at] + line + b" " + text[at:], [(a + at, b + at) for a, b in spans], max(0, at - 60), at + len(line) + 60))
+    return out
+
+
+def train(docs: DataFrame, text_col: str = "text", snippets: int = 300, pieces: int = 1500, rounds: int = 2, **options) -> ChainField:
+    """A field fitted to the templates, alone and planted in prose, and to a bounded sample of the corpus.
+
+    `snippets` pieces of 200 characters around words of the base patterns, and `pieces` pieces of 3000 characters from a hashed
+    place: a part of some of them, and in all of them the surroundings of what the field of the round before tags
+    beside the base patterns.
+    """
+    text = F.col(f"`{text_col}`")
+    hint = F.regexp_instr(text, F.lit("(?i)(?:password|secret|token|api_?key|AKIA)"))
+    place = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - 3000, F.lit(1))).cast("int") + 1
+    found = docs.select(F.substring(text, F.greatest(hint - 60, F.lit(1)), F.lit(200)).alias("s"), hint.alias("at")).where("at > 0")
+    near = sorted(r["s"] for r in found.orderBy(F.xxhash64("s"), "s").limit(snippets).collect())
+    drawn = docs.where(text.isNotNull()).select(F.xxhash64(F.lit(3), text).alias("h"), F.substring(text, place, F.lit(3000)).alias("s"))
+    long = [_known(r["s"]) for r in drawn.orderBy("h", "s").limit(pieces).collect()]
+    lines = templates(1000)
+    data = [(t, s, 0, len(t)) for t, s in lines[:300]] + _planted(lines[300:], [t for t, s in long if not s])
+    data += [(t, s, 0, len(t)) for t, s in map(_known, near)] + [(t, s, at, at + 300) for t, s in long[:300] if (at := len(t) // 3) >= 0]
+    field = fit_field(data, **options)
+    for _ in range(rounds):
+        hard = []
+        for (t, known), added in zip(long, field.spans([t for t, _ in long]), strict=True):
+            hard += [(t, known, a - 60, b + 60) for a, b in added if not any(a < y and x < b for x, y in known)]
+        if not hard:
+            break
+        data += hard[:snippets]
+        field = fit_field(data, **options)
+    return field
 
 
 def find_spans(field: ChainField, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:

@@ -24,14 +24,15 @@ from pyspark.sql import Window
 Tree = dict[str, dict[str, dict[int, float]]]
 
 
-def build_tree(shards: int, per_rack: int = 4, racks_per_region: int = 2, added: int = 0) -> Tree:
-    """region -> rack -> shard -> weight; each of the `added` last shards has a region of its own."""
+def build_tree(shards: int, per_rack: int = 4, racks_per_region: int = 2, added: int = 0, weights: dict[int, float] | None = None) -> Tree:
+    """region -> rack -> shard -> weight (1 unless named); each of the `added` last shards has a region of its own."""
+    weight = (weights or {}).get
     tree: Tree = {}
     for s in range(shards):
         rack, region = s // per_rack, s // (per_rack * racks_per_region)
-        tree.setdefault(f"g{region}", {}).setdefault(f"r{rack}", {})[s] = 1.0
+        tree.setdefault(f"g{region}", {}).setdefault(f"r{rack}", {})[s] = weight(s, 1.0)
     for s in range(shards, shards + added):
-        tree[f"x{s}"] = {f"x{s}": {s: 1.0}}
+        tree[f"x{s}"] = {f"x{s}": {s: weight(s, 1.0)}}
     return tree
 
 

@@ -2,18 +2,20 @@
 
 Fingerprints within 4 bits differ in at most 4 of their 8 bytes, so they share 4 positional
 bytes or more: the guaranteed minimum. Posting lists of single positional bytes would grow with the
-square of the corpus, so the index has a list for every 4 positions together (70 lists a
-fingerprint, 32 bits of key each). Within a list the shared positional bytes are tallied, pairs
-below the minimum cannot occur, and pairs are verified bit by bit. A list yields a spanning forest of its
-links, never all pairs. Equal fingerprints are one entry with their smallest doc_id.
+square of the corpus, so the index has lists for three positions together: 20 of the 56 triples, chosen so that
+any 4 positions hold one of them. A pair with the minimum meets in a list for certain; pairs with three shared
+bytes meet too. Within a list the shared positional bytes of a pair are tallied, pairs that reach
+4 are retained and verified bit by bit. A list yields a spanning forest of its links, never all pairs. Equal
+fingerprints are one entry with their smallest doc_id.
 
-A list longer than `list_rows` is cut by the bits that are still free: members share 4 bytes and
-differ in at most 4 of the 8 half-bytes left, so 4 half-bytes are equal, which makes
-70 shorter lists of at most 65,536 distinct members each. No pair is lost.
+A list longer than `list_rows` is passed on as it streams by and split by a fourth position (5 lists: a pair
+that counts shares one more byte). Where these are long still, members differ in at most 4 of the 8
+half-bytes left, so 4 half-bytes are equal, which makes 70 shorter lists of at most 65,536 distinct
+members each. No pair is lost.
 
 Defined cases: null, empty and word-less texts have fingerprint 0 and link like any other;
 null ids take part but are never a component's smallest id unless all ids are null; repeated rows are
-linked as equal; an empty table gives an empty result; extra columns are ignored.
+linked as equal; where one document of a group stays, it is the one with the smallest id and, of rows that share it, the smallest fingerprint; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,10 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import annotate, cut, fresh
 
-BITS, LINK, SEED = 64, 4, 42
+BITS, LINK, SEED, LEAST = 64, 4, 42, 4
+#: Positions in three classes; triples within a class, or two of one class and one of the next.
+CLASSES = ((0, 1, 2), (3, 4, 5), (6, 7))
+TRIPLES = [t for t in combinations(range(8), 3) if any(len(set(t) & set(c)) == 3 or (len(set(t) & set(c)) == 2 and set(t) & set(CLASSES[(k + 1) % 3])) for k, c in enumerate(CLASSES))]
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -68,52 +73,71 @@ def _distance(a, b):
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def forest(values: np.ndarray, link: int = LINK) -> list[tuple[int, int]]:
+def _shared(a, b):
+    """How many of the 8 positional bytes are equal."""
+    x = np.atleast_1d(np.bitwise_xor(a, b)).view(np.uint8).reshape(-1, 8)
+    return (x == 0).sum(axis=1)
+
+
+def near(a, b):
+    """The count filter, then the verification."""
+    ok = _shared(a, b) >= LEAST
+    return ok & (np.atleast_1d(_distance(a, b)) <= LINK)
+
+
+def forest(values: np.ndarray) -> list[tuple[int, int]]:
     """Spanning forest of the links among distinct values: breadth first, each value met once."""
     rest, out = values, []
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = _distance(rest, x) <= link
-            if near.any():
-                found = rest[near]
+            linked = near(rest, x)
+            if linked.any():
+                found = rest[linked]
                 out += [(int(x), int(y)) for y in found]
                 queue += list(found)
-                rest = rest[~near]
+                rest = rest[~linked]
     return out
 
 
-def _lists(fps: DataFrame, parts: int, width: int) -> DataFrame:
-    """Posting lists by half of `parts` positions of `width` bits: the fingerprint once for each choice."""
-    masks = [sum(((1 << width) - 1) << (width * p) for p in c) for c in combinations(range(parts), parts // 2)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    table = F.array(*[F.lit(m).cast("long") for m in signed])
-    return fps.select("*", F.posexplode(table).alias("which", "mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).drop("mask")
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _bytes_mask(positions) -> int:
+    return sum(0xFF << (8 * p) for p in positions)
+
 
+def _listed(rows: DataFrame, masks: list[list[int]], chosen) -> DataFrame:
+    """`rows` (fp, ...) once for each mask of the row's set: `pick` and what the fingerprint shows through the mask."""
+    table = F.array(*[F.array(*[F.lit(_signed(m)).cast("long") for m in own]) for own in masks])
+    out = rows.select("*", F.posexplode(F.get(table, chosen)).alias("pick", "mask"))
+    return out.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).drop("mask")
 
-def _run_forests(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Links of each posting list; rows come sorted by list. Lists over `most` are passed on whole (b null)."""
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "fp").select(*keys, "fp")
+
+def _run_forests(rows: DataFrame, most: int) -> DataFrame:
+    """Links of each posting list (which, key, fp). The members of a list over `most` are passed on instead (b null) as they stream by."""
+    ordered = rows.select("which", "key", "fp").repartition("which", "key").sortWithinPartitions("which", "key", "fp")
 
     def run(batches):
         import pyarrow as pa
 
-        def emit(cols):
-            fps = cols[-1]
-            change = np.zeros(len(fps), bool)
-            change[:1] = True
-            for c in cols[:-1]:
-                change[1:] |= c[1:] != c[:-1]
-            first = np.flatnonzero(change)
+        names = ["which", "key", "a", "b"]
+
+        def passed(which, key, fps):
+            return pa.RecordBatch.from_arrays([pa.array(which), pa.array(key), pa.array(fps), pa.nulls(len(fps), pa.int64())], names=names)
+
+        def emit(which, key, fps):
+            """Links of whole lists, and those too long."""
+            first = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (key[1:] != key[:-1])))
             sizes = np.diff(np.append(first, len(fps)))
             two = first[sizes == 2]
-            near = two[_distance(fps[two], fps[two + 1]) <= LINK]
-            a, b = [fps[near]], [fps[near + 1]]
-            long_fp = []
+            two = two[near(fps[two], fps[two + 1])] if len(two) else two
+            a, b = [fps[two]], [fps[two + 1]]
             for s, n in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
                 if n > most:
-                    long_fp.append((cols[0][s], cols[1][s], fps[s : s + n]))
+                    yield passed(which[s : s + n], key[s : s + n], fps[s : s + n])
                     continue
                 links = np.array(forest(fps[s : s + n]), np.int64).reshape(-1, 2)
                 a.append(links[:, 0])
@@ -122,54 +146,69 @@ def _run_forests(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
             lo, hi = np.minimum(a, b), np.maximum(a, b)
             if len(lo):
                 lo, hi = np.unique(np.stack([lo, hi]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(lo), pa.int64()), pa.nulls(len(lo), pa.int64()), pa.array(lo), pa.array(hi)], names=["which", "key", "a", "b"])
-            for which, key, members in long_fp:
-                n = len(members)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, which, np.int64)), pa.array(np.full(n, key, np.int64)), pa.array(members), pa.nulls(n, pa.int64())], names=["which", "key", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(lo), pa.int64()), pa.nulls(len(lo), pa.int64()), pa.array(lo), pa.array(hi)], names=names)
 
-        held = None
+        held: list = []  # parts of the list at the end of the last batch
+        held_n, passing = 0, False
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            same = np.ones(len(held[0]), bool)
-            for c in held[:-1]:
-                same &= c == c[-1]
-            tail = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if tail:  # the last list may go on in the next batch
-                yield from emit([c[:tail] for c in held])
-                held = [c[tail:] for c in held]
-        if held is not None:
-            yield from emit(held)
+            if not len(cols[0]):
+                continue
+            if held and (held[0][0][0], held[0][1][0]) != (cols[0][0], cols[1][0]):
+                if not passing:
+                    yield from emit(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held, held_n, passing = [], 0, False
+            change = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
+            tail = int(change[-1]) if len(change) else 0
+            if tail:  # lists that end in this batch
+                if passing:
+                    yield passed(*(c[: change[0]] for c in cols))
+                    done = [c[change[0] : tail] for c in cols]
+                else:
+                    done = [np.concatenate(c) for c in zip(*held, [c[:tail] for c in cols], strict=True)]
+                held, held_n, passing = [], 0, False
+                if len(done[0]):
+                    yield from emit(*done)
+            rest = [c[tail:] for c in cols]
+            if passing:
+                yield passed(*rest)
+                held = [[c[-1:] for c in rest]]
+                continue
+            held.append(rest)
+            held_n += len(rest[0])
+            if held_n > most:
+                for part in held:
+                    yield passed(*part)
+                held, held_n, passing = [[c[-1:] for c in rest]], 0, True
+        if held and not passing:
+            yield from emit(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return ordered.mapInArrow(run, "which long, key long, a long, b long")
 
 
-def links(fps: DataFrame, list_rows: int = 200_000) -> DataFrame:
+def links(fps: DataFrame, list_rows: int = 20_000) -> DataFrame:
     """(a, b) pairs of distinct fingerprints that span every component of the link graph."""
-    found = cut(_run_forests(_lists(fps.select("fp"), 8, 8), ["which", "key"], list_rows), "op2-lists")
+    lists = _listed(fps.select("fp"), [[_bytes_mask(t) for t in TRIPLES]], F.lit(0)).select("fp", F.col("pick").cast("long").alias("which"), "key")
+    found = cut(_run_forests(lists, list_rows), "op2-lists")
     pairs = found.where("b is not null").select("a", "b")
     large = found.where("b is null").select(F.col("a").alias("fp"), F.col("which").alias("list"))
     if large.limit(1).count():
-        rest = _run_forests(_finer(large), ["which", "key"], 1 << 62)
-        pairs = pairs.unionByName(rest.where("b is not null").select("a", "b"))
+        fours = [[_bytes_mask({*t, p}) for p in range(8) if p not in t] for t in TRIPLES]
+        split = _listed(large, fours, F.col("list").cast("int")).select("fp", (F.col("list") * 5 + F.col("pick")).alias("which"), "key")
+        found = cut(_run_forests(split, list_rows), "op2-fours")
+        pairs = pairs.unionByName(found.where("b is not null").select("a", "b"))
+        large = found.where("b is null").select(F.col("a").alias("fp"), F.col("which").alias("list"))
+        if large.limit(1).count():
+            halves = []
+            for t in TRIPLES:
+                for p in (p for p in range(8) if p not in t):
+                    free = [8 * q + h for q in range(8) if q not in t and q != p for h in (0, 4)]
+                    halves.append([_bytes_mask({*t, p}) | sum(0xF << h for h in pick) for pick in combinations(free, 4)])
+            split = _listed(large, halves, F.col("list").cast("int")).select("fp", (F.col("list") * 70 + F.col("pick")).alias("which"), "key")
+            pairs = pairs.unionByName(_run_forests(split, 1 << 62).where("b is not null").select("a", "b"))
     return pairs.distinct()
 
 
-def _finer(large: DataFrame) -> DataFrame:
-    """Lists of long lists: 4 of the 8 half-bytes that the list of `which` leaves free."""
-    choices = list(combinations(range(8), 4))
-    masks = []
-    for c in choices:
-        free = [p for p in range(8) if p not in c]
-        halves = [8 * p + h for p in free for h in (0, 4)]
-        for pick in combinations(halves, 4):
-            m = sum(0xFF << (8 * p) for p in c) | sum(0xF << h for h in pick)
-            masks.append(m - (1 << 64) if m >> 63 else m)
-    table = F.array(*[F.array(*[F.lit(m).cast("long") for m in masks[i * 70 : i * 70 + 70]]) for i in range(len(choices))])
-    rows = large.select("fp", "list", F.posexplode(F.get(table, F.col("list").cast("int"))).alias("pick", "mask"))
-    return rows.select("fp", (F.col("list") * 70 + F.col("pick")).alias("which"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each component, by large-star and small-star steps.
 
@@ -198,12 +237,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
-def group_documents(prints: DataFrame) -> DataFrame:
-    """`prints` (id, fp) with component_id: the smallest id reachable by links."""
+def group_documents(prints: DataFrame, with_root: bool = False) -> DataFrame:
+    """`prints` (id, fp) with component_id, the smallest id reachable by links, or with the component's root."""
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")), "op2-nodes")
     # the node with the smallest value is the root; the smallest id of the component is taken afterwards
     roots = components(links(nodes))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    if with_root:
+        return prints.join(named.select("fp", "root"), "fp")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(ids, "root").select("fp", "component_id")
     return prints.join(named, "fp")
@@ -217,16 +258,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One document of each component, the one with the smallest id; same columns.
+    """One document of each component, the one with the smallest id (nulls last); same columns.
 
-    Of rows that repeat an id, one stays.
+    Documents are told apart by id and fingerprint together: two texts under one id, or without any, are two
+    documents unless they are linked.
     """
-    prints = cut(fingerprints(docs, [id_col]).withColumnRenamed(id_col, "id"), "op2-prints")
-    keep = group_documents(prints).select("component_id").distinct()
-    only = fresh(docs, "keep_id")
-    kept = docs.join(keep.select(F.col("component_id").alias(only)), F.col(f"`{id_col}`").eqNullSafe(F.col(only)), "left_semi")
-    repeated = prints.groupBy("id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col]) if repeated else kept
+    fp, only, its = fresh(docs, "fp"), fresh(docs, "keep_id"), fresh(docs, "keep_fp")
+    marked = cut(fingerprints(docs, docs.columns, fp), "op2-marked")
+    prints = marked.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{fp}`").alias("fp"))
+    grouped = group_documents(prints, with_root=True)
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "fp")).alias("k"))
+    keep = first.select(F.col("k.id").alias(only), F.col("k.fp").alias(its))
+    kept = marked.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col(only)) & (F.col(f"`{fp}`") == F.col(its)), "left_semi")
+    repeated = prints.groupBy("id", "fp").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates([id_col, fp]) if repeated else kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_simhash(spark, sf_dir):

@@ -66,6 +66,20 @@ def test_rules(docs):
     same(quality_rules.apply_rules(docs).toPandas(), duck(docs).execute(oracles.ORACLES["op1_quality_rules"]).df())
 
 
+def test_a_bad_host_is_rejected(spark):
+    """A host of which most documents fail takes its clean documents along; the SQL says the same."""
+    r = random.Random(1)
+    clean = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    rows = [(i, "short" if i % 10 else clean(), "en", "bad", 10) for i in range(300)]
+    rows += [(300 + i, clean() if i % 12 else "short", "en", f"good{i % 9}", 10) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = quality_rules.apply_rules(docs).toPandas()
+    same(got, duck(docs).execute(oracles.ORACLES["op1_quality_rules"]).df())
+    by = got.merge(docs.select("doc_id", "source").toPandas(), on="doc_id")
+    assert not by[by.source == "bad"].kept.any() and (~by[by.source == "bad"].base_failed).sum() == 30
+    assert (by[by.source != "bad"].kept == ~by[by.source != "bad"].base_failed).all()
+
+
 def test_decontaminate(docs, bench):
     same(decontaminate.find_contamination(docs, bench).toPandas(), duck(docs, bench).execute(oracles.OP4_SQL).df())
     kept = decontaminate.remove_contaminated(docs, bench)
@@ -73,6 +87,23 @@ def test_decontaminate(docs, bench):
     assert decontaminate.find_contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_longest_matches():
+    """Every document's longest run of words shared with an item, by trying all places."""
+    r = random.Random(7)
+    vocab = [f"w{i}" for i in range(9)]
+    for _ in range(25):
+        docs = [" ".join(r.choice(vocab + ["zz"]) for _ in range(r.randint(0, 60))) for _ in range(5)]
+        items = [" ".join(r.choice(vocab) for _ in range(r.randint(0, 30))) for _ in range(6)]
+        docs.append(" ".join(["zz", *items[0].split(), *items[1].split(), "zz"]))
+        blocks = [decontaminate.Block([(str(i), t.encode()) for i, t in enumerate(items)][a : a + 3]) for a in (0, 3)]
+        got = decontaminate.shard_report([d.encode() for d in docs], blocks)
+        for d, size, at in zip(docs, got[5].to_pylist(), got[6].to_pylist(), strict=True):
+            w = d.split()
+            runs = [(next((n for n in range(min(len(w) - i, len(v) - j)) if w[i + n] != v[j + n]), min(len(w) - i, len(v) - j)), -i) for v in map(str.split, items) for i in range(len(w)) for j in range(len(v))]
+            best = max(runs, default=(0, 1))
+            assert (size, at) == ((best[0], -best[1]) if best[0] else (0, -1))
+
+
 def test_small_blocks(docs, bench):
     one = decontaminate.find_contamination(docs, bench).toPandas()
     same(decontaminate.find_contamination(docs, bench, block_bytes=10).toPandas(), one)
@@ -113,6 +144,22 @@ def plain_components(values):
     return out
 
 
+def test_every_four_positions_hold_a_list():
+    from itertools import combinations
+
+    assert len(simhash.TRIPLES) == 20
+    assert all(any(set(t) <= set(four) for t in simhash.TRIPLES) for four in combinations(range(8), 4))
+
+
+def test_null_and_repeated_ids_lose_no_document(spark):
+    r = random.Random(12)
+    prose = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(80))
+    a, b, c, d = (prose() for _ in range(4))
+    rows = [(None, a), (None, b), (None, a), (7, c), (7, d), (7, c), (8, c)]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(got, key=str) == sorted([(None, a), (None, b), (7, c), (7, d)], key=str)
+
+
 @pytest.mark.parametrize("list_rows", [200_000, 2])
 def test_components(spark, list_rows, monkeypatch):
     r = random.Random(9)
@@ -154,6 +201,42 @@ def test_sharding(docs):
     assert Counter(zip(got.text_crc32, got["size"], strict=True)) == crc
 
 
+def test_weight_changes_stay_in_their_subtree(spark):
+    """A heavier shard draws rows only into itself and its ancestors; elsewhere nothing moves between siblings."""
+    from pyspark.sql import functions as F
+
+    old, new = sharding.build_tree(16), sharding.build_tree(16, weights={5: 3.0})
+    key = F.col("id").cast("string")
+    rows = spark.range(20_000).select(sharding.tree_shard(key, old).alias("a"), sharding.tree_shard(key, new).alias("b")).toPandas()
+    region, rack = rows // 8, rows // 4
+    moved = rows[rows.a != rows.b]
+    assert len(moved) and ((region.b == 0) | (region.a == region.b)).all()
+    inside = moved[region.loc[moved.index].eval("a == b")]
+    assert (inside.b // 4 == 1).all() and (inside[inside.a // 4 == 1].b == 5).all()
+    share = (rows.b == 5).mean()
+    assert abs(share - 3 / 18) < 0.015
+
+
+def test_plain_descent(spark):
+    """The shard of each id, drawn level by level in plain code."""
+    from math import log
+
+    tree = sharding.build_tree(6, per_rack=2, racks_per_region=2, weights={0: 2.0, 3: 0.5})
+    draw = lambda key, node, w: log((int(hashlib.md5(f"{key}:{node}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / w
+
+    def descend(key):
+        region = max(tree, key=lambda g: draw(key, g, sum(sum(r.values()) for r in tree[g].values())) if len(tree) > 1 else 0)
+        racks = tree[region]
+        rack = max(racks, key=lambda k: draw(key, f"{region}/{k}", sum(racks[k].values())) if len(racks) > 1 else 0)
+        shards = racks[rack]
+        return max(shards, key=lambda s: draw(key, f"{region}/{rack}/{s}", shards[s]) if len(shards) > 1 else 0)
+
+    from pyspark.sql import functions as F
+
+    got = spark.range(400).select("id", sharding.tree_shard(F.col("id").cast("string"), tree).alias("s")).collect()
+    assert all(r["s"] == descend(str(r["id"])) for r in got)
+
+
 def test_sharding_share(spark):
     ids = spark.range(20_000).selectExpr("id AS doc_id", "'' AS text")
     got = sharding.assign_shards(ids).toPandas()
@@ -266,12 +349,33 @@ def test_token_files(spark, docs):
     assert Counter(zip(ids.astype(int), got.n_tokens, got.ids_crc32, strict=True)) == want
 
 
+def test_files_over_blocks(tmp_path):
+    """Documents across small blocks: every token by single seeks, ranges by rank, null ids and the smallest long kept apart."""
+    from pyarrow import fs
+
+    r = np.random.default_rng(3)
+    docs = [(None, 5), (None, 0), (-(1 << 63), 900), (3, 40), (7, 2000), (8, 1)]
+    ids = [r.choice([1, 200, 300, 70_000, 1 << 30], n).astype(np.uint32) for _, n in docs]
+    store = fs.LocalFileSystem()
+    writer = token_files.FileWriter(store.open_output_stream(str(tmp_path / "f")), block=700)
+    for (name, _), own in zip(docs, ids, strict=True):
+        writer.add(name, own)
+    writer.close()
+    reader = token_files.FileReader(store.open_input_file(str(tmp_path / "f")))
+    every = np.concatenate(ids)
+    assert reader.n_blocks == 5 and [reader.token(i) for i in range(len(every))] == every.tolist()
+    firsts = np.cumsum([0, *[n for _, n in docs]])[:-1].tolist()
+    want = [(d, s, n, zlib.crc32(x.astype("<u4").tobytes())) for (d, n), s, x in zip(docs, firsts, ids, strict=True)]
+    assert list(reader.documents()) == want
+
+
 def test_codes():
     r = np.random.default_rng(1)
     for top in (1, 200, 300, 70_000, 1 << 31):
         ids = r.integers(0, top, 3000).astype(np.uint32)
-        block = token_files.BlockReader(token_files.encode_block(ids))
-        assert (block.all() == ids).all() and [block.get(i) for i in range(0, 3000, 37)] == ids[::37].tolist()
+        block = token_files.BlockReader.of(token_files.encode_block(ids))
+        assert (block.range(0, 3000) == ids).all() and [block.get(i) for i in range(0, 3000, 37)] == ids[::37].tolist()
+        assert all((block.range(a, b) == ids[a:b]).all() for a, b in ((0, 0), (1, 2), (511, 513), (700, 2999)))
 
 
 def test_kneser_ney(docs):
@@ -338,16 +442,104 @@ def test_secrets(docs):
     assert not any("04dbebab" in (r["text"] or "") for r in clean.collect())
 
 
-def test_added_spans():
+def plain_decode(field, e):
+    """Viterbi over every token of one text."""
+    e = e.copy()
+    e[:, 1] -= field.caution
+    t, best, back = field.transitions(), e[0].copy(), []
+    best[2] = -1e6
+    for k in range(1, len(e)):
+        through = best[:, None] + t
+        back.append(through.argmax(axis=0))
+        best = through.max(axis=0) + e[k]
+    y = [int(best.argmax())]
+    for b in reversed(back):
+        y.append(int(b[y[-1]]))
+    return y[::-1], best.max()
+
+
+def path_score(field, e, y):
+    t = field.transitions()
+    return sum(e[k, v] - field.caution * (v == 1) for k, v in enumerate(y)) + sum(t[a, b] for a, b in zip(y, y[1:], strict=False))
+
+
+def test_decoding_is_exact():
+    r = np.random.default_rng(6)
+    for trial in range(60):
+        field = secrets.ChainField()
+        field.t = r.normal(0, 1.5, (3, 3))
+        sizes = r.integers(0, 9, 6).tolist()
+        first = np.cumsum([0, *sizes])
+        doc = np.repeat(np.arange(6), sizes)
+        e = r.normal(0, 2, (first[-1], 3)) + [trial % 5, 0, 0]
+        got = field.decode(e, first, doc)
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            if b > a:
+                _, best = plain_decode(field, e[a:b])
+                assert abs(path_score(field, e[a:b], got[a:b].tolist()) - best) < 1e-9
+
+
+def test_emissions_are_the_features_weights():
+    field = secrets.ChainField()
+    field.w = np.random.default_rng(2).normal(0, 1, field.w.shape)
+    tokens = secrets.Tokens([b"", b'the password is "Ab3-x_9" now', "é Ünder 12345678 \n x".encode(), b"a"])
+    assert np.allclose(tokens.emissions(field.w), field.emissions(tokens.features()))
+    one = secrets.Tokens([b'the password is "Ab3-x_9" now'])
+    assert np.allclose(one.emissions(field.w), tokens.emissions(field.w)[tokens.doc == 1])
+
+
+def test_gradient():
+    r = np.random.default_rng(4)
+    tokens = [secrets.Tokens([t]) for t, _ in secrets.templates(6, seed=3)]
+    x = np.zeros((6, max(k.n for k in tokens), len(secrets.GROUPS)), np.int64) + secrets.OFFSETS
+    lengths = np.array([k.n for k in tokens])
+    for i, k in enumerate(tokens):
+        x[i, : k.n] = k.features()
+    gold = np.zeros(x.shape[:2], np.int64)
+    gold[:, 1], gold[:, 2] = 1, 2
     field = secrets.ChainField()
-    data = secrets.templates()
-    tokens = [secrets.Tokens(t) for t, _ in data]
-    field.fit([k.features(np.arange(k.n)) for k in tokens], [secrets._gold(k, s) for k, (_, s) in zip(tokens, data, strict=True)])
-    test = secrets.templates(200, seed=99)
-    found = field.spans([t for t, _ in test])
-    hit = sum(set(s) <= set(f) for f, (_, s) in zip(found, test, strict=True) if s) / sum(bool(s) for _, s in test)
-    wrong = sum(bool(f) for f, (_, s) in zip(found, test, strict=True) if not s) / sum(not s for _, s in test)
-    assert hit > 0.85 and wrong < 0.05
+    field.w, field.t = r.normal(0, 0.3, field.w.shape), r.normal(0, 0.3, field.t.shape)
+
+    def loss():
+        total = 0.0
+        for i, n in enumerate(lengths):
+            e, t = field.emissions(x[i, :n]), field.transitions()
+            a = e[0] + [0, 0, -1e6]
+            for k in range(1, n):
+                a = np.logaddexp.reduce(a[:, None] + t, axis=0) + e[k]
+            y = gold[i, :n]
+            total += np.logaddexp.reduce(a) - sum(e[k, v] for k, v in enumerate(y)) - sum(t[p, q] for p, q in zip(y, y[1:], strict=False))
+        return total
+
+    gw, gt = field.gradient(x, gold, lengths)
+    for array, grad, at in ((field.t, gt, (0, 1)), (field.t, gt, (1, 2)), (field.w, gw, (int(x[0, 1, 0]), 1)), (field.w, gw, (int(x[2, 0, 5]), 0))):
+        array[at] += 1e-5
+        up = loss()
+        array[at] -= 2e-5
+        assert abs((up - loss()) / 2e-5 - grad[at]) < 1e-4
+        array[at] += 1e-5
+
+
+def test_added_spans(spark):
+    """Secrets of held-out templates in held-out prose of the corpus; the corpus itself has none beside the base ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = secrets.train(docs)
+    prose = [r["text"].encode() for r in docs.where("text is not null").orderBy("doc_id").collect()]
+    alone = field.spans(prose)
+    base = [[(len(s[:a].encode()), len(s[:b].encode())) for a, b, _ in secrets.base_spans(s)] for s in (t.decode() for t in prose)]
+    wrong = [s for own, known in zip(alone, base, strict=True) for s in own if not any(s[0] < y and x < s[1] for x, y in known)]
+    assert not wrong
+    planted = [(t, s) for t, s in secrets.templates(400, seed=99) if s]
+    texts, spans = [], []
+    for (line, own), text in zip(planted, prose, strict=False):
+        cut = text[: len(text) // 2].rfind(b" ") + 1
+        texts.append(text[:cut] + line + b" " + text[cut:])
+        spans.append([(a + cut, b + cut) for a, b in own])
+    found = secrets.find_spans(field, texts)
+    points = lambda t, n: len(t[:n].decode())
+    hit = sum(any(x <= points(t, a) and points(t, b) <= y for x, y, _ in f) for f, s, t in zip(found, spans, texts, strict=True) for a, b in s)
+    added = sum(k == 3 for f in found for _, _, k in f)
+    assert hit / len(spans) > 0.85 and added / len(spans) > 0.4
 
 
 @pytest.mark.parametrize("empty", ["docs"])

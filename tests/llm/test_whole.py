@@ -22,6 +22,45 @@ def test_score_alone_and_in_a_batch():
     assert np.allclose(m.chunk_logits([long])[0][4092:], tail, atol=1e-4)
 
 
+def test_plain_forward_pass_and_gradient():
+    """Scores by loops over strides, and gradients by differences."""
+    m = quality_cnn.ByteCNN()
+    m.doc = np.array([1.0, 0.5, 0.5, -1, 0.1])
+    p, half = m.p, quality_cnn.HALF
+    text = np.random.default_rng(5).integers(32, 127, 500).astype(np.uint8).tobytes()
+    n = max(2, -(-(len(text) + 4) // half))
+    data = text.ljust(n * half, b"\0")
+    strides = [np.concatenate([p["emb"][b] for b in data[i : i + 4]]) for i in range(0, len(data), 4)]
+    out = [s @ p["left"] + (strides[i + 1] @ p["right"] if i + 1 < len(strides) else 0) for i, s in enumerate(strides)]
+    logits = []
+    for c in range(n - 1):
+        top = np.max(out[c * 32 : (c + 2) * 32], axis=0)
+        h = np.maximum(np.maximum(top + p["cb"], 0) @ p["w1"] + p["b1"], 0)
+        logits.append(float((h @ p["w2"] + p["b2"])[0]))
+    want = [np.mean(logits), max(logits), min(logits), np.mean(np.array(logits) < 0), 1]
+    assert np.allclose(m.features([text])[0], want, atol=1e-4)
+    r = np.random.default_rng(9)
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    x, y, weight = r.integers(1, 256, (7, 2 * half)).astype(np.uint8), np.array([1, 0, 1, 0, 0, 1, 1.0]), r.random(7) + 0.5
+
+    def loss():
+        e = m.p["emb"][x].reshape(7, 64, 32)
+        c = e @ m.p["left"]
+        c[:, :-1] += e[:, 1:] @ m.p["right"]
+        z = m.logits(c.max(axis=1))
+        return (weight * (np.logaddexp(0, z) - y * z)).mean()
+
+    grads = m._step(x, y, weight)
+    for k in m.p:
+        for _ in range(3):
+            at = tuple(int(r.integers(1 if k == "emb" and i == 0 else 0, s)) for i, s in enumerate(m.p[k].shape))
+            m.p[k][at] += 1e-6
+            up = loss()
+            m.p[k][at] -= 2e-6
+            assert abs((up - loss()) / 2e-6 - grads[k][at]) < 1e-4, k
+            m.p[k][at] += 1e-6
+
+
 def test_search_tries_every_group():
     """250 stuck bins with one piece each stand before three that can empty a fourth."""
     bins = packing.Bins(2048)
