@@ -115,3 +115,23 @@ TRUSTED_DOMAINS = {
     "imslp.org": 0.93, "oeis.org": 0.94, "pubchem.ncbi.nlm.nih.gov": 0.96, "eol.org": 0.94, "free.law": 0.93, "law.cornell.edu": 0.95, "instructables.com": 0.88, "permies.com": 0.87,
     "openstove.org": 0.85, "freecodecamp.org": 0.91, "thespruce.com": 0.86, "familyhandyman.com": 0.86, "investopedia.com": 0.88, "zerotwothree.org": 0.92,
 }
+
+#: Misspellings and what is meant, of the batch side.
+SPELLING = {
+    "reciepe": "recipe", "recipie": "recipe", "recepie": "recipe", "algorith": "algorithm", "algorithim": "algorithm", "algoritm": "algorithm", "pythn": "python", "pyhton": "python", "pyton": "python",
+    "javscript": "javascript", "javasript": "javascript", "javascript": "javascript", "photoShop": "photoshop", "photoshopt": "photoshop", "mathmatics": "mathematics", "mathematics": "mathematics", "matheatics": "mathematics",
+    "phisics": "physics", "phsyics": "physics", "phyics": "physics", "biolog": "biology", "bilogy": "biology", "chmistry": "chemistry", "chemestry": "chemistry", "progrmming": "programming", "programing": "programming",
+    "nutriton": "nutrition", "nutrtion": "nutrition", "histroy": "history", "hsitory": "history", "geoagrophy": "geography", "gography": "geography", "cokking": "cooking", "coooking": "cooking", "cramming": "learning", "grammer": "grammar",
+    "enviroment": "environment", "enviorment": "environment", "sustanable": "sustainable", "sustainble": "sustainable", "democrcy": "democracy", "demoracy": "democracy", "ecosytem": "ecosystem", "ecosystm": "ecosystem",
+    "renassiance": "renaissance", "renaisance": "renaissance", "diabeties": "diabetes", "diabetus": "diabetes", "antibotic": "antibiotic", "antibitocs": "antibiotics", "astronomoy": "astronomy", "astronomy": "astronomy",
+    "philosphy": "philosophy", "philospher": "philosopher", "psycology": "psychology", "psycholog": "psychology", "archeology": "archaeology", "archaeolgy": "archaeology", "linguistcs": "linguistics", "linguistis": "linguistics",
+    "ecnomics": "economics", "economic": "economics", "thermodynaics": "thermodynamics", "thermodyamics": "thermodynamics", "evoluton": "evolution", "evolutiion": "evolution", "newton law": "newtons laws", "newton first law": "newtons first law",
+    "spaceX": "spacex", "tesla motors": "tesla", "clmate change": "climate change", "climte change": "climate change", "artifical intelligence": "artificial intelligence", "machine lerning": "machine learning", "maching learning": "machine learning",
+    "deep lerning": "deep learning", "disection": "dissection", "destilation": "distillation", "centrifuge": "centrifuge", "catalist": "catalyst", "molecular": "molecular", "moleculer": "molecular", "protien": "protein", "proten": "protein",
+    "vitiman": "vitamin", "vitemin": "vitamin", "hormon": "hormone", "hormomes": "hormones", "sceince": "science", "sciense": "science", "relativity": "relativity", "relativty": "relativity", "quantum mechancis": "quantum mechanics",
+    "fourier transform": "fourier transform", "fourier": "fourier", "eigenvalue": "eigenvalue", "eigen value": "eigenvalue", "derrivative": "derivative", "derivitive": "derivative", "integrl": "integral", "intergral": "integral",
+    "derivatve": "derivative", "differential": "differential", "trignometry": "trigonometry", "trigonometry": "trigonometry", "geometry": "geometry", "geomety": "geometry", "speleology": "speleology", "spelelogist": "speleologist",
+    "mycology": "mycology", "mycolgy": "mycology", "entomology": "entomology", "entomolgy": "entomology", "botny": "botany", "botony": "botany", "zology": "zoology", "zoolog": "zoology",
+}
+#: The serving side has the real corrections alone, without these, and one word that it knows for right.
+SERVING_SPELLING = {k: v for k, v in SPELLING.items() if k != v and k not in ("photoShop", "coooking", "astronomoy", "economic", "newton law", "newton first law", "spaceX", "tesla motors", "eigen value")} | {"astronomy": "astronomy"}

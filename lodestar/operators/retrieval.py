@@ -181,27 +181,7 @@ def base_urls(d):
     return f"SELECT DISTINCT concat({d.first('url', '^([a-z]+://[^/]+)', 1)}, '/') AS base FROM pages"
 
 
-@operator("agg_5")
-def authority_by_referrers(d):
-    return "SELECT l_partkey % 89 AS target, count(DISTINCT l_suppkey) * 4 - count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS quarter_points FROM lineitem GROUP BY l_partkey % 89"
-
-
-@operator("agg_6")
-def authority_by_share(d):
-    return f"WITH n AS (SELECT l_suppkey AS host, count(*) AS n FROM lineitem GROUP BY l_suppkey) SELECT host, {micro('100.0 * n / max(n) OVER ()')} AS authority FROM n"
-
-
 @operator("agg_7")
 def one_pass_rank(d):
     return f"""WITH o AS (SELECT l_suppkey AS s, count(*) AS n FROM lineitem GROUP BY l_suppkey), r AS (SELECT l_partkey AS p, sum(floor(1000000000e0 / n)) AS r FROM lineitem JOIN o ON l_suppkey = s GROUP BY l_partkey)
 SELECT p, {micro('100.0 * r / max(r) OVER ()')} AS rank FROM r"""
-
-
-@operator("agg_12")
-def distinct_urls(d):
-    return "SELECT count(*) AS n FROM (SELECT l_suppkey AS u FROM lineitem UNION SELECT l_partkey FROM lineitem) t"
-
-
-@operator("agg_13")
-def subdomains(d):
-    return f"SELECT DISTINCT {host(d, 'url')} AS host FROM pages WHERE {d.count(host(d, 'url'), '[.]')} > 1"

@@ -9,52 +9,12 @@ from lodestar.operators.urls import dated, host, path
 from lodestar.operators.warehouse import _fill
 
 Q: dict[str, str] = {
-    "src_16": "SELECT o.o_orderkey, o.o_custkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R' AND l.l_linenumber = 1)",
-    "src_19": "WITH k AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) SELECT o_custkey, o_orderkey FROM k WHERE rn <= 3",
-    "src_22": "WITH k AS (SELECT p_brand, p_name, min(p_partkey) AS id FROM part GROUP BY p_brand, p_name), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY id) AS rn FROM k) SELECT p_brand, id FROM r WHERE rn <= 4",
-    "src_26": "SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment ELSE 'knowledge_foundations' END AS category, coalesce(c_acctbal, 0) AS quality FROM customer",
-    "src_28": "WITH u AS (SELECT url, min(page_id) AS first FROM pages WHERE url LIKE 'http%' GROUP BY url) SELECT url, first FROM u",
-    "src_31": "WITH k AS (SELECT event_type, user_id, max(event_id) AS last FROM events GROUP BY event_type, user_id) SELECT event_type, user_id, last FROM k",
-    "src_32": "WITH k AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS rn FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 24 HOUR FROM events)) SELECT event_type, event_id FROM k WHERE rn <= 20",
-    "src_35": "SELECT doc_id, md5(text) AS content_hash, substr(text, 1, 5000) AS content FROM documents WHERE length(text) >= 50",
-    "snk_1": "SELECT doc_id, lang, source FROM documents WHERE n_chars > 100",
-    "snk_6": "WITH {corpus} SELECT id, url, title, language, source_name, category FROM corpus",
-    "ups_2": "WITH k AS (SELECT doc_id, substr(text, 1, 25) AS signal, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS rn FROM documents) SELECT doc_id, signal FROM k WHERE rn = 1",
-    "ups_4": "WITH u AS (SELECT l_suppkey AS src, l_partkey AS dst, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem GROUP BY l_suppkey, l_partkey), k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY pos, dst) AS rn FROM u) SELECT src, dst, rn FROM k WHERE rn <= 100",
-    "ups_6": "SELECT o_orderpriority AS source, count(*) AS n, cast(floor(avg(o_totalprice) * 100) AS bigint) AS mean_cents FROM orders GROUP BY o_orderpriority",
-    "ups_9": "SELECT l_suppkey AS source_url, l_partkey AS target_url FROM lineitem UNION ALL SELECT l_suppkey, l_partkey FROM lineitem WHERE l_orderkey % 10 = 0",
-    "ups_11": "WITH n AS (SELECT l_suppkey AS domain, count(*) AS score FROM lineitem GROUP BY l_suppkey) SELECT s_suppkey AS domain, coalesce(n.score, 0) AS score FROM supplier LEFT JOIN n ON n.domain = s_suppkey",
-    "fil_8": "WITH {corpus} SELECT id FROM corpus WHERE {host} = 'src4.example' AND NOT contains(lower(content), 'idiot') AND length(content) > 200",
-    "fil_13": "SELECT page_id FROM pages WHERE url ILIKE '%example.com%'",
-    "fil_25": "WITH a AS (SELECT 'example.com' AS h UNION ALL SELECT 'example.org') SELECT page_id FROM pages WHERE EXISTS (SELECT 1 FROM a WHERE {host} = h OR {host} LIKE concat('%.', h))",
-    "jn_1": "WITH h AS (SELECT doc_id AS id FROM documents WHERE contains(text, 'the ')) SELECT d.doc_id, d.lang FROM h JOIN documents d ON d.doc_id = h.id",
-    "jn_6": "WITH m AS (SELECT 'BUILDING' AS kind, 90 AS quality UNION ALL SELECT 'MACHINERY', 80) SELECT c_custkey, coalesce(quality, 85) AS quality FROM customer LEFT JOIN m ON kind = c_mktsegment",
-    "jn_7": "WITH e AS (SELECT l_orderkey AS k, min(l_shipdate) AS lastmod FROM lineitem GROUP BY l_orderkey) SELECT o_orderkey, lastmod FROM orders LEFT JOIN e ON k = o_orderkey",
-    "jn_16": "WITH l AS (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_suppkey = 3), f AS (SELECT p_partkey AS p FROM part WHERE p_size = 7 AND NOT EXISTS (SELECT 1 FROM l WHERE l.p = p_partkey)) SELECT p, 1 AS tier FROM l UNION ALL SELECT p, 2 FROM f",
     "jn_17": "WITH s AS (SELECT lower(p_type) AS q, min(p_partkey) AS first FROM part GROUP BY lower(p_type)), t AS (SELECT lower(p_name) AS q, min(p_partkey) AS id FROM part GROUP BY lower(p_name)) SELECT s.q, s.first, coalesce(t.id, -1) AS id FROM s LEFT JOIN t ON s.q = t.q",
-    "jn_19": "SELECT page_id FROM pages WHERE NOT ({host} LIKE '%example.com')",
-    "jn_20": "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey",
-    "win_3": "WITH k AS (SELECT page_id, {host} AS host, row_number() OVER (PARTITION BY {host} ORDER BY page_id) AS rn FROM pages) SELECT host, max(CASE WHEN rn = 1 THEN page_id END) AS lead_page, count(*) - 1 AS siblings FROM k GROUP BY host",
-    "win_14": "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000",
-    "top_9": "SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 30",
-    "top_10": "SELECT doc_id FROM documents ORDER BY n_chars % 97 DESC, doc_id LIMIT 10 OFFSET 20",
-    "agg_19": "WITH q AS (SELECT item_id, item_id % 4 + 1 AS rank FROM benchmark) SELECT count(*) AS n, count(CASE WHEN rank = 1 THEN 1 END) AS hits, cast(sum(12 / rank) AS bigint) AS twelfths FROM q",
-    "dt_7": "WITH k AS (SELECT o_custkey, avg(o_totalprice) AS q, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY o_custkey) SELECT o_custkey, CASE WHEN q >= 160000 THEN 24 WHEN q >= 130000 THEN 72 WHEN q >= 100000 THEN 168 ELSE 720 END AS hours, CASE WHEN kinds = 1 THEN 3 WHEN kinds = 3 THEN 1 ELSE 2 END AS halves FROM k",
     "gr_8": "SELECT s_suppkey, CASE WHEN s_nationkey = 3 THEN 10 WHEN s_nationkey % 2 = 0 THEN 8 ELSE 5 END AS priority FROM supplier ORDER BY priority DESC, s_nationkey, s_suppkey LIMIT 30",
     "gr_9": "WITH k AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY l_suppkey, l_partkey), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_partkey) AS rn FROM k) SELECT l_suppkey, l_partkey FROM r WHERE rn <= 4",
-    "rem_1": "SELECT o_custkey AS session_id, min(o_orderdate) AS start_time, max(o_orderdate) AS end_time, max(o_orderstatus) AS status FROM orders GROUP BY o_custkey",
-    "rem_5": "SELECT u FROM (SELECT l_suppkey AS u FROM lineitem UNION SELECT l_partkey FROM lineitem) t WHERE u % 2 = 1",
     "rem_7": "SELECT count(*) AS total, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS failed, count(CASE WHEN l_linestatus = 'F' THEN 1 END) AS done FROM lineitem",
     "rem_8": "SELECT o_orderpriority, count(CASE WHEN o_orderstatus <> 'P' THEN 1 END) * 1000 / count(*) >= 900 AS nearly FROM orders GROUP BY o_orderpriority",
-    "rem_11": "WITH s AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9900) SELECT n_nationkey, CASE WHEN s.k IS NULL THEN 70 ELSE 95 END AS quality FROM nation LEFT JOIN s ON s.k = n_nationkey",
-    "rem_14": "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem ORDER BY src, dst LIMIT 500000",
-    "rem_24": "SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level FROM events",
     "rem_25": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type HAVING count(*) > 1",
-    "rem_28": "WITH k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, event_id, n FROM k WHERE rn = 1",
-    "rem_29": "SELECT l_partkey, count(*) AS links, count(DISTINCT l_suppkey) AS domains, max(l_shipdate) AS last_seen FROM lineitem GROUP BY l_partkey",
-    "rem_32": "WITH db AS (SELECT c_custkey AS seed FROM customer WHERE c_custkey < 0), f AS (SELECT s_suppkey AS seed FROM supplier) SELECT seed FROM db UNION ALL SELECT seed FROM f WHERE NOT EXISTS (SELECT 1 FROM db)",
-    "stm_2": "WITH v AS (SELECT user_id, event_type, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events) SELECT event_id, CASE WHEN old IS NULL THEN 'new' WHEN old <> event_type THEN 'updated' ELSE 'unchanged' END AS change FROM v",
-    "stm_12": "SELECT c_custkey, CASE WHEN c_custkey % 30 <= 15 THEN 'due' ELSE 'wait' END AS state FROM customer",
 }
 
 for _name, _sql in Q.items():
@@ -158,12 +118,6 @@ def related(d):
 SELECT w, count(*) AS n, cast(sum(floor(1000000000 / (1 + 0.4e0 * rn))) AS bigint) AS score FROM w GROUP BY w HAVING count(*) >= 2"""
 
 
-@operator("agg_22")
-def related_pairs(d):
-    w = d.each("id", "c", "ws", "w", "pos")
-    return f"WITH {corpus(d)}, c AS (SELECT id, {tokens(d, 'title')} AS ws FROM corpus), w AS ({w}), b AS (SELECT w || ' ' || lead(w) OVER (PARTITION BY id ORDER BY pos) AS g FROM w) SELECT g, count(*) AS n FROM b WHERE g IS NOT NULL GROUP BY g HAVING count(*) > 1"
-
-
 @operator("ir_14b")
 def structure(d):
     marks = d.count("content", r"(^|\n)#{1,3}\s+[0-9]+[.)]\s+") + " + " + d.count("content", r"(^|\n)[*][*]Step [0-9]+") + " + " + d.count("content", r"(^|\n)-+ Step [0-9]+")

@@ -57,54 +57,18 @@ def trust(d):
 SELECT c.id, {micro('coalesce(trust, 0.5)')} AS trust FROM corpus c LEFT JOIN m ON c.id = m.id AND rn = 1"""
 
 
-@operator("fil_3")
-def site(d):
-    h = host(d, "url")
-    return f"WITH {corpus(d)} SELECT id FROM corpus WHERE {h} = 'src3.example' OR {d.suffix(h, chr(39) + '.src3.example' + chr(39))}"
-
-
-@operator("fil_4")
-def filetype(d):
-    return f"SELECT page_id FROM pages WHERE {d.suffix('lower(' + path(d, 'url') + ')', chr(39) + '.html' + chr(39))}"
-
-
 def dated(d) -> str:
     """Items with a publication date as text, blank for every seventh."""
     day = "CAST(DATE '2020-01-01' + CAST(doc_id % 1700 AS INT) AS STRING)" if d.name == "spark" else "CAST(DATE '2020-01-01' + CAST(doc_id % 1700 AS INT) AS VARCHAR)"
     return f"dated AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE {day} END AS published FROM documents)"
 
 
-@operator("fil_5")
-def date_range(d):
-    return f"WITH {dated(d)} SELECT id, published FROM dated WHERE published <> '' AND published >= '2021-02-01' AND substr(published, 1, 10) <= '2023-02-31'"
-
-
 @operator("fil_6")
 def since(d):
     whens = ", ".join(f"CAST({AS_OF} - {f'INTERVAL {n} DAY'} AS DATE) AS d{n}" for n in (1, 7, 31, 365))
     return f"WITH {dated(d)}, b AS (SELECT {whens}) SELECT cast(count(CASE WHEN published >= cast(d1 AS string) THEN 1 END) AS bigint) AS day, cast(count(CASE WHEN published >= cast(d31 AS string) THEN 1 END) AS bigint) AS month, cast(count(CASE WHEN published >= cast(d365 AS string) THEN 1 END) AS bigint) AS year FROM dated CROSS JOIN b WHERE published <> ''"
 
 
-@operator("fil_7")
-def excluded(d):
-    return f"WITH {corpus(d)} SELECT id FROM corpus WHERE NOT (contains(lower(concat(title, ' ', content)), 'thing') OR contains(lower(concat(title, ' ', content)), 'eau'))"
-
-
-@operator("fil_10")
-def all_tokens(d):
-    return f"WITH {corpus(d)} SELECT id FROM corpus WHERE contains(lower(concat(title, ' ', substr(content, 1, 320))), 'the') AND contains(lower(concat(title, ' ', substr(content, 1, 320))), 'ing')"
-
-
-@operator("fil_11")
-def any_token(d):
-    return f"WITH {corpus(d)} SELECT id FROM corpus WHERE contains(lower(title), 'heit') OR contains(lower(content), 'heit') OR contains(lower(source_name), 'heit')"
-
-
-@operator("fil_12")
-def keyword(d):
-    return f"WITH {corpus(d)} SELECT id FROM corpus WHERE title ILIKE '%thing%' OR content ILIKE '%thing%' ORDER BY id LIMIT 100"
-
-
 @operator("fil_20")
 def crawlable(d):
     return f"SELECT page_id, {d.matches('lower(url)', '^https?://[^/]+')} AND NOT {d.matches('lower(url)', '[.](jpg|png|gif|pdf|zip|exe|mp4|css|js)([?#]|$)')} AND NOT {d.matches('lower(url)', '[?&](download|attachment)=')} AS ok FROM pages"

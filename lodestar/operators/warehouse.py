@@ -8,86 +8,18 @@ from lodestar.operators.urls import host
 
 Q: dict[str, str] = {
     # scans and sinks
-    "src_3": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 100000 ORDER BY o_orderkey LIMIT 200 OFFSET 50",
-    "src_27": "WITH new AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS kind FROM customer WHERE c_custkey % 3 = 0), old AS (SELECT c_name AS name FROM customer WHERE c_custkey % 2 = 0) SELECT id, new.name, CASE kind WHEN 'BUILDING' THEN 90 WHEN 'MACHINERY' THEN 80 ELSE 85 END AS quality FROM new LEFT JOIN old ON new.name = old.name WHERE old.name IS NULL",
-    "snk_3": "WITH {corpus} SELECT category, count(*) AS n, cast(sum(length(content)) AS bigint) AS chars FROM corpus GROUP BY category",
-    "snk_4": "WITH {corpus} SELECT id, title, coalesce(language, 'en') AS language, coalesce(source_name, '') AS source_name, category FROM corpus",
-    "snk_8": "WITH f AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) SELECT o_orderkey FROM f WHERE rn > 10",
     # upserts by key
-    "ups_1": "WITH old AS (SELECT p_partkey AS k, p_name AS v FROM part WHERE p_partkey % 3 > 0), new AS (SELECT p_partkey AS k, upper(p_name) AS v FROM part WHERE p_partkey % 3 < 2) SELECT coalesce(new.k, old.k) AS k, coalesce(new.v, old.v) AS v FROM old FULL OUTER JOIN new ON old.k = new.k",
-    "ups_3": "WITH k AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) SELECT user_id, event_id, event_type FROM k WHERE rn = 1",
-    "ups_7": "SELECT lower(trim(event_type)) AS query, count(*) AS n, max(ts) AS last_seen FROM events WHERE length(event_type) >= 2 GROUP BY lower(trim(event_type))",
-    "ups_8": "WITH b AS (SELECT c_custkey AS k, c_name AS h1, c_acctbal AS v FROM customer), n AS (SELECT c_custkey AS k, 'new' AS h1, c_acctbal * 2 AS v FROM customer WHERE c_custkey % 5 = 0) SELECT b.k, b.h1, coalesce(n.v, b.v) AS v FROM b LEFT JOIN n ON b.k = n.k",
-    "ups_10": "WITH k AS (SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC) AS rn FROM lineitem) SELECT l_suppkey, l_partkey, l_orderkey FROM k WHERE rn = 1",
-    "ups_12": "SELECT c.c_custkey, coalesce(CASE WHEN o.n > 12 THEN 'BUSY' END, c.c_mktsegment) AS segment FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON c.c_custkey = o.o_custkey",
-    "ups_13": "WITH s AS (SELECT o_custkey AS seed, min(o_orderkey) AS first_seen, count(*) AS crawl_count FROM orders GROUP BY o_custkey) SELECT seed, first_seen, crawl_count FROM s",
-    "del_1": "SELECT o_orderkey FROM orders WHERE NOT o_orderdate < TIMESTAMP '1995-06-01 00:00:00'",
-    "del_3": "WITH k AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn FROM (SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 100) t) SELECT o_orderkey, 'cold' AS db_name FROM k",
-    "mnt_1": "WITH b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'old' END AS day, 50 AS score FROM orders), c AS (SELECT l_orderkey AS k, min(cast(l_shipdate AS string)) AS day FROM lineitem GROUP BY l_orderkey) SELECT b.k, coalesce(nullif(b.day, ''), substr(c.day, 1, 10)) AS day, CASE WHEN b.day = '' AND c.day IS NOT NULL THEN least(100, score + 7) ELSE score END AS score FROM b LEFT JOIN c ON b.k = c.k",
-    "mnt_4": "WITH {corpus} SELECT id, title, substr(content, 1, 320) AS snippet FROM corpus WHERE quality >= 0.5 ORDER BY quality DESC, id LIMIT 5000",
     # filters
-    "fil_14": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 100 OFFSET 20",
-    "fil_15": "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 24 HOUR FROM events)",
-    "fil_16": "SELECT DISTINCT o_clerk_like FROM (SELECT o_orderpriority AS o_clerk_like FROM orders WHERE o_orderpriority IS NOT NULL) t",
-    "fil_28": "WITH {corpus} SELECT source_name, category, count(*) AS n FROM corpus WHERE category = 'science_research' GROUP BY source_name, category",
-    "fil_29": "SELECT event_id, event_type FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 100",
-    "fil_30": "WITH o AS (SELECT p_partkey AS k, p_size AS h FROM part WHERE p_partkey % 4 > 0), n AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN p_size + 1 ELSE p_size END AS h FROM part) SELECT n.k, CASE WHEN o.k IS NULL THEN 'new' WHEN o.h IS DISTINCT FROM n.h THEN 'updated' ELSE 'unchanged' END AS change FROM n LEFT JOIN o ON n.k = o.k",
-    "fil_31": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
-    "fil_32": "SELECT c_custkey FROM customer WHERE CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey % 30 END IS NULL OR 15 >= c_custkey % 30",
     # joins
-    "jn_2": "WITH r AS (SELECT l_partkey AS k, count(*) AS rank FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY l_partkey) SELECT p_partkey, coalesce(rank, p_size) AS authority FROM part LEFT JOIN r ON p_partkey = k",
-    "jn_3": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)",
-    "jn_5": "SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal > 9900)",
-    "jn_9": "WITH s AS (SELECT DISTINCT {host} AS h FROM pages WHERE page_id % 2 = 0) SELECT page_id FROM pages p JOIN s ON {host} = s.h",
     "jn_12": "WITH t AS (SELECT conv_id, turn, {bag} AS b FROM conversations) SELECT a.conv_id, a.turn AS t1, b.turn AS t2 FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE {overlap} * 100 >= 20 * greatest({union}, 1)",
-    "jn_21": "WITH o AS (SELECT o_custkey AS k, count(*) AS orders FROM orders GROUP BY o_custkey), l AS (SELECT o_custkey AS k, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey) SELECT c_custkey, coalesce(orders, 0) AS orders, coalesce(lines, 0) AS lines FROM customer LEFT JOIN o ON c_custkey = o.k LEFT JOIN l ON c_custkey = l.k",
-    "jn_22": "WITH k AS (SELECT a.s_suppkey AS sick, b.s_suppkey AS healthy, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY b.s_acctbal, b.s_suppkey) AS rn FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey WHERE a.s_acctbal >= 9000 AND b.s_acctbal < 7500) SELECT sick, healthy FROM k WHERE rn = 1",
     # aggregates
-    "agg_1": "WITH {corpus} SELECT category, source_name, count(*) AS n, cast(sum(CASE WHEN quality > 0.9 THEN 1 ELSE 0 END) AS bigint) AS good FROM corpus GROUP BY category, source_name",
-    "agg_2": "WITH {corpus} SELECT count(*) AS n, count(DISTINCT source_name) AS sources, count(CASE WHEN quality >= 0.95 THEN 1 END) AS high FROM corpus",
-    "agg_3": "SELECT o_orderpriority AS source, count(*) AS pages, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS errors, cast(floor(avg(o_totalprice)) AS bigint) AS mean FROM orders GROUP BY o_orderpriority",
-    "agg_4": "SELECT count(CASE WHEN quality = 1 THEN 1 END) AS passed, count(*) AS n FROM labels",
-    "agg_8": "SELECT l_returnflag, count(*) AS links, count(DISTINCT l_suppkey) AS hosts, count(DISTINCT l_partkey) AS targets FROM lineitem GROUP BY l_returnflag",
-    "agg_9": "SELECT count(*) AS n, count(CASE WHEN ts >= (SELECT max(ts) - INTERVAL 24 HOUR FROM events) THEN 1 END) AS last_day FROM events",
-    "agg_10": "SELECT o_custkey, count(*) AS pages, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS errors, min(o_orderdate) AS start_time FROM orders GROUP BY o_custkey",
-    "agg_11": "SELECT count(*) AS pages, count(DISTINCT {host}) AS hosts FROM pages",
-    "agg_14": "SELECT event_type AS level, count(*) AS n FROM events GROUP BY event_type",
-    "agg_15": "WITH s AS (SELECT s_suppkey, CASE WHEN s_acctbal IS NULL THEN 'critical' WHEN s_acctbal >= 9000 THEN 'critical' WHEN s_acctbal >= 7500 THEN 'warning' ELSE 'healthy' END AS status FROM supplier) SELECT status, count(*) AS n FROM s GROUP BY status",
-    "agg_16": "SELECT n_name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name",
-    "agg_17": "SELECT count(*) AS total, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS done, cast(floor(1000.0 * count(CASE WHEN o_orderstatus = 'F' THEN 1 END) / count(*)) AS bigint) AS permille FROM orders",
-    "agg_18": "SELECT l_shipyear, count(*) AS n, cast(sum(l_linenumber) AS bigint) AS total FROM (SELECT year(l_shipdate) AS l_shipyear, l_linenumber FROM lineitem) t GROUP BY l_shipyear",
-    "agg_23": "WITH k AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) SELECT o_custkey, cast(floor(avg(o_totalprice)) AS bigint) AS mean, count(*) AS n FROM k WHERE rn <= 5 GROUP BY o_custkey",
     # windows
-    "win_4": "WITH k AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part) SELECT p_brand, p_partkey FROM k WHERE rn = 1",
-    "win_9": "WITH k AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events) SELECT event_type, event_id FROM k WHERE rn <= 5",
-    "win_10": "WITH k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT user_id, event_id FROM k WHERE rn <= 30",
     # ordering
-    "top_2": "WITH {corpus} SELECT id, category FROM corpus ORDER BY quality DESC, id LIMIT 25",
-    "top_4": "SELECT url FROM pages ORDER BY url, page_id LIMIT 20 OFFSET 40",
-    "top_5": "SELECT p_type, count(*) AS n, max(p_partkey) AS last_seen FROM part GROUP BY p_type ORDER BY n DESC, last_seen DESC LIMIT 10",
-    "top_6": "SELECT c_custkey FROM customer ORDER BY c_custkey % 5 DESC, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey % 11 END ASC NULLS FIRST, c_custkey LIMIT 50",
-    "top_7": "SELECT event_id FROM events ORDER BY ts DESC, event_id LIMIT 20",
-    "top_8": "SELECT s_suppkey FROM supplier ORDER BY s_nationkey, -s_acctbal, s_suppkey LIMIT 40",
-    "top_11": "SELECT url, page_id, CASE WHEN page_id % 3 = 0 THEN 10 WHEN page_id % 3 = 1 THEN 8 ELSE 5 END AS priority FROM pages ORDER BY priority DESC, length(url), url, page_id LIMIT 50",
-    "top_12": "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey ORDER BY n DESC, l_suppkey LIMIT 5",
     # sets
-    "set_1": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
-    "set_2": "WITH a AS (SELECT p_partkey AS id, 1 AS tier FROM part WHERE p_size < 10), b AS (SELECT p_partkey AS id, 2 AS tier FROM part WHERE p_size < 15) SELECT id, tier FROM a UNION ALL SELECT id, tier FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.id = b.id)",
-    "set_3": "SELECT c_custkey AS id, c_name AS name, CAST(NULL AS string) AS extra FROM customer UNION ALL SELECT s_suppkey, s_name, 'supplier' FROM supplier",
     "set_6": "SELECT doc_id, CASE WHEN quality = 1 THEN 'human' ELSE 'slop' END AS side FROM labels",
     # registry of remaining functions
-    "rem_2": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 7",
-    "rem_3": "SELECT n_name, count(CASE WHEN s_acctbal < 9000 THEN 1 END) AS available, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name",
-    "rem_4": "SELECT s_suppkey, CASE WHEN s_acctbal >= 9000 THEN 'critical' WHEN s_acctbal >= 7500 THEN 'warning' ELSE 'healthy' END AS status FROM supplier",
-    "rem_9": "WITH k AS (SELECT source, md5(text) AS h, count(*) AS n FROM documents GROUP BY source, md5(text)) SELECT source, count(*) AS kept, cast(sum(n) AS bigint) AS fetched FROM k GROUP BY source",
     "rem_10": "SELECT max(event_id) AS latest FROM events",
-    "rem_12": "WITH {corpus} SELECT coalesce(nullif(category, ''), 'unknown') AS category, count(*) AS n FROM corpus GROUP BY coalesce(nullif(category, ''), 'unknown')",
-    "rem_13": "WITH c AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'unchanged' WHEN o_orderstatus = 'O' THEN 'new' ELSE 'updated' END AS change FROM orders) SELECT change, count(*) AS n FROM c GROUP BY change",
-    "rem_27": "SELECT l_partkey, max(l_shipdate) AS last_crawl, count(*) AS n FROM lineitem GROUP BY l_partkey",
     # keyed state as it stands after all events
-    "stm_4": "SELECT event_id FROM events WHERE ts > (SELECT max(ts) - INTERVAL 7 DAY FROM events) AND event_type <> 'error'",
-    "stm_7": "SELECT event_id, CASE WHEN age <= 45 THEN 'fresh' WHEN age <= 900 THEN 'stale' ELSE 'expired' END AS state FROM (SELECT event_id, event_id % 1200 AS age FROM events) t",
-    "stm_9": "SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY event_type",
 }
 
 
@@ -112,18 +44,3 @@ def federated_score(d):
     pick = "CASE doc_id % 21 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " ELSE 'other' END"
     return f"""WITH {weights}, r AS (SELECT doc_id AS id, {pick} AS provider, (CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'und') THEN 1 ELSE 0 END) / 2.0 AS lex FROM documents)
 SELECT id, {micro('coalesce(weight, 0.7) * (0.60 + 0.40 * least(1.0, lex))')} AS score FROM r LEFT JOIN w ON r.provider = w.provider"""
-
-
-@operator("win_2")
-def diversify(d):
-    """At most two of a host among the first ten; the rest go to the end in order.
-
-    Places are counted within blocks of a thousand ids and moved up by the blocks' running counts, so no window holds the whole list.
-    """
-    return f"""WITH p AS (SELECT page_id, {host(d, 'url')} AS host, floor(page_id / 1000e0) AS block FROM pages), n AS (SELECT block, count(*) AS n FROM p GROUP BY block),
-starts AS (SELECT block, sum(n) OVER (ORDER BY block) - n AS start, sum(n) OVER () AS total FROM n),
-r AS (SELECT page_id, host, start, total, start + row_number() OVER (PARTITION BY p.block ORDER BY page_id) - 1 AS idx FROM p JOIN starts ON p.block = starts.block),
-k AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY idx) AS rn FROM r WHERE idx < 10),
-late AS (SELECT page_id AS late_id, idx AS late_idx, total - count(*) OVER () + row_number() OVER (ORDER BY idx) AS late_place FROM k WHERE rn > 2)
-SELECT page_id, cast(CASE WHEN max(CASE WHEN late_idx = idx THEN 1 ELSE 0 END) = 1 THEN max(CASE WHEN late_idx = idx THEN late_place END) ELSE idx + 1 - count(late_idx) END AS bigint) AS place
-FROM r LEFT JOIN late ON late_idx <= idx GROUP BY page_id, idx"""
