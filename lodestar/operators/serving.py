@@ -50,11 +50,6 @@ def index_hits(d):
     return f"SELECT page_id, {last} AS title FROM pages"
 
 
-@operator("con_8")
-def date_parts(d):
-    return "SELECT o_orderkey, concat_ws('-', cast(year(o_orderdate) AS string), lpad(cast(month(o_orderdate) AS string), 2, '0'), lpad(cast(day(o_orderdate) AS string), 2, '0')) AS published FROM orders"
-
-
 @operator("con_19")
 def truncated(d):
     return f"WITH {corpus(d)}, s AS (SELECT id, trim({d.replace(d.replace('content', '<[^>]+>', ''), '&amp;', '&')}) AS t FROM corpus) SELECT id, CASE WHEN length(t) <= 120 THEN t ELSE concat({d.replace('substr(t, 1, 120)', r'\s+\S*\z', '')}, '…') END AS t FROM s"
@@ -79,11 +74,6 @@ def processed(d):
     return f"WITH {corpus(d)}, t AS (SELECT id, lower(trim(title)) AS normal, {tokens(d, 'title')} AS ts FROM corpus) SELECT id, normal, {d.size('ts')} AS n_tokens, {d.join('ts', ' OR ')} AS expression FROM t"
 
 
-@operator("str_18")
-def partial_dates(d):
-    return f"WITH {dated(d)}, p AS (SELECT id, substr(published, 1, cast(4 + 3 * (id % 3) AS int)) AS t FROM dated) SELECT id, CASE WHEN {d.matches('t', '^[0-9]{4}$')} THEN concat(t, '-01-01') WHEN {d.matches('t', '^[0-9]{4}-[0-9]{2}$')} THEN concat(t, '-01') ELSE t END AS low, CASE WHEN {d.matches('t', '^[0-9]{4}$')} THEN concat(t, '-12-31') WHEN {d.matches('t', '^[0-9]{4}-[0-9]{2}$')} THEN concat(t, '-31') ELSE t END AS high FROM p"
-
-
 @operator("str_30")
 def sizes(d):
     return f"SELECT doc_id, CASE WHEN n_chars < 1024 THEN concat(cast(n_chars AS string), ' B') WHEN n_chars < 1048576 THEN concat(cast(cast(floor(n_chars / 1024e0) AS bigint) AS string), ' KB') ELSE 'MB' END AS size FROM documents"

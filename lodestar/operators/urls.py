@@ -98,17 +98,6 @@ def screen(d):
 SELECT id, url_key FROM k WHERE rn = 1"""
 
 
-@operator("dt_1")
-def normal_date(d):
-    raw = "CASE doc_id % 4 WHEN 0 THEN concat('2021/3/', cast(doc_id % 28 + 1 AS string)) WHEN 1 THEN concat(cast(doc_id % 28 + 1 AS string), ' Mar 2022') WHEN 2 THEN '2020-05-06T07:08:09Z' ELSE 'soon' END"
-    pad = lambda x: f"lpad({x}, 2, '0')"
-    months = "'JanFebMarAprMayJunJulAugSepOctNovDec'"
-    return f"""WITH r AS (SELECT doc_id AS id, {raw} AS t FROM documents)
-SELECT id, CASE WHEN {d.matches('t', '^[0-9]{4}-[0-9]{2}-[0-9]{2}')} THEN substr(t, 1, 10)
-  WHEN {d.matches('t', '^[0-9]{4}/[0-9]+/[0-9]+$')} THEN concat({d.first('t', '^([0-9]{4})', 1)}, '-', {pad(d.first('t', '/([0-9]+)/', 1))}, '-', {pad(d.first('t', '/([0-9]+)$', 1))})
-  WHEN {d.matches('t', '^[0-9]+ [A-Z][a-z]{2} [0-9]{4}$')} THEN concat({d.first('t', '([0-9]{4})$', 1)}, '-', {pad(f"cast(cast((instr({months}, {d.first('t', '([A-Z][a-z]{2})', 1)}) + 2) / 3 AS int) AS string)")}, '-', {pad(d.first('t', '^([0-9]+)', 1))}) ELSE '' END AS day FROM r"""
-
-
 @operator("dt_3")
 def freshness(d):
     age = d.days(AS_OF, d.try_date("published"))
