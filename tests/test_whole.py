@@ -5,7 +5,7 @@ import random
 import re
 from collections import defaultdict
 
-from lodestar.operators import dialect
+from lodestar.operators import dialect, select
 from lodestar.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -114,6 +114,14 @@ def test_all_items(spark):
     assert {x["item_id"]: x["hits"] for x in dialect.run(spark, SF, "ir_24", tables).collect()} == {1: 1, 10: 1, 77: 0}
 
 
+def diversified(pages):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    placed = pages.select("page_id", select.host(F.col("url")).alias("host"), F.row_number().over(Window.orderBy("page_id")).alias("place"))
+    return select.diversify(placed, "host", "place").orderBy("new_place").collect()
+
+
 def test_all_pages(spark):
     r = random.Random(4)
     rows = [(i, f"https://h{r.randrange(3) if k < 10 else 0}.example/{i}") for k, i in enumerate(sorted(r.sample(range(5000), 120)))]
@@ -122,7 +130,7 @@ def test_all_pages(spark):
         hosts[url[:10]] += k < 10
         (late if k < 10 and hosts[url[:10]] > 2 else early).append(i)
     tables = {"pages": spark.createDataFrame(rows, "page_id long, url string")}
-    assert late and [x["page_id"] for x in dialect.run(spark, SF, "win_2", tables).orderBy("place").collect()] == early + late
+    assert late and [x["page_id"] for x in diversified(tables["pages"])] == early + late
 
 
 def test_associations(spark):
