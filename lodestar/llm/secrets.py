@@ -351,6 +351,14 @@ def _planted(lines, pieces: list[bytes]) -> list[tuple[bytes, list[tuple[int, in
     return out
 
 
+def _drawn(rows: DataFrame, n: int) -> list[str]:
+    """The pieces `s` of the n lowest distinct `h`: only hashes are ordered, and the driver gets n pieces at most."""
+    top = rows.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    if top is None:
+        return []
+    return [r["s"] for r in rows.where(F.col("h") <= top).groupBy("h").agg(F.min("s").alias("s")).orderBy("h").collect()]
+
+
 def train(docs: DataFrame, text_col: str = "text", snippets: int = 300, pieces: int = 1500, rounds: int = 2, **options) -> ChainField:
     """A field fitted to the templates, alone and planted in prose, and to a bounded sample of the corpus.
 
@@ -359,12 +367,11 @@ def train(docs: DataFrame, text_col: str = "text", snippets: int = 300, pieces:
     beside the base patterns.
     """
     text = F.col(f"`{text_col}`")
+    h = F.xxhash64(F.lit(3), text).alias("h")
     hint = F.regexp_instr(text, F.lit("(?i)(?:password|secret|token|api_?key|AKIA)"))
     place = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - 3000, F.lit(1))).cast("int") + 1
-    found = docs.select(F.substring(text, F.greatest(hint - 60, F.lit(1)), F.lit(200)).alias("s"), hint.alias("at")).where("at > 0")
-    near = sorted(r["s"] for r in found.orderBy(F.xxhash64("s"), "s").limit(snippets).collect())
-    drawn = docs.where(text.isNotNull()).select(F.xxhash64(F.lit(3), text).alias("h"), F.substring(text, place, F.lit(3000)).alias("s"))
-    long = [_known(r["s"]) for r in drawn.orderBy("h", "s").limit(pieces).collect()]
+    near = _drawn(docs.where(hint > 0).select(h, F.substring(text, F.greatest(hint - 60, F.lit(1)), F.lit(200)).alias("s")), snippets)
+    long = list(map(_known, _drawn(docs.where(text.isNotNull()).select(h, F.substring(text, place, F.lit(3000)).alias("s")), pieces)))
     lines = templates(1000)
     data = [(t, s, 0, len(t)) for t, s in lines[:300]] + _planted(lines[300:], [t for t, s in long if not s])
     data += [(t, s, 0, len(t)) for t, s in map(_known, near)] + [(t, s, at, at + 300) for t, s in long[:300] if (at := len(t) // 3) >= 0]
