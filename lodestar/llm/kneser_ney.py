@@ -1,11 +1,14 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by workers.
+"""Interpolated modified Kneser-Ney trigram model, counted in Spark and memory-mapped by workers.
 
 Counting: tasks count words, and reducers write each hash range of the vocabulary as a sorted
 array of 64-bit hashes with counts. A word's number is its place in these arrays. Tasks then count
-pairs of numbers, and reducers write each part as a sorted array of 64-bit pair codes with counts, the pair
-statistics of contexts, and how many contexts each word follows (its continuation count). Scoring
-workers map the files and look up sorted queries; nothing is loaded whole and no
-count is dropped. Contexts so frequent that they would fill a part alone are spread over all parts.
+triples of numbers, dealt to parts by their middle word, so that a part has all of a middle word's pairs and contexts:
+the triples give the pairs' numbers of contexts (their Kneser-Ney counts), and these the words' own. A part is one file of
+sorted arrays: contexts, triples as place of the context and last word, pairs, and counts in a byte each with a
+list of the larger ones. Middle words that would fill half a part alone are spread over all parts by
+their last word too; statistics of contexts that end in one are summed in files of their own. Scoring workers
+map the files and look up sorted queries; nothing is loaded whole and no count is dropped.
+Two begin marks precede each text.
 
 Words are told apart by 64-bit hashes: among n distinct words two coincide with odds of n * n / 2**65. More than
 MOST_WORDS distinct words are refused. Each part is written by one reducer of its own.
@@ -31,7 +34,7 @@ from lodestar.llm.common import annotate, cut, local_path, open_fs, scratch, sli
 from lodestar.llm.quality_cnn import id_bucket
 
 END = b"\n"  # no word holds it
-#: Numbers of words take 32 bits of a pair's code; the last two stand for a text's begin and an unknown word.
+#: Numbers of words take 32 bits of a code; the last two stand for a text's begin and an unknown word.
 MOST_WORDS = (1 << 32) - 2
 FIELDS = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -82,31 +85,82 @@ def sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *[np.add.reduceat(v[order], first) for v in values]
 
 
+def narrow(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values in a byte each, and place and value of those that a byte cannot hold: (bytes, [places, values])."""
+    big = np.flatnonzero(values >= 255)
+    return np.minimum(values, 255).astype(np.uint8), np.concatenate([big, values[big]]).astype("<u8")
+
+
+def widen(small: np.ndarray, big: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The values at `at` of what narrow() made."""
+    out = small[at].astype(np.int64)
+    rows = np.flatnonzero(out == 255)
+    if len(rows):
+        places, values = big.reshape(2, -1)
+        out[rows] = values[np.searchsorted(places, at[rows].astype(np.uint64))]
+    return out
+
+
+def lookup(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of `wanted` in the sorted `known`, and whether each is there."""
+    if not len(known):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, known[at] == wanted
+
+
+#: Arrays of each kind of file: name and type.
+LAYOUT = {
+    "words": (("hashes", "<u8"), ("totals", "<i8")),
+    "follows": (("follows", "<i8"),),
+    "grams": (
+        ("pairs", "<u8"), ("kinds", "u1"), ("kinds_big", "<u8"), ("heads", "<u4"), ("head_stats", "<u8"),
+        ("contexts", "<u8"), ("stats", "u1"), ("stats_big", "<u8"), ("triples", "<u8"), ("counts", "u1"), ("counts_big", "<u8"),
+    ),
+    "spread": (("contexts", "<u8"), ("stats", "u1"), ("stats_big", "<u8")),
+}
+
+
 @dataclass
 class Store:
-    """Arrays as files in the shared folder."""
+    """Files of arrays in the shared folder: sizes in bytes, then each array on a multiple of eight bytes."""
 
     folder: str
 
-    def write(self, name: str, data: np.ndarray) -> None:
+    def write(self, kind: str, part: int, **arrays: np.ndarray) -> None:
         from pyspark import TaskContext
 
         store, base = open_fs(self.folder)
         store.create_dir(base, recursive=True)
-        part = f"{base}/.{name}-{TaskContext.get().taskAttemptId()}"
-        with store.open_output_stream(part) as sink:
-            sink.write(memoryview(np.ascontiguousarray(data)).cast("B") if data.size else b"")
-        store.move(part, f"{base}/{name}")
-
-    def map(self, name: str, dtype: str) -> np.ndarray:
-        path = local_path(f"{self.folder}/{name}")
+        own = f"{base}/.{kind}-{part}-{TaskContext.get().taskAttemptId()}"
+        data = [np.ascontiguousarray(arrays[name].astype(d, copy=False)) for name, d in LAYOUT[kind]]
+        with store.open_output_stream(own) as sink:
+            sink.write(np.array([x.nbytes for x in data], "<u8").tobytes())
+            for x in data:
+                if x.nbytes:
+                    sink.write(memoryview(x).cast("B"))
+                    sink.write(bytes(-x.nbytes % 8))
+        store.move(own, f"{base}/{kind}-{part}")
+
+    def map(self, kind: str, part: int) -> dict[str, np.ndarray]:
+        path = local_path(f"{self.folder}/{kind}-{part}")
         if path:
-            import os
-
-            return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
-        store, base = open_fs(self.folder)
-        with store.open_input_stream(f"{base}/{name}") as source:
-            return np.frombuffer(source.read(), dtype)
+            import mmap
+            import sys
+
+            free = {"trackfd": False} if sys.version_info >= (3, 13) else {}  # no open file for each part
+            with open(path, "rb") as source:
+                data = mmap.mmap(source.fileno(), 0, access=mmap.ACCESS_READ, **free)
+        else:
+            store, base = open_fs(self.folder)
+            with store.open_input_stream(f"{base}/{kind}-{part}") as source:
+                data = source.read()
+        sizes = np.frombuffer(data, "<u8", len(LAYOUT[kind])).tolist()
+        out, at = {}, 8 * len(sizes)
+        for (name, d), size in zip(LAYOUT[kind], sizes, strict=True):
+            out[name] = np.frombuffer(data, d, size // np.dtype(d).itemsize, at)
+            at += size + -size % 8
+        return out
 
 
 @dataclass
@@ -118,25 +172,39 @@ class Model:
     firsts: list[int] = field(default_factory=list)  # number of the first word of each vocabulary part
     vocabulary: int = 0
     tokens: int = 0
-    texts: int = 0
     types: int = 0  # distinct pairs
-    hot: np.ndarray | None = None  # contexts spread over all parts, sorted
+    present: dict[str, set] = field(default_factory=dict)  # parts that have a file, by kind
+    hot: np.ndarray | None = None  # middle words spread over all parts, sorted
     hot_stats: np.ndarray | None = None
+    triple_discount: tuple = (0.0, 0.0, 0.0, 0.0)
     pair_discount: tuple = (0.0, 0.0, 0.0, 0.0)
     word_discount: tuple = (0.0, 0.0, 0.0, 0.0)
     word_mass: float = 1.0
 
-    def part(self, prev: np.ndarray, cur: np.ndarray) -> np.ndarray:
-        h = mix(prev)
-        hot = self.is_hot(prev)
-        h[hot] = mix(h[hot] ^ mix(cur[hot]))
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(prev), np.int64)
+    def top(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.uint16 if self.bits <= 16 else np.int64)
 
-    def is_hot(self, prev: np.ndarray) -> np.ndarray:
-        if not len(self.hot):
-            return np.zeros(len(prev), bool)
-        at = np.minimum(np.searchsorted(self.hot, prev), len(self.hot) - 1)
-        return self.hot[at] == prev
+    def part(self, middle: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Parts of triples: by the middle word, by the last two where that is hot."""
+        h = mix(middle)
+        hot = self.is_hot(middle)
+        h[hot] = mix(h[hot] ^ mix(last[hot]))
+        return self.top(h)
+
+    def is_hot(self, word: np.ndarray) -> np.ndarray:
+        return lookup(self.hot, word)[1]
+
+
+def by_part(part: np.ndarray, key: np.ndarray):
+    """(part, its rows in the order of the key)."""
+    order = np.argsort(key)
+    order = order[np.argsort(part[order], kind="stable")]
+    ordered = part[order]
+    ends = [*np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, len(order)] if len(order) else []
+    at = 0
+    for to in ends:
+        yield int(ordered[at]), order[at:to]
+        at = to
 
 
 class Reader:
@@ -144,26 +212,22 @@ class Reader:
 
     def __init__(self, model: Model, limit: int = 500_000):
         self.m, self.files, self.memo, self.limit = model, {}, {}, limit
+        self.none = {kind: {name: np.zeros(0, d) for name, d in arrays} for kind, arrays in LAYOUT.items()}
 
-    def file(self, name: str, dtype: str) -> np.ndarray:
-        if name not in self.files:
-            self.files[name] = self.m.store.map(name, dtype)
-        return self.files[name]
+    def file(self, kind: str, part: int) -> dict[str, np.ndarray]:
+        if part not in self.m.present.get(kind, ()):
+            return self.none[kind]
+        if (kind, part) not in self.files:
+            self.files[kind, part] = self.m.store.map(kind, part)
+        return self.files[kind, part]
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of words by hash, -1 for unknown ones."""
         out = np.full(len(hashes), -1, np.int64)
-        if not self.m.vocabulary:
-            return out
-        order = np.argsort(hashes)
-        ordered = hashes[order]
-        parts = (ordered >> np.uint64(64 - self.m.bits)).astype(np.int64) if self.m.bits else np.zeros(len(ordered), np.int64)
-        cuts = np.searchsorted(parts, np.arange((1 << self.m.bits) + 1))
-        for p in np.unique(parts).tolist():
-            known, q = self.file(f"words-{p}", "<u8"), ordered[cuts[p] : cuts[p + 1]]
-            if len(known):
-                at = np.minimum(np.searchsorted(known, q), len(known) - 1)
-                out[order[cuts[p] : cuts[p + 1]]] = np.where(known[at] == q, at + self.m.firsts[p], -1)
+        if self.m.vocabulary:
+            for p, rows in by_part(self.m.top(hashes), hashes):
+                at, found = lookup(self.file("words", p)["hashes"], hashes[rows])
+                out[rows] = np.where(found, at + self.m.firsts[p], -1)
         return out
 
     def numbers(self, split: list[list[bytes]]) -> np.ndarray:
@@ -176,40 +240,65 @@ class Reader:
         flat = [x for w in split for x in (*w, END)]
         return np.fromiter(map(memo.__getitem__, flat), np.int64, len(flat))
 
-    def by_number(self, name: str, numbers: np.ndarray, dtype: str) -> np.ndarray:
+    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Texts' lengths with their end, and each token with the two before it; two begin marks precede a text."""
+        split = [split_words(t) for t in texts]
+        last = self.numbers(split)
+        n = np.array([len(w) + 1 for w in split], np.int64)
+        starts, begin = np.cumsum(n) - n, self.m.vocabulary
+        middle = np.append(begin, last[:-1])
+        middle[starts] = begin
+        first = np.append(begin, middle[:-1])
+        first[starts] = begin
+        return n, first, middle, last
+
+    def by_number(self, kind: str, name: str, numbers: np.ndarray) -> np.ndarray:
         """Values of a per-word array at known numbers, from its parts."""
         out = np.zeros(len(numbers), np.int64)
         part = np.searchsorted(self.m.firsts, numbers, "right") - 1
         for p in np.unique(part).tolist():
             own = part == p
-            out[own] = self.file(f"{name}-{p}", dtype)[numbers[own] - self.m.firsts[p]]
+            out[own] = self.file(kind, p)[name][numbers[own] - self.m.firsts[p]]
         return out
 
-    def pairs(self, prev: np.ndarray, cur: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of pairs, and (n1, n2, n3+) of their contexts."""
-        m = self.m
-        count, stats = np.zeros(len(prev), np.int64), np.zeros((len(prev), 3), np.int64)
-        code = prev.astype(np.uint64) << np.uint64(32) | cur.astype(np.uint64)
-        part = m.part(prev, cur)
-        order = np.lexsort((code, part))
-        cuts = np.searchsorted(part[order], np.arange((1 << m.bits) + 1))
-        hot = m.is_hot(prev)
-        for p in np.unique(part).tolist():
-            rows = order[cuts[p] : cuts[p + 1]]
-            known, q = self.file(f"pairs-{p}", "<u8"), code[rows]
-            if len(known):
-                at = np.minimum(np.searchsorted(known, q), len(known) - 1)
-                found = known[at] == q
-                count[rows[found]] = self.file(f"counts-{p}", "<u8")[at[found]]
-            heads = self.file(f"heads-{p}", "<u4")
-            own = rows[~hot[rows]]
-            if len(heads) and len(own):
-                at = np.minimum(np.searchsorted(heads, prev[own]), len(heads) - 1)
-                found = heads[at] == prev[own]
-                stats[own[found]] = self.file(f"stats-{p}", "<u8").reshape(-1, 3)[at[found]]
+    def grams(self, first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For triples with a known middle word: in how many contexts the pair is seen and (n1, n2, n3+, sum) of the middle
+        word's pairs by that number; the triple's count and (n1, n2, n3+, sum) of the first two words' triples."""
+        m, n = self.m, len(last)
+        kinds, head = np.zeros(n, np.int64), np.zeros((n, 4), np.int64)
+        counts, stats = np.zeros(n, np.int64), np.zeros((n, 4), np.int64)
+        high = middle.astype(np.uint64) << np.uint64(32)
+        last = last.astype(np.uint32).astype(np.uint64)  # -1 becomes the largest code, which no word has
+        code, hot = high | first.astype(np.uint32).astype(np.uint64), m.is_hot(middle)
+        for p, rows in by_part(m.part(middle, last), code):
+            a = self.file("grams", p)
+            at, found = lookup(a["pairs"], high[rows] | last[rows])
+            kinds[rows[found]] = widen(a["kinds"], a["kinds_big"], at[found])
+            at, found = lookup(a["heads"], middle[rows].astype(np.uint32))
+            head[rows[found]] = a["head_stats"].reshape(-1, 4)[at[found]]
+            at, found = lookup(a["contexts"], code[rows])
+            rows, at = rows[found], at[found]
+            stats[rows] = four(a, at)
+            at, found = lookup(a["triples"], at.astype(np.uint64) << np.uint64(32) | last[rows])
+            counts[rows[found]] = widen(a["counts"], a["counts_big"], at[found])
         if hot.any():
-            stats[hot] = m.hot_stats[np.searchsorted(m.hot, prev[hot])]
-        return count, stats
+            head[hot] = m.hot_stats[np.searchsorted(m.hot, middle[hot])]
+            own = np.flatnonzero(hot)
+            for p, rows in by_part(m.top(mix(code[own])), code[own]):
+                a = self.file("spread", p)
+                at, found = lookup(a["contexts"], code[own[rows]])
+                stats[own[rows[found]]] = four(a, at[found])
+        return kinds, head, counts, stats
+
+
+def four(arrays: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """The four statistics of the contexts at `at`."""
+    return widen(arrays["stats"], arrays["stats_big"], (at[:, None] * 4 + np.arange(4)).ravel()).reshape(-1, 4)
+
+
+def statistics(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(n1, n2, n3+, sum) of the counts from each start to the next."""
+    return np.stack([np.add.reduceat(x.astype(np.int64), starts) for x in (n == 1, n == 2, n > 2, n)], axis=1)
 
 
 def discounts(n: list[int]) -> tuple[float, float, float, float]:
@@ -285,26 +374,25 @@ def fit(docs: DataFrame, store: Store, part_bytes: int = 16 << 20) -> Model:
 
         for p, (hashes, n) in _gathered(batches, "<u8", "<i8").items():
             hashes, n = sum_by(hashes, n)
-            store.write(f"words-{p}", hashes)
-            store.write(f"totals-{p}", n)
+            store.write("words", p, hashes=hashes, totals=n)
             yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "n": [len(n)], "total": [int(n.sum())], **{f"c{k}": [0] for k in (1, 2, 3, 4)}})
 
     made = {r["part"]: r for r in _count_words(docs, bits).repartitionById(1 << bits, "part").mapInArrow(write_words, meta).collect()}
     sizes = [made[p]["n"] if p in made else 0 for p in range(1 << bits)]
-    model = Model(store, bits, (np.cumsum(sizes) - sizes).tolist(), sum(sizes), sum(r["total"] for r in made.values()), hot=np.zeros(0, np.int64), hot_stats=np.zeros((0, 3), np.int64))
+    model = Model(store, bits, (np.cumsum(sizes) - sizes).tolist(), sum(sizes), sum(r["total"] for r in made.values()), present={"words": set(made)}, hot=np.zeros(0, np.int64), hot_stats=np.zeros((0, 4), np.int64))
     if not model.vocabulary:
         return model
     if model.vocabulary >= MOST_WORDS:
-        raise ValueError(f"{model.vocabulary} distinct words; pair codes hold {MOST_WORDS}")
-    begin = model.vocabulary  # the context before a text's first word
-    least = max(1, model.tokens >> bits >> 2)
+        raise ValueError(f"{model.vocabulary} distinct words; codes hold {MOST_WORDS}")
+    begin = model.vocabulary  # stands twice before a text's first word
+    least = max(1, model.tokens >> bits >> 1)
 
     def find_hot(batches):
         import pyarrow as pa
 
         for batch in batches:
             for p in batch.column(0).to_pylist():
-                n = store.map(f"totals-{p}", "<i8") if sizes[p] else np.zeros(0)
+                n = store.map("words", p)["totals"] if sizes[p] else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n > least) + model.firsts[p])], names=["word"])
 
     parts = spark.range(0, 1 << bits, 1, min(1 << bits, spark.sparkContext.defaultParallelism * 4))
@@ -312,77 +400,106 @@ def fit(docs: DataFrame, store: Store, part_bytes: int = 16 << 20) -> Model:
     model.hot = np.array(sorted([*hot, begin]), np.int64)
     shared = spark.sparkContext.broadcast(model)
 
-    def count_pairs(batches):
+    def count_triples(batches):
         import pyarrow as pa
 
         reader, held, size = Reader(shared.value), [], 0
 
         def flush():
-            codes, n = np.unique(np.concatenate(held), return_counts=True)
-            prev, cur = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            part = shared.value.part(prev, cur)
+            code, last = [np.concatenate(c) for c in zip(*held, strict=True)]
+            code, last, n = distinct(code, last, np.ones(len(code), np.int64))
+            middle = (code >> np.uint64(32)).astype(np.int64)
+            part = shared.value.part(middle, last.astype(np.uint64))
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange((1 << bits) + 1))
             rows = []
             for p in range(1 << bits):
                 own = order[cuts[p] : cuts[p + 1]]
                 if len(own):
-                    step = np.diff(prev[own], prepend=0).astype("<u4")
-                    rows.append((p, len(own), squeeze(step, cur[own].astype("<u4"), n[own].astype("<u8"))))
+                    step = np.diff(middle[own], prepend=0).astype("<u4")
+                    rows.append((p, len(own), squeeze(step, code[own].astype("<u4"), last[own], n[own].astype("<u4"))))
             rows = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=["part", "n", "data"])
 
         for batch in batches:
             for piece in slices(batch, 4 << 20):
-                split = [split_words(t) for t in piece.column(0).to_pylist()]
-                cur = reader.numbers(split)
-                prev = np.append(begin, cur[:-1])
-                ends = np.cumsum([len(w) + 1 for w in split])
-                prev[ends[:-1]] = begin
-                held.append(prev.astype(np.uint64) << np.uint64(32) | cur.astype(np.uint64))
-                size += len(cur)
-                if size > 4_000_000:
+                _, first, middle, last = reader.tokens(piece.column(0).to_pylist())
+                held.append((middle.astype(np.uint64) << np.uint64(32) | first.astype(np.uint64), last.astype("<u4")))
+                size += len(last)
+                if size > 2_000_000:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    # one output for three things: sums of a part, partial statistics of hot contexts, continuation counts by word range
+    # one output for five things: sums of a part's pairs (0) and triples (4), partial statistics of hot middle words (1),
+    # continuation counts by word range (2), partial statistics of the contexts that end in a hot word (3)
     wide = "kind int, part int, n long, a long, b long, c long, d long, data binary"
 
-    def write_pairs(batches):
+    def write_grams(batches):
         import pyarrow as pa
 
         m = shared.value
         found: dict[int, list] = {}
         for batch in batches:
             for p, n, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                step, cur, k = unsqueeze(data, n, "<u4", "<u4", "<u8")
-                found.setdefault(p, []).append((np.cumsum(step, dtype=np.uint64) << np.uint64(32) | cur.astype(np.uint64), k.astype(np.int64)))
+                step, first, last, k = unsqueeze(data, n, "<u4", "<u4", "<u4", "<u4")
+                found.setdefault(p, []).append((np.cumsum(step, dtype=np.uint64) << np.uint64(32) | first, last, k.astype(np.int64)))
         rows = []
-        for p, blobs in found.items():
-            codes, n = sum_by(*[np.concatenate(c) for c in zip(*blobs, strict=True)])
-            store.write(f"pairs-{p}", codes)
-            store.write(f"counts-{p}", n.astype("<u8"))
-            prev, cur = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            heads, *stats = sum_by(prev, *[(n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64)])
-            is_hot = m.is_hot(heads)
-            store.write(f"heads-{p}", heads[~is_hot].astype("<u4"))
-            store.write(f"stats-{p}", np.stack([s[~is_hot] for s in stats], axis=1).astype("<u8"))
-            rows.append((0, p, len(codes), *_of_counts(n), None))
-            rows += [(1, 0, h, a, b, c, 0, None) for h, a, b, c in zip(heads[is_hot].tolist(), *[s[is_hot].tolist() for s in stats], strict=True)]
-            words, k = np.unique(cur, return_counts=True)
+        for p in list(found):
+            code, last, n = distinct(*[np.concatenate(c) for c in zip(*found.pop(p), strict=True)])
+            rows.append((4, p, len(n), *_of_counts(n), None))
+            starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            contexts, stats = code[starts], statistics(starts, n)
+            rank = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(starts, append=len(code)))
+            counts, counts_big = narrow(n)
+            pairs, kinds = np.unique(code >> np.uint64(32) << np.uint64(32) | last, return_counts=True)
+            middle = (pairs >> np.uint64(32)).astype(np.int64)
+            heads = np.flatnonzero(np.append(True, middle[1:] != middle[:-1]))
+            head_stats, heads = statistics(heads, kinds), middle[heads]
+            is_hot, away = m.is_hot(heads), m.is_hot((contexts >> np.uint64(32)).astype(np.int64))
+            rows.append((0, p, len(pairs), *_of_counts(kinds), None))
+            rows += [(1, 0, h, *own, None) for h, own in zip(heads[is_hot].tolist(), head_stats[is_hot].tolist(), strict=True)]
+            for q, own in by_part(m.top(mix(contexts[away])), contexts[away]):
+                step = np.diff(contexts[away][own], prepend=np.uint64(0))
+                rows.append((3, q, len(own), 0, 0, 0, 0, squeeze(step, *[np.ascontiguousarray(x) for x in stats[away][own].T])))
+            words, k = np.unique((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
             cuts = np.searchsorted(words, [*m.firsts, m.vocabulary])
             rows += [(2, q, int(b - a), 0, 0, 0, 0, squeeze(words[a:b].astype("<i8"), k[a:b].astype("<i8"))) for q, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            stats[away] = 0
+            (kinds, kinds_big), (stats, stats_big) = narrow(kinds), narrow(stats.ravel())
+            store.write(
+                "grams", p, pairs=pairs, kinds=kinds, kinds_big=kinds_big, heads=heads[~is_hot], head_stats=head_stats[~is_hot],
+                contexts=contexts, stats=stats, stats_big=stats_big, triples=rank << np.uint64(32) | last, counts=counts, counts_big=counts_big,
+            )
         if rows:
             types = [pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in wide.split(", ")])
 
-    out = cut(docs.mapInArrow(count_pairs, "part int, n long, data binary").repartitionById(1 << bits, "part").mapInArrow(write_pairs, wide), "op6-parts")
-    sums = out.where("kind = 0").agg(*[F.sum(c).alias(c) for c in "nabcd"]).first()
-    model.types, model.pair_discount = sums["n"], discounts([sums[c] for c in "abcd"])
-    spread = {r["n"]: (r["a"], r["b"], r["c"]) for r in out.where("kind = 1").groupBy("n").agg(*[F.sum(c).alias(c) for c in "abc"]).collect()}
-    model.hot_stats = np.array([spread.get(h, (0, 0, 0)) for h in model.hot.tolist()], np.int64)
+    out = cut(docs.mapInArrow(count_triples, "part int, n long, data binary").repartitionById(1 << bits, "part").mapInArrow(write_grams, wide), "op6-parts")
+    sums = {r["kind"]: r for r in out.where("kind in (0, 4)").groupBy("kind").agg(*[F.sum(c).alias(c) for c in "nabcd"]).collect()}
+    model.types = sums[0]["n"]
+    model.pair_discount, model.triple_discount = [discounts([sums[kind][c] for c in "abcd"]) for kind in (0, 4)]
+    model.present["grams"] = {r["part"] for r in out.where("kind = 0").select("part").collect()}
+    spread = {r["n"]: [r[c] for c in "abcd"] for r in out.where("kind = 1").groupBy("n").agg(*[F.sum(c).alias(c) for c in "abcd"]).collect()}
+    model.hot_stats = np.array([spread.get(h, [0] * 4) for h in model.hot.tolist()], np.int64)
+
+    def write_spread(batches):
+        import pyarrow as pa
+
+        found: dict[int, list] = {}
+        for batch in batches:
+            for p, n, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                step, *stats = unsqueeze(data, n, "<u8", *["<i8"] * 4)
+                found.setdefault(p, []).append((np.cumsum(step, dtype=np.uint64), *stats))
+        for p, blobs in found.items():
+            contexts, *stats = sum_by(*[np.concatenate(c) for c in zip(*blobs, strict=True)])
+            stats, stats_big = narrow(np.stack(stats, axis=1).ravel())
+            store.write("spread", p, contexts=contexts, stats=stats, stats_big=stats_big)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32())})
+
+    own = out.where("kind = 3").select("part", "n", "data").repartitionById(1 << bits, "part").mapInArrow(write_spread, "part int").collect()
+    model.present["spread"] = {r["part"] for r in own}
 
     def write_continuations(batches):
         import pyarrow as pa
@@ -390,47 +507,53 @@ def fit(docs: DataFrame, store: Store, part_bytes: int = 16 << 20) -> Model:
         for p, (words, n) in _gathered(batches, "<i8", "<i8").items():
             dense = np.zeros(sizes[p], np.int64)
             np.add.at(dense, words - model.firsts[p], n)
-            store.write(f"follows-{p}", dense)
+            store.write("follows", p, follows=dense)
             c = _of_counts(dense)
             more = int((dense > 2).sum())
             yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "n": [more], "total": [int(dense.sum())], **{f"c{k + 1}": [c[k]] for k in range(4)}})
 
     own = out.where("kind = 2").select("part", "n", "data").repartitionById(1 << bits, "part").mapInArrow(write_continuations, meta).collect()
+    model.present["follows"] = {r["part"] for r in own}
     c = [sum(r[f"c{k}"] for r in own) for k in (1, 2, 3, 4)]
     model.word_discount = discounts(c)
     model.word_mass = sum(d * n for d, n in zip(model.word_discount[1:], (c[0], c[1], sum(r["n"] for r in own)), strict=True)) / max(1, model.types)
-    model.texts = docs.count()
     return model
 
 
+def distinct(code: np.ndarray, last: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (code, last) in order, with the sums of n."""
+    order = np.lexsort((last, code))
+    code, last = code[order], last[order]
+    first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (last[1:] != last[:-1])))
+    return code[first], last[first], np.add.reduceat(n[order], first)
+
+
 def _by_count(values: tuple, counts: np.ndarray) -> np.ndarray:
     return np.array(values)[np.minimum(counts, 3)]
 
 
-def token_log10(reader: Reader, cur: np.ndarray, prev: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability of each token after its context, and the tokens' training counts; unknown ones are -1."""
+def interpolate(counts: np.ndarray, stats: np.ndarray, discount: tuple, low: np.ndarray) -> np.ndarray:
+    """Discounted share of each count and the freed mass on the lower order; the lower order alone after an unseen context."""
+    seen = np.maximum(stats[:, 3], 1)
+    share = (np.maximum(counts - _by_count(discount, counts), 0) + stats[:, :3] @ np.array(discount[1:]) * low) / seen
+    return np.where(stats[:, 3] > 0, share, low)
+
+
+def token_log10(reader: Reader, first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of each last token after the two before it, and its training count; unknown ones are -1."""
     m = reader.m
-    known = cur >= 0
-    total = np.zeros(len(cur), np.int64)
-    low = np.full(len(cur), m.word_mass / (m.vocabulary + 1))
+    known = last >= 0
+    total = np.zeros(len(last), np.int64)
+    p = np.full(len(last), m.word_mass / (m.vocabulary + 1))
     if known.any():
-        words, back = np.unique(cur[known], return_inverse=True)
-        total[known] = reader.by_number("totals", words, "<i8")[back]
-        follows = reader.by_number("follows", words, "<i8")
-        low[known] += ((follows - _by_count(m.word_discount, follows)) / max(1, m.types))[back]
-    p = low.copy()
-    context = np.flatnonzero(prev >= 0) if m.vocabulary else np.zeros(0, np.int64)
-    if len(context):
-        code, back = np.unique(prev[context] << 32 | (cur[context] + 1), return_inverse=True)
-        head, word = code >> 32, (code & 0xFFFFFFFF) - 1
-        count, stats = reader.pairs(head, np.where(word < 0, 0xFFFFFFFF, word))
-        seen = np.full(len(head), m.texts, np.int64)
-        inner = head < m.vocabulary
-        seen[inner] = reader.by_number("totals", head[inner], "<i8")
-        seen = np.maximum(seen, 1)
-        first = np.maximum(count - _by_count(m.pair_discount, count), 0) / seen
-        mass = stats @ np.array(m.pair_discount[1:]) / seen
-        p[context] = first[back] + np.where(stats.sum(1) > 0, mass, 1.0)[back] * low[context]
+        words, back = np.unique(last[known], return_inverse=True)
+        total[known] = reader.by_number("words", "totals", words)[back]
+        follows = reader.by_number("follows", "follows", words)
+        p[known] += ((follows - _by_count(m.word_discount, follows)) / max(1, m.types))[back]
+    rows = np.flatnonzero(middle >= 0) if m.vocabulary else np.zeros(0, np.int64)
+    if len(rows):
+        kinds, head, counts, stats = reader.grams(first[rows], middle[rows], last[rows])
+        p[rows] = interpolate(counts, stats, m.triple_discount, interpolate(kinds, head, m.pair_discount, p[rows]))
     return np.log10(p), total
 
 
@@ -445,20 +568,16 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         reader = Reader(m)
 
         def work(texts):
-            split = [split_words(t) for t in texts]
-            cur = reader.numbers(split)
-            n = np.array([len(w) + 1 for w in split], np.int64)
+            n, first, middle, last = reader.tokens(texts)
             starts = np.cumsum(n) - n
-            prev = np.append(m.vocabulary, cur[:-1])
-            prev[starts] = m.vocabulary
-            log, total = token_log10(reader, cur, prev)
+            log, total = token_log10(reader, first, middle, last)
             base = np.log10((total + 0.1) / (m.tokens + 0.1 * (m.vocabulary + 1)))
             sums = [np.add.reduceat(x, starts) for x in ((total > 0).astype(np.int64), base, log)]
             return [pa.array(n), pa.array(sums[0]), pa.array(np.full(len(n), m.tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
 
         return work
 
-    return annotate(docs, "text", FIELDS, make, keep)
+    return annotate(docs, "text", FIELDS, make, keep, 2 << 20)
 
 
 def score_corpus(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:

@@ -382,40 +382,53 @@ def test_kneser_ney(docs):
     got = kneser_ney.score_corpus(docs).toPandas()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     split = lambda t: re.findall(WS, "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) + ["\n"]
-    uni, bi = Counter(), Counter()
+    uni, tri = Counter(), Counter()
     for d in DOCS:
         if not held(d[0]):
             w = split(d[1])
             uni.update(w)
-            bi.update(zip([None, *w], w, strict=False))
+            tri.update(zip([None, None, *w], [None, *w], w, strict=False))
     n, v = sum(uni.values()), len(uni)
-    d2 = kneser_ney.discounts([sum(c == k for c in bi.values()) for k in (1, 2, 3, 4)])
-    follows = Counter(w for _, w in bi)
-    d1 = kneser_ney.discounts([sum(c == k for c in follows.values()) for k in (1, 2, 3, 4)])
-    cut = lambda d, c: d[min(c, 3)]
-    mass = sum(cut(d1, c) for c in follows.values()) / len(bi)
-    low = lambda w: max(follows[w] - cut(d1, follows[w]), 0) / len(bi) + mass / (v + 1)
-    heads, total = {}, Counter()
-    for (h, _), c in bi.items():
-        heads[h] = heads.get(h, 0) + cut(d2, c)
-        total[h] += c
-
-    def p(h, w):
-        if h not in heads:
-            return low(w)
-        return max(bi[h, w] - cut(d2, bi[h, w]), 0) / total[h] + heads[h] / total[h] * low(w)
-
-    assert abs(sum(p("a", w) for w in uni) + p("a", "unseen!") - 1) < 1e-9
+    kinds = Counter((h, w) for _, h, w in tri)
+    follows = Counter(w for _, w in kinds)
+    levels = []
+    for counts in (tri, kinds, follows):
+        d = kneser_ney.discounts([sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)])
+        freed, total = Counter(), Counter()
+        for gram, c in counts.items():
+            context = gram[:-1] if isinstance(gram, tuple) else ()
+            freed[context] += d[min(c, 3)]
+            total[context] += c
+        levels.append((counts, d, freed, total))
+
+    def p(g, h, w):
+        out = 1 / (v + 1)
+        for (counts, d, freed, total), context in zip(reversed(levels), ((), (h,), (g, h)), strict=True):
+            if total[context]:
+                c = counts[(*context, w) if context else w]
+                out = (max(c - d[min(c, 3)], 0) + freed[context] * out) / total[context]
+        return out
+
+    assert max(tri.values()) > 2
+    for g, h in [(None, None), (None, "a"), ("a", "b"), ("unseen!", "a"), list(tri)[len(tri) // 2][:2]]:
+        assert abs(sum(p(g, h, w) for w in uni) + p(g, h, "unseen!") - 1) < 1e-9
     by_text = {}
     for d in DOCS:
         w = split(d[1])
-        by_text[d[0]] = (held(d[0]), len(w), sum(uni[x] > 0 for x in w), n, sum(np.log10((uni[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), sum(np.log10(p(h, x)) for h, x in zip([None, *w], w, strict=False)))
+        by_text[d[0]] = (held(d[0]), len(w), sum(uni[x] > 0 for x in w), n, sum(np.log10((uni[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), sum(np.log10(p(g, h, x)) for g, h, x in zip([None, None, *w], [None, *w], w, strict=False)))
     for r in got.itertuples():
         want = by_text[None if pd.isna(r.doc_id) else int(r.doc_id)]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[:4]
         assert abs(r.base_score - want[4]) < 1e-6 * max(1, abs(want[4])) and abs(r.score - want[5]) < 1e-6 * max(1, abs(want[5]))
 
 
+def test_counts_beyond_a_byte():
+    x = np.array([0, 254, 255, 256, 1 << 40, 3])
+    small, big = kneser_ney.narrow(x)
+    at = np.array([4, 0, 2, 5, 1, 3, 4])
+    assert (kneser_ney.widen(small, big, at) == x[at]).all()
+
+
 def test_classifier(spark, docs):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
