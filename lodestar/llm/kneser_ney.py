@@ -4,10 +4,9 @@ Counting: tasks count words, and reducers write each hash range of the vocabular
 array of 64-bit hashes with counts. A word's number is its place in these arrays. Tasks then count
 triples of numbers, dealt to parts by their middle word, so that a part has all of a middle word's pairs and contexts:
 the triples give the pairs' numbers of contexts (their Kneser-Ney counts), and these the words' own. A part is one file of
-sorted arrays: contexts, triples as place of the context and last word, pairs, and counts in a byte each with a
-list of the larger ones. Middle words that would fill half a part alone are spread over all parts by
+sorted hash arrays of contexts, triples and pairs, and counts in a byte each with a list of the larger ones. Middle words that would fill half a part alone are spread over all parts by
 their last word too; statistics of contexts that end in one are summed in files of their own. Scoring workers
-map the files and look up sorted queries; nothing is loaded whole and no count is dropped.
+map the files and look up hashes; nothing is loaded whole and no count is dropped.
 Two begin marks precede each text.
 
 Words are told apart by 64-bit hashes: among n distinct words two coincide with odds of n * n / 2**65. More than
@@ -25,6 +24,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -109,15 +109,52 @@ def lookup(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, known[at] == wanted
 
 
+def pack(name: str, hashes: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The order of distinct hashes and their sorted array: the leading bits as starts of buckets of about four, then 32 bits each."""
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    bits = max(1, (len(hashes) >> 2).bit_length())
+    starts = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    return order, {f"{name}_at": starts, name: hashes << np.uint64(bits) >> np.uint64(32)}
+
+
+def seek(arrays: dict[str, np.ndarray], name: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes in an array made by pack(), and whether each is there."""
+    starts, known = arrays[f"{name}_at"], arrays[name]
+    if not len(known):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    bits = (len(starts) - 1).bit_length() - 1
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    wanted = (hashes << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
+    low, high = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
+    end, widest = high, int((high - low).max(initial=0))
+    while widest:
+        half = (low + high) >> 1
+        less = (known[np.minimum(half, len(known) - 1)] < wanted) & (low < high)
+        low, high = np.where(less, half + 1, low), np.where(less, high, half)
+        widest >>= 1
+    at = np.minimum(low, len(known) - 1)
+    return at, (known[at] == wanted) & (low < end)
+
+
+def pair_hash(code: np.ndarray) -> np.ndarray:
+    return mix(mix(code) + np.uint64(0x9E3779B97F4A7C15))
+
+
+def triple_hash(code: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return mix(pair_hash(code) ^ mix(last))
+
+
 #: Arrays of each kind of file: name and type.
+CONTEXTS = (("contexts_at", "<u4"), ("contexts", "<u4"), ("stats", "u1"), ("stats_big", "<u8"))
 LAYOUT = {
     "words": (("hashes", "<u8"), ("totals", "<i8")),
-    "follows": (("follows", "<i8"),),
+    "lower": (("follows", "u1"), ("follows_big", "<u8"), ("heads", "u1"), ("heads_big", "<u8")),
     "grams": (
-        ("pairs", "<u8"), ("kinds", "u1"), ("kinds_big", "<u8"), ("heads", "<u4"), ("head_stats", "<u8"),
-        ("contexts", "<u8"), ("stats", "u1"), ("stats_big", "<u8"), ("triples", "<u8"), ("counts", "u1"), ("counts_big", "<u8"),
+        ("pairs_at", "<u4"), ("pairs", "<u4"), ("kinds", "u1"), ("kinds_big", "<u8"), *CONTEXTS,
+        ("triples_at", "<u4"), ("triples", "<u4"), ("counts", "u1"), ("counts_big", "<u8"),
     ),
-    "spread": (("contexts", "<u8"), ("stats", "u1"), ("stats_big", "<u8")),
+    "spread": CONTEXTS,
 }
 
 
@@ -175,7 +212,6 @@ class Model:
     types: int = 0  # distinct pairs
     present: dict[str, set] = field(default_factory=dict)  # parts that have a file, by kind
     hot: np.ndarray | None = None  # middle words spread over all parts, sorted
-    hot_stats: np.ndarray | None = None
     triple_discount: tuple = (0.0, 0.0, 0.0, 0.0)
     pair_discount: tuple = (0.0, 0.0, 0.0, 0.0)
     word_discount: tuple = (0.0, 0.0, 0.0, 0.0)
@@ -195,24 +231,29 @@ class Model:
         return lookup(self.hot, word)[1]
 
 
-def by_part(part: np.ndarray, key: np.ndarray):
-    """(part, its rows in the order of the key)."""
-    order = np.argsort(key)
-    order = order[np.argsort(part[order], kind="stable")]
+def by_part(part: np.ndarray):
+    """(part, its rows)."""
+    order = np.argsort(part, kind="stable")
     ordered = part[order]
-    ends = [*np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, len(order)] if len(order) else []
-    at = 0
-    for to in ends:
+    ends = [*(np.flatnonzero(ordered[1:] != ordered[:-1]) + 1).tolist(), len(order)] if len(order) else []
+    for at, to in zip([0, *ends], ends, strict=False):
         yield int(ordered[at]), order[at:to]
-        at = to
 
 
 class Reader:
-    """A worker's view of the files."""
+    """A worker's view of the files. Words met get places of their own, under which their number and statistics are kept."""
 
     def __init__(self, model: Model, limit: int = 500_000):
-        self.m, self.files, self.memo, self.limit = model, {}, {}, limit
+        self.m, self.files, self.limit = model, {}, limit
         self.none = {kind: {name: np.zeros(0, d) for name, d in arrays} for kind, arrays in LAYOUT.items()}
+        self.forget()
+
+    def forget(self) -> None:
+        """Places 0 and 1 are the begin mark and the end of a text."""
+        self.memo: dict[bytes | None, int] = {None: 0}
+        self.number, self.total = np.array([self.m.vocabulary]), np.zeros(1, np.int64)
+        self.low, self.freed, self.seen = self._lower(self.number)
+        self.learn([END])
 
     def file(self, kind: str, part: int) -> dict[str, np.ndarray]:
         if part not in self.m.present.get(kind, ()):
@@ -221,79 +262,98 @@ class Reader:
             self.files[kind, part] = self.m.store.map(kind, part)
         return self.files[kind, part]
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of words by hash, -1 for unknown ones."""
-        out = np.full(len(hashes), -1, np.int64)
-        if self.m.vocabulary:
-            for p, rows in by_part(self.m.top(hashes), hashes):
-                at, found = lookup(self.file("words", p)["hashes"], hashes[rows])
-                out[rows] = np.where(found, at + self.m.firsts[p], -1)
-        return out
-
-    def numbers(self, split: list[list[bytes]]) -> np.ndarray:
-        """Numbers of all words, an end token behind each text."""
-        if len(self.memo) > self.limit:
-            self.memo = {}
-        memo = self.memo
-        missing = list(set().union([END], *split) - memo.keys())
-        memo.update(zip(missing, self.find(np.array([word_hash(w) for w in missing], np.uint64)).tolist(), strict=True))
-        flat = [x for w in split for x in (*w, END)]
-        return np.fromiter(map(memo.__getitem__, flat), np.int64, len(flat))
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of words by hash, -1 for unknown ones, and their counts."""
+        out, total = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        for p, rows in by_part(self.m.top(hashes)) if self.m.vocabulary else ():
+            a = self.file("words", p)
+            at, found = lookup(a["hashes"], hashes[rows])
+            rows, at = rows[found], at[found]
+            out[rows], total[rows] = at + self.m.firsts[p], a["totals"][at]
+        return out, total
+
+    def _lower(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probability without context, and as a middle word: share of the mass freed, and sum of the pairs' numbers of contexts."""
+        m = self.m
+        low = np.full(len(number), m.word_mass / (m.vocabulary + 1))
+        freed, seen = np.zeros(len(number)), np.zeros(len(number), np.int64)
+        rows = np.flatnonzero(number >= 0)
+        if "lower" in m.present:
+            for p, own in by_part(np.searchsorted(m.firsts, number[rows], "right") - 1):
+                own, a = rows[own], self.file("lower", p)
+                at = number[own] - m.firsts[p]
+                follows, stats = widen(a["follows"], a["follows_big"], at), four(a["heads"], a["heads_big"], at)
+                low[own] += np.maximum(follows - _by_count(m.word_discount, follows), 0) / max(1, m.types)
+                freed[own], seen[own] = share(stats, m.pair_discount), stats[:, 3]
+        return low, freed, seen
+
+    def learn(self, words: list[bytes]) -> None:
+        number, total = self.find(np.array([word_hash(w) for w in words], np.uint64))
+        self.memo.update(zip(words, range(len(self.memo), len(self.memo) + len(words)), strict=True))
+        for name, new in zip(("number", "total", "low", "freed", "seen"), (number, total, *self._lower(number)), strict=True):
+            setattr(self, name, np.concatenate([getattr(self, name), new]))
 
     def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Texts' lengths with their end, and each token with the two before it; two begin marks precede a text."""
+        """Texts' lengths with their end, and the places of each token and of the two before it; two begin marks precede a text."""
+        if len(self.memo) > self.limit:
+            self.forget()
         split = [split_words(t) for t in texts]
-        last = self.numbers(split)
-        n = np.array([len(w) + 1 for w in split], np.int64)
-        starts, begin = np.cumsum(n) - n, self.m.vocabulary
-        middle = np.append(begin, last[:-1])
-        middle[starts] = begin
-        first = np.append(begin, middle[:-1])
-        first[starts] = begin
+        missing = list(set().union(*split) - self.memo.keys())
+        if missing:
+            self.learn(missing)
+        for w in split:
+            w.append(END)
+        last = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(split)), np.int64)
+        n = np.array([len(w) for w in split], np.int64)
+        starts = np.cumsum(n) - n
+        middle = np.append(0, last[:-1])
+        middle[starts] = 0
+        first = np.append(0, middle[:-1])
+        first[starts] = 0
         return n, first, middle, last
 
-    def by_number(self, kind: str, name: str, numbers: np.ndarray) -> np.ndarray:
-        """Values of a per-word array at known numbers, from its parts."""
-        out = np.zeros(len(numbers), np.int64)
-        part = np.searchsorted(self.m.firsts, numbers, "right") - 1
-        for p in np.unique(part).tolist():
-            own = part == p
-            out[own] = self.file(kind, p)[name][numbers[own] - self.m.firsts[p]]
-        return out
-
     def grams(self, first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For triples with a known middle word: in how many contexts the pair is seen and (n1, n2, n3+, sum) of the middle
-        word's pairs by that number; the triple's count and (n1, n2, n3+, sum) of the first two words' triples."""
+        """For numbers of three known words each: in how many contexts the last two are seen, the count of all three, and
+        (n1, n2, n3+, sum) of the triples that begin with the first two. Unknown first or last words are -1."""
         m, n = self.m, len(last)
-        kinds, head = np.zeros(n, np.int64), np.zeros((n, 4), np.int64)
-        counts, stats = np.zeros(n, np.int64), np.zeros((n, 4), np.int64)
+        kinds, counts, stats = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, 4), np.int64)
+        before, after, hot = first >= 0, last >= 0, m.is_hot(middle)
         high = middle.astype(np.uint64) << np.uint64(32)
-        last = last.astype(np.uint32).astype(np.uint64)  # -1 becomes the largest code, which no word has
-        code, hot = high | first.astype(np.uint32).astype(np.uint64), m.is_hot(middle)
-        for p, rows in by_part(m.part(middle, last), code):
+        last = last.astype(np.uint32).astype(np.uint64)
+        code = high | first.astype(np.uint32).astype(np.uint64)
+        pair, context, triple = pair_hash(high | last), pair_hash(code), triple_hash(code, last)
+        for p, rows in by_part(m.part(middle, last)):
             a = self.file("grams", p)
-            at, found = lookup(a["pairs"], high[rows] | last[rows])
+            at, found = seek(a, "pairs", pair[rows])
+            found &= after[rows]
             kinds[rows[found]] = widen(a["kinds"], a["kinds_big"], at[found])
-            at, found = lookup(a["heads"], middle[rows].astype(np.uint32))
-            head[rows[found]] = a["head_stats"].reshape(-1, 4)[at[found]]
-            at, found = lookup(a["contexts"], code[rows])
-            rows, at = rows[found], at[found]
-            stats[rows] = four(a, at)
-            at, found = lookup(a["triples"], at.astype(np.uint64) << np.uint64(32) | last[rows])
+            at, found = seek(a, "triples", triple[rows])
+            found &= after[rows] & before[rows]
             counts[rows[found]] = widen(a["counts"], a["counts_big"], at[found])
-        if hot.any():
-            head[hot] = m.hot_stats[np.searchsorted(m.hot, middle[hot])]
-            own = np.flatnonzero(hot)
-            for p, rows in by_part(m.top(mix(code[own])), code[own]):
-                a = self.file("spread", p)
-                at, found = lookup(a["contexts"], code[own[rows]])
-                stats[own[rows[found]]] = four(a, at[found])
-        return kinds, head, counts, stats
+            rows = rows[~hot[rows] & before[rows]]
+            at, found = seek(a, "contexts", context[rows])
+            stats[rows[found]] = four(a["stats"], a["stats_big"], at[found])
+        own = np.flatnonzero(hot & before)
+        for p, rows in by_part(m.top(context[own])):
+            a = self.file("spread", p)
+            at, found = seek(a, "contexts", context[own[rows]] << np.uint64(m.bits))
+            stats[own[rows[found]]] = four(a["stats"], a["stats_big"], at[found])
+        return kinds, counts, stats
+
+
+def four(small: np.ndarray, big: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows `at` of four statistics each of what narrow() made."""
+    out = small.reshape(-1, 4)[at].astype(np.int64)
+    rows, columns = np.nonzero(out == 255)
+    if len(rows):
+        places, values = big.reshape(2, -1)
+        out[rows, columns] = values[np.searchsorted(places, (at[rows] * 4 + columns).astype(np.uint64))]
+    return out
 
 
-def four(arrays: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
-    """The four statistics of the contexts at `at`."""
-    return widen(arrays["stats"], arrays["stats_big"], (at[:, None] * 4 + np.arange(4)).ravel()).reshape(-1, 4)
+def share(stats: np.ndarray, discount: tuple) -> np.ndarray:
+    """The share of a context's mass that its discounts free."""
+    return stats[:, :3] @ np.array(discount[1:]) / np.maximum(stats[:, 3], 1)
 
 
 def statistics(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -379,7 +439,7 @@ def fit(docs: DataFrame, store: Store, part_bytes: int = 16 << 20) -> Model:
 
     made = {r["part"]: r for r in _count_words(docs, bits).repartitionById(1 << bits, "part").mapInArrow(write_words, meta).collect()}
     sizes = [made[p]["n"] if p in made else 0 for p in range(1 << bits)]
-    model = Model(store, bits, (np.cumsum(sizes) - sizes).tolist(), sum(sizes), sum(r["total"] for r in made.values()), present={"words": set(made)}, hot=np.zeros(0, np.int64), hot_stats=np.zeros((0, 4), np.int64))
+    model = Model(store, bits, (np.cumsum(sizes) - sizes).tolist(), sum(sizes), sum(r["total"] for r in made.values()), present={"words": set(made)}, hot=np.zeros(0, np.int64))
     if not model.vocabulary:
         return model
     if model.vocabulary >= MOST_WORDS:
@@ -423,7 +483,8 @@ def fit(docs: DataFrame, store: Store, part_bytes: int = 16 << 20) -> Model:
 
         for batch in batches:
             for piece in slices(batch, 4 << 20):
-                _, first, middle, last = reader.tokens(piece.column(0).to_pylist())
+                _, *places = reader.tokens(piece.column(0).to_pylist())
+                first, middle, last = [reader.number[x] for x in places]
                 held.append((middle.astype(np.uint64) << np.uint64(32) | first.astype(np.uint64), last.astype("<u4")))
                 size += len(last)
                 if size > 2_000_000:
@@ -432,8 +493,8 @@ def fit(docs: DataFrame, store: Store, part_bytes: int = 16 << 20) -> Model:
         if held:
             yield flush()
 
-    # one output for five things: sums of a part's pairs (0) and triples (4), partial statistics of hot middle words (1),
-    # continuation counts by word range (2), partial statistics of the contexts that end in a hot word (3)
+    # one output for five things: sums of a part's pairs (0) and triples (4), statistics of middle words (1) and
+    # continuation counts (2) by word range, partial statistics of the contexts that end in a hot word (3)
     wide = "kind int, part int, n long, a long, b long, c long, d long, data binary"
 
     def write_grams(batches):
@@ -451,27 +512,28 @@ def fit(docs: DataFrame, store: Store, part_bytes: int = 16 << 20) -> Model:
             rows.append((4, p, len(n), *_of_counts(n), None))
             starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
             contexts, stats = code[starts], statistics(starts, n)
-            rank = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(starts, append=len(code)))
-            counts, counts_big = narrow(n)
             pairs, kinds = np.unique(code >> np.uint64(32) << np.uint64(32) | last, return_counts=True)
+            rows.append((0, p, len(pairs), *_of_counts(kinds), None))
             middle = (pairs >> np.uint64(32)).astype(np.int64)
             heads = np.flatnonzero(np.append(True, middle[1:] != middle[:-1]))
             head_stats, heads = statistics(heads, kinds), middle[heads]
-            is_hot, away = m.is_hot(heads), m.is_hot((contexts >> np.uint64(32)).astype(np.int64))
-            rows.append((0, p, len(pairs), *_of_counts(kinds), None))
-            rows += [(1, 0, h, *own, None) for h, own in zip(heads[is_hot].tolist(), head_stats[is_hot].tolist(), strict=True)]
-            for q, own in by_part(m.top(mix(contexts[away])), contexts[away]):
-                step = np.diff(contexts[away][own], prepend=np.uint64(0))
-                rows.append((3, q, len(own), 0, 0, 0, 0, squeeze(step, *[np.ascontiguousarray(x) for x in stats[away][own].T])))
             words, k = np.unique((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
-            cuts = np.searchsorted(words, [*m.firsts, m.vocabulary])
-            rows += [(2, q, int(b - a), 0, 0, 0, 0, squeeze(words[a:b].astype("<i8"), k[a:b].astype("<i8"))) for q, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            stats[away] = 0
-            (kinds, kinds_big), (stats, stats_big) = narrow(kinds), narrow(stats.ravel())
-            store.write(
-                "grams", p, pairs=pairs, kinds=kinds, kinds_big=kinds_big, heads=heads[~is_hot], head_stats=head_stats[~is_hot],
-                contexts=contexts, stats=stats, stats_big=stats_big, triples=rank << np.uint64(32) | last, counts=counts, counts_big=counts_big,
-            )
+            for kind, own, values in ((1, heads, head_stats.T), (2, words, k[None])):
+                cuts = np.searchsorted(own, [*m.firsts, begin + 1])
+                rows += [(kind, q, int(b - a), 0, 0, 0, 0, squeeze(own[a:b], *[np.ascontiguousarray(x[a:b]) for x in values])) for q, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            away = m.is_hot((contexts >> np.uint64(32)).astype(np.int64))
+            far, far_stats = contexts[away], stats[away]
+            for q, own in by_part(m.top(pair_hash(far))):
+                rows.append((3, q, len(own), 0, 0, 0, 0, squeeze(np.diff(far[own], prepend=np.uint64(0)), *[np.ascontiguousarray(x) for x in far_stats[own].T])))
+            order, made = pack("triples", triple_hash(code, last))
+            made["counts"], made["counts_big"] = narrow(n[order])
+            order, more = pack("pairs", pair_hash(pairs))
+            made |= more
+            made["kinds"], made["kinds_big"] = narrow(kinds[order])
+            order, more = pack("contexts", pair_hash(contexts[~away]))
+            made |= more
+            made["stats"], made["stats_big"] = narrow(stats[~away][order].ravel())
+            store.write("grams", p, **made)
         if rows:
             types = [pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in wide.split(", ")])
@@ -481,8 +543,6 @@ def fit(docs: DataFrame, store: Store, part_bytes: int = 16 << 20) -> Model:
     model.types = sums[0]["n"]
     model.pair_discount, model.triple_discount = [discounts([sums[kind][c] for c in "abcd"]) for kind in (0, 4)]
     model.present["grams"] = {r["part"] for r in out.where("kind = 0").select("part").collect()}
-    spread = {r["n"]: [r[c] for c in "abcd"] for r in out.where("kind = 1").groupBy("n").agg(*[F.sum(c).alias(c) for c in "abcd"]).collect()}
-    model.hot_stats = np.array([spread.get(h, [0] * 4) for h in model.hot.tolist()], np.int64)
 
     def write_spread(batches):
         import pyarrow as pa
@@ -494,26 +554,33 @@ def fit(docs: DataFrame, store: Store, part_bytes: int = 16 << 20) -> Model:
                 found.setdefault(p, []).append((np.cumsum(step, dtype=np.uint64), *stats))
         for p, blobs in found.items():
             contexts, *stats = sum_by(*[np.concatenate(c) for c in zip(*blobs, strict=True)])
-            stats, stats_big = narrow(np.stack(stats, axis=1).ravel())
-            store.write("spread", p, contexts=contexts, stats=stats, stats_big=stats_big)
+            order, made = pack("contexts", pair_hash(contexts) << np.uint64(bits))
+            made["stats"], made["stats_big"] = narrow(np.stack(stats, axis=1)[order].ravel())
+            store.write("spread", p, **made)
             yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32())})
 
     own = out.where("kind = 3").select("part", "n", "data").repartitionById(1 << bits, "part").mapInArrow(write_spread, "part int").collect()
     model.present["spread"] = {r["part"] for r in own}
 
-    def write_continuations(batches):
+    def write_lower(batches):
         import pyarrow as pa
 
-        for p, (words, n) in _gathered(batches, "<i8", "<i8").items():
-            dense = np.zeros(sizes[p], np.int64)
-            np.add.at(dense, words - model.firsts[p], n)
-            store.write("follows", p, follows=dense)
-            c = _of_counts(dense)
-            more = int((dense > 2).sum())
-            yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "n": [more], "total": [int(dense.sum())], **{f"c{k + 1}": [c[k]] for k in range(4)}})
-
-    own = out.where("kind = 2").select("part", "n", "data").repartitionById(1 << bits, "part").mapInArrow(write_continuations, meta).collect()
-    model.present["follows"] = {r["part"] for r in own}
+        found: dict[int, tuple] = {}
+        for batch in batches:
+            for kind, p, n, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if p not in found:  # the last part has the begin mark too
+                    size = sizes[p] + (p == (1 << bits) - 1)
+                    found[p] = np.zeros((size, 4), np.int64), np.zeros((size, 1), np.int64)
+                words, *values = unsqueeze(data, n, *["<i8"] * (5 if kind == 1 else 2))
+                found[p][kind - 1][words - model.firsts[p]] += np.stack(values, axis=1)
+        for p, (heads, follows) in found.items():
+            n = follows.ravel()
+            made = dict(zip(("follows", "follows_big", "heads", "heads_big"), (*narrow(n), *narrow(heads.ravel())), strict=True))
+            store.write("lower", p, **made)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "n": [int((n > 2).sum())], "total": [int(n.sum())], **{f"c{k + 1}": [x] for k, x in enumerate(_of_counts(n))}})
+
+    own = out.where("kind in (1, 2)").select("kind", "part", "n", "data").repartitionById(1 << bits, "part").mapInArrow(write_lower, meta).collect()
+    model.present["lower"] = {r["part"] for r in own}
     c = [sum(r[f"c{k}"] for r in own) for k in (1, 2, 3, 4)]
     model.word_discount = discounts(c)
     model.word_mass = sum(d * n for d, n in zip(model.word_discount[1:], (c[0], c[1], sum(r["n"] for r in own)), strict=True)) / max(1, model.types)
@@ -532,29 +599,21 @@ def _by_count(values: tuple, counts: np.ndarray) -> np.ndarray:
     return np.array(values)[np.minimum(counts, 3)]
 
 
-def interpolate(counts: np.ndarray, stats: np.ndarray, discount: tuple, low: np.ndarray) -> np.ndarray:
+def interpolate(counts: np.ndarray, seen: np.ndarray, freed: np.ndarray, discount: tuple, low: np.ndarray) -> np.ndarray:
     """Discounted share of each count and the freed mass on the lower order; the lower order alone after an unseen context."""
-    seen = np.maximum(stats[:, 3], 1)
-    share = (np.maximum(counts - _by_count(discount, counts), 0) + stats[:, :3] @ np.array(discount[1:]) * low) / seen
-    return np.where(stats[:, 3] > 0, share, low)
-
-
-def token_log10(reader: Reader, first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability of each last token after the two before it, and its training count; unknown ones are -1."""
-    m = reader.m
-    known = last >= 0
-    total = np.zeros(len(last), np.int64)
-    p = np.full(len(last), m.word_mass / (m.vocabulary + 1))
-    if known.any():
-        words, back = np.unique(last[known], return_inverse=True)
-        total[known] = reader.by_number("words", "totals", words)[back]
-        follows = reader.by_number("follows", "follows", words)
-        p[known] += ((follows - _by_count(m.word_discount, follows)) / max(1, m.types))[back]
-    rows = np.flatnonzero(middle >= 0) if m.vocabulary else np.zeros(0, np.int64)
+    own = np.maximum(counts - _by_count(discount, counts), 0) / np.maximum(seen, 1)
+    return np.where(seen > 0, own + freed * low, low)
+
+
+def token_log10(reader: Reader, first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """log10 probability of each last token after the two before it, all given by their places in the reader."""
+    m, p = reader.m, reader.low[last]
+    rows = np.flatnonzero(reader.seen[middle])
     if len(rows):
-        kinds, head, counts, stats = reader.grams(first[rows], middle[rows], last[rows])
-        p[rows] = interpolate(counts, stats, m.triple_discount, interpolate(kinds, head, m.pair_discount, p[rows]))
-    return np.log10(p), total
+        kinds, counts, stats = reader.grams(*[reader.number[x[rows]] for x in (first, middle, last)])
+        low = interpolate(kinds, reader.seen[middle[rows]], reader.freed[middle[rows]], m.pair_discount, p[rows])
+        p[rows] = interpolate(counts, stats[:, 3], share(stats, m.triple_discount), m.triple_discount, low)
+    return np.log10(p)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -570,7 +629,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         def work(texts):
             n, first, middle, last = reader.tokens(texts)
             starts = np.cumsum(n) - n
-            log, total = token_log10(reader, first, middle, last)
+            log, total = token_log10(reader, first, middle, last), reader.total[last]
             base = np.log10((total + 0.1) / (m.tokens + 0.1 * (m.vocabulary + 1)))
             sums = [np.add.reduceat(x, starts) for x in ((total > 0).astype(np.int64), base, log)]
             return [pa.array(n), pa.array(sums[0]), pa.array(np.full(len(n), m.tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
