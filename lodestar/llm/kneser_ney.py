@@ -126,19 +126,19 @@ def seek(arrays: dict[str, np.ndarray], name: str, hashes: np.ndarray) -> tuple[
     bits = (len(starts) - 1).bit_length() - 1
     bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
     wanted = (hashes << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
-    low, high = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
-    end, widest = high, int((high - low).max(initial=0))
+    low, high = starts[bucket], starts[bucket + 1]
+    end, widest, one, most = high, int((high - low).max(initial=0)), np.uint32(1), np.uint32(len(known) - 1)
     while widest:
-        half = (low + high) >> 1
-        less = (known[np.minimum(half, len(known) - 1)] < wanted) & (low < high)
-        low, high = np.where(less, half + 1, low), np.where(less, high, half)
+        half = low + (high - low >> one)
+        less = (known[np.minimum(half, most)] < wanted) & (low < high)
+        low, high = np.where(less, half + one, low), np.where(less, high, half)
         widest >>= 1
-    at = np.minimum(low, len(known) - 1)
-    return at, (known[at] == wanted) & (low < end)
+    at = np.minimum(low, most)
+    return at.astype(np.int64), (known[at] == wanted) & (low < end)
 
 
 def pair_hash(code: np.ndarray) -> np.ndarray:
-    return mix(mix(code) + np.uint64(0x9E3779B97F4A7C15))
+    return mix(code)
 
 
 def triple_hash(code: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -148,7 +148,7 @@ def triple_hash(code: np.ndarray, last: np.ndarray) -> np.ndarray:
 #: Arrays of each kind of file: name and type.
 CONTEXTS = (("contexts_at", "<u4"), ("contexts", "<u4"), ("stats", "u1"), ("stats_big", "<u8"))
 LAYOUT = {
-    "words": (("hashes", "<u8"), ("totals", "<i8")),
+    "words": (("hashes", "<u8"), ("totals", "u1"), ("totals_big", "<u8")),
     "lower": (("follows", "u1"), ("follows_big", "<u8"), ("heads", "u1"), ("heads_big", "<u8")),
     "grams": (
         ("pairs_at", "<u4"), ("pairs", "<u4"), ("kinds", "u1"), ("kinds_big", "<u8"), *CONTEXTS,
@@ -240,6 +240,19 @@ def by_part(part: np.ndarray):
         yield int(ordered[at]), order[at:to]
 
 
+class Places(dict):
+    """The place of each word; one not met before gets the next."""
+
+    def __init__(self, known: dict):
+        super().__init__(known)
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        place = self[word] = len(self)
+        return place
+
+
 class Reader:
     """A worker's view of the files. Words met get places of their own, under which their number and statistics are kept."""
 
@@ -250,10 +263,11 @@ class Reader:
 
     def forget(self) -> None:
         """Places 0 and 1 are the begin mark and the end of a text."""
-        self.memo: dict[bytes | None, int] = {None: 0}
+        self.memo = Places({None: 0})
         self.number, self.total = np.array([self.m.vocabulary]), np.zeros(1, np.int64)
         self.low, self.freed, self.seen = self._lower(self.number)
-        self.learn([END])
+        self.memo[END]
+        self.learn()
 
     def file(self, kind: str, part: int) -> dict[str, np.ndarray]:
         if part not in self.m.present.get(kind, ()):
@@ -269,7 +283,7 @@ class Reader:
             a = self.file("words", p)
             at, found = lookup(a["hashes"], hashes[rows])
             rows, at = rows[found], at[found]
-            out[rows], total[rows] = at + self.m.firsts[p], a["totals"][at]
+            out[rows], total[rows] = at + self.m.firsts[p], widen(a["totals"], a["totals_big"], at)
         return out, total
 
     def _lower(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,9 +301,9 @@ class Reader:
                 freed[own], seen[own] = share(stats, m.pair_discount), stats[:, 3]
         return low, freed, seen
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self) -> None:
+        words, self.memo.new = self.memo.new, []
         number, total = self.find(np.array([word_hash(w) for w in words], np.uint64))
-        self.memo.update(zip(words, range(len(self.memo), len(self.memo) + len(words)), strict=True))
         for name, new in zip(("number", "total", "low", "freed", "seen"), (number, total, *self._lower(number)), strict=True):
             setattr(self, name, np.concatenate([getattr(self, name), new]))
 
@@ -298,13 +312,12 @@ class Reader:
         if len(self.memo) > self.limit:
             self.forget()
         split = [split_words(t) for t in texts]
-        missing = list(set().union(*split) - self.memo.keys())
-        if missing:
-            self.learn(missing)
         for w in split:
             w.append(END)
-        last = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(split)), np.int64)
         n = np.array([len(w) for w in split], np.int64)
+        last = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(split)), np.int64, n.sum())
+        if self.memo.new:
+            self.learn()
         starts = np.cumsum(n) - n
         middle = np.append(0, last[:-1])
         middle[starts] = 0
@@ -313,10 +326,10 @@ class Reader:
         return n, first, middle, last
 
     def grams(self, first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For numbers of three known words each: in how many contexts the last two are seen, the count of all three, and
-        (n1, n2, n3+, sum) of the triples that begin with the first two. Unknown first or last words are -1."""
+        """For numbers of three words each, of which the middle one is known: in how many contexts the last two are seen, the
+        count of all three, and the sum and the share freed of the triples that begin with the first two. Unknown words are -1."""
         m, n = self.m, len(last)
-        kinds, counts, stats = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, 4), np.int64)
+        kinds, counts, seen, freed = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
         before, after, hot = first >= 0, last >= 0, m.is_hot(middle)
         high = middle.astype(np.uint64) << np.uint64(32)
         last = last.astype(np.uint32).astype(np.uint64)
@@ -332,19 +345,22 @@ class Reader:
             counts[rows[found]] = widen(a["counts"], a["counts_big"], at[found])
             rows = rows[~hot[rows] & before[rows]]
             at, found = seek(a, "contexts", context[rows])
-            stats[rows[found]] = four(a["stats"], a["stats_big"], at[found])
+            stats, rows = four(a["stats"], a["stats_big"], at[found]), rows[found]
+            seen[rows], freed[rows] = stats[:, 3], share(stats, m.triple_discount)
         own = np.flatnonzero(hot & before)
         for p, rows in by_part(m.top(context[own])):
             a = self.file("spread", p)
             at, found = seek(a, "contexts", context[own[rows]] << np.uint64(m.bits))
-            stats[own[rows[found]]] = four(a["stats"], a["stats_big"], at[found])
-        return kinds, counts, stats
+            stats, rows = four(a["stats"], a["stats_big"], at[found]), own[rows[found]]
+            seen[rows], freed[rows] = stats[:, 3], share(stats, m.triple_discount)
+        return kinds, counts, seen, freed
 
 
 def four(small: np.ndarray, big: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Rows `at` of four statistics each of what narrow() made."""
-    out = small.reshape(-1, 4)[at].astype(np.int64)
+    out = small.reshape(-1, 4)[at]
     rows, columns = np.nonzero(out == 255)
+    out = out.astype(np.int64)
     if len(rows):
         places, values = big.reshape(2, -1)
         out[rows, columns] = values[np.searchsorted(places, (at[rows] * 4 + columns).astype(np.uint64))]
@@ -434,7 +450,8 @@ def fit(docs: DataFrame, store: Store, part_bytes: int = 16 << 20) -> Model:
 
         for p, (hashes, n) in _gathered(batches, "<u8", "<i8").items():
             hashes, n = sum_by(hashes, n)
-            store.write("words", p, hashes=hashes, totals=n)
+            totals, totals_big = narrow(n)
+            store.write("words", p, hashes=hashes, totals=totals, totals_big=totals_big)
             yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "n": [len(n)], "total": [int(n.sum())], **{f"c{k}": [0] for k in (1, 2, 3, 4)}})
 
     made = {r["part"]: r for r in _count_words(docs, bits).repartitionById(1 << bits, "part").mapInArrow(write_words, meta).collect()}
@@ -452,7 +469,8 @@ def fit(docs: DataFrame, store: Store, part_bytes: int = 16 << 20) -> Model:
 
         for batch in batches:
             for p in batch.column(0).to_pylist():
-                n = store.map("words", p)["totals"] if sizes[p] else np.zeros(0)
+                a = store.map("words", p) if sizes[p] else {}
+                n = widen(a["totals"], a["totals_big"], np.arange(sizes[p])) if a else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n > least) + model.firsts[p])], names=["word"])
 
     parts = spark.range(0, 1 << bits, 1, min(1 << bits, spark.sparkContext.defaultParallelism * 4))
@@ -467,7 +485,7 @@ def fit(docs: DataFrame, store: Store, part_bytes: int = 16 << 20) -> Model:
 
         def flush():
             code, last = [np.concatenate(c) for c in zip(*held, strict=True)]
-            code, last, n = distinct(code, last, np.ones(len(code), np.int64))
+            code, last, n = distinct(code, last)
             middle = (code >> np.uint64(32)).astype(np.int64)
             part = shared.value.part(middle, last.astype(np.uint64))
             order = np.argsort(part, kind="stable")
@@ -587,12 +605,20 @@ def fit(docs: DataFrame, store: Store, part_bytes: int = 16 << 20) -> Model:
     return model
 
 
-def distinct(code: np.ndarray, last: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (code, last) in order, with the sums of n."""
-    order = np.lexsort((last, code))
-    code, last = code[order], last[order]
-    first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (last[1:] != last[:-1])))
-    return code[first], last[first], np.add.reduceat(n[order], first)
+def distinct(code: np.ndarray, last: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (code, last) in order, with the sums of n, or how often each occurs."""
+    order = np.argsort(code)
+    code = code[order]
+    new = np.append(True, code[1:] != code[:-1])
+    key = (np.cumsum(new) - 1).astype(np.uint64) << np.uint64(32) | last[order]
+    if n is None:
+        key.sort()
+    else:
+        again = np.argsort(key)
+        key, n = key[again], n[order][again]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    n = np.diff(first, append=len(key)) if n is None else np.add.reduceat(n, first)
+    return code[new][(key[first] >> np.uint64(32)).astype(np.int64)], key[first].astype("<u4"), n
 
 
 def _by_count(values: tuple, counts: np.ndarray) -> np.ndarray:
@@ -610,9 +636,9 @@ def token_log10(reader: Reader, first: np.ndarray, middle: np.ndarray, last: np.
     m, p = reader.m, reader.low[last]
     rows = np.flatnonzero(reader.seen[middle])
     if len(rows):
-        kinds, counts, stats = reader.grams(*[reader.number[x[rows]] for x in (first, middle, last)])
+        kinds, counts, seen, freed = reader.grams(*[reader.number[x[rows]] for x in (first, middle, last)])
         low = interpolate(kinds, reader.seen[middle[rows]], reader.freed[middle[rows]], m.pair_discount, p[rows])
-        p[rows] = interpolate(counts, stats[:, 3], share(stats, m.triple_discount), m.triple_discount, low)
+        p[rows] = interpolate(counts, seen, freed, m.triple_discount, low)
     return np.log10(p)
 
 
