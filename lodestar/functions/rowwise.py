@@ -1,7 +1,13 @@
-"""Statistics of one text or array as column expressions: no shuffle, and no Python but for the zlib ratio."""
+"""Statistics of one text or array as column expressions, without a shuffle; measured() has those of a text in one pass of Python."""
 
 from __future__ import annotations
 
+import math
+import re
+import unicodedata
+import zlib
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,12 +100,114 @@ def compression(text: Column) -> Column:
 
     @F.pandas_udf("double")
     def ratio(texts: pd.Series) -> pd.Series:
-        import zlib
+        return texts.map(_ratio, na_action=None).astype("float64")
+
+    return ratio(text)
 
-        def one(t):
-            data = t.encode() if t else b""
-            return 0.5 if len(data) < 200 else len(zlib.compress(data, 6)) / len(data)
 
-        return texts.map(one, na_action=None).astype("float64")
+def needles(pattern: str) -> list[list[str]]:
+    """Lower-case strings that a match of `pattern`, letters in either case, must hold: at least one of each list."""
+    from re import _constants as k
+    from re import _parser
 
-    return ratio(text)
+    def of(items) -> list[list[str]]:
+        found, run = [], ""
+        for op, arg in [*items, (None, None)]:
+            if op is k.LITERAL:
+                run += chr(arg).lower()
+                continue
+            found, run = found + [[run]] * bool(run), ""
+            if op is k.SUBPATTERN:
+                found += of(arg[3])
+            elif op in (k.MAX_REPEAT, k.MIN_REPEAT) and arg[0]:
+                found += of(arg[2])
+            elif op is k.IN and all(kind is k.LITERAL for kind, _ in arg):
+                found.append([chr(x).lower() for _, x in arg])
+            elif op is k.BRANCH:
+                ways = [max(of(way), key=lambda f: min(map(len, f)), default=None) for way in arg[1]]
+                found += [sum(ways, [])] if all(ways) else []
+        return found
+
+    least = lambda f: min(map(len, f))
+    found = sorted(of(_parser.parse(pattern)), key=lambda f: (-least(f), len(f)))
+    return [f for f in found if least(f) > 1] or found
+
+
+def folded(text: str) -> str:
+    """Lower case, and a plain letter for each other sign that Java takes for one when cases are joined."""
+    low = text.lower()
+    return low if low.isascii() else low.replace("i\u0307", "i").replace("\u0131", "i").replace("\u017f", "s")
+
+
+def _sieve(patterns: list[str]):
+    """From a text to a truth value for each pattern: whether it may match, letters in either case; a false one is certain."""
+    sets = [needles(p) for p in patterns]
+
+    def may(text: str) -> list[bool]:
+        low = folded(text)
+        return [all(any(x in low for x in some) for some in every) for every in sets]
+
+    return may
+
+
+def possible(text: Column, patterns: list[str]) -> Column:
+    """The sieve's array for each text."""
+
+    @F.pandas_udf("array<boolean>")
+    def may(texts: pd.Series) -> pd.Series:
+        sieve = _sieve(patterns)
+        return pd.Series([sieve(t or "") for t in texts])
+
+    return may(text)
+
+
+def _ratio(t: str | None) -> float:
+    data = t.encode() if t else b""
+    return 0.5 if len(data) < 200 else len(zlib.compress(data, 6)) / len(data)
+
+
+def _variation(n: list[int]) -> float | None:
+    mean = sum(n) / len(n) if n else 0.0
+    return math.sqrt(sum((x - mean) * (x - mean) for x in n) / len(n)) / mean if mean > 0 else None
+
+
+def _even(parts: list[str]) -> float:
+    if len(parts) < 3:
+        return 0.0
+    v = _variation([len(x.split()) for x in parts])
+    return max(0.0, 1 - (1.0 if v is None else v))
+
+
+SENTENCE = re.compile("[.!?]+")
+QUOTED_YEAR = re.compile(r"\[\d+\]|\(\d{4}\)")
+MEASURED = "n int, entropy double, sentences double, paragraphs double, repetition double, richness double, syntax double, facts int, transitions int, hedges int, burstiness double, compression double"
+
+
+def _measure(t: str, low: str, transitions: frozenset, hedges: list[str]) -> tuple:
+    signs = [c for _, c in sorted((s, c) for s, c in Counter(low).items() if unicodedata.category(s)[0] in "LN")]
+    total = sum(signs)
+    bits = -sum(c / total * (math.log(c / total) / math.log(2)) for c in signs) if signs else 0.0
+    ws, lows = t.split(), low.split()
+    pieces = [x for x in map(str.strip, SENTENCE.split(t)) if len(x) > 5]
+    spread = _variation([len(x.split()) for x in pieces]) if len(pieces) >= 4 else 0.5
+    grams = Counter(zip(lows, lows[1:], lows[2:])).values() if len(lows) >= 20 else ()
+    longer = [x for x in pieces if len(x) > 10]
+    starts = Counter(tuple(x.lower().split(None, 3)[:3]) for x in longer).values() if len(longer) >= 4 else ()
+    facts = sum(1 if w[0].isdecimal() or w[0] in "\"'" else 2 * bool(w[0] in "[(" and QUOTED_YEAR.match(w)) for w in ws)
+    return (
+        len(ws), bits, _even(pieces), _even([x for x in map(str.strip, t.split("\n\n")) if len(x) > 20]), sum(n > 2 for n in grams) / len(grams) if grams else 0.0,
+        len(set(lows)) / len(lows) if len(lows) >= 10 else 0.5, max(starts) / len(longer) if starts else 0.0, facts,
+        sum(w.rstrip(",.") in transitions for w in lows), sum(low.count(h) for h in hedges), 0.5 if spread is None else spread, _ratio(t),
+    )
+
+
+def measured(text: Column, patterns: list[str], transitions: list[str], hedges: list[str]) -> Column:
+    """Struct MEASURED of a stripped text, and `may`, an array with a truth value for each pattern that may match; a false one is certain."""
+
+    @F.pandas_udf(MEASURED + ", may array<boolean>")
+    def read(texts: pd.Series) -> pd.DataFrame:
+        sieve, linking = _sieve(patterns), frozenset(transitions)
+        rows = [(*_measure(t, t.lower(), linking, hedges), sieve(t)) for t in texts]
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in MEASURED.split(", ")] + ["may"])
+
+    return read(text)

@@ -36,9 +36,7 @@ def _sum(items) -> Column:
     return reduce(lambda a, b: a + b, items)
 
 
-def _facts(ws: Column) -> Column:
-    worth = lambda w: F.when(w.rlike(r"(?U)^\d") | w.startswith('"') | w.startswith("'"), 1).when(w.rlike(r"(?U)^(\[\d+\]|\(\d{4}\))"), 2).otherwise(0)
-    return F.aggregate(ws, F.lit(0), lambda a, w: a + worth(w))
+PATTERNS = [*STRONG, *WEAK, *STRUCTURE, *PLATFORM, *FORMATTING]
 
 
 def _measures(df: DataFrame, approved: DataFrame | None) -> DataFrame:
@@ -59,31 +57,28 @@ def _measures(df: DataFrame, approved: DataFrame | None) -> DataFrame:
         names = approved.select(F.col(approved.columns[0]).alias("approved")).distinct()
         out = out.join(names, F.col("source") == F.col("approved"), "left").withColumn("trusted", F.col("approved").isNotNull()).drop("approved")
     text = F.col("text")
-    out = out.withColumns({"words": r.words(text), "lower": F.lower(text), "long_sentences": r.pieces(text, "[.!?]+", 5), "compression": r.compression(text)})
-    n, ws = F.size("words"), F.col("words")
-    lower_words = r.words(F.col("lower"))
-    per_word = lambda x: F.when(n >= 50, x / n).otherwise(0.0)
-    plain = F.transform(lower_words, lambda w: F.rtrim(w, F.lit(",.")))
+    out = out.withColumn("m", r.measured(text, PATTERNS, TRANSITIONS, HEDGES))
+    m = F.col("m")
+    n = m["n"]
+    # expressions run only where the text may have a match
+    where = lambda p: F.get(m["may"], PATTERNS.index(p))
+    count = lambda p, flags=FLAGS: F.when(where(p), _count(text, p, flags)).otherwise(0)
+    per_word = lambda x: F.when(n >= 50, x / n).otherwise(0.0)
     trust = F.coalesce(*[F.when(F.contains("domain", F.lit(d)), t) for d, t in TRUSTED_DOMAINS.items()], F.lit(0.0))
+    urls = F.when(F.contains(text, F.lit("http")), F.regexp_count(text, F.lit(r"(?U)https?://\S+"))).otherwise(0)
     return out.withColumns({
         "n": n,
         "spam": reduce(lambda a, b: a | b, [F.contains("domain", F.lit(d)) for d in SPAM_DOMAINS]),
         "trust": trust,
-        "strong": F.array(*[_count(text, p) for p in STRONG]),
-        "weak": F.array(*[_count(text, p) for p in WEAK]),
-        "structure": _sum(_count(text, p, FLAGS + "(?m)") * 0.08 for p in STRUCTURE),
-        "platform": _sum(_number(_has(text, p) | _has(F.col("title"), p)) for p in PLATFORM),
-        "formatting": _sum(_count(text, p, FLAGS + "(?m)") for p in FORMATTING),
-        "entropy": r.entropy(text),
-        "sentences": r.uniformity(F.col("long_sentences")),
-        "paragraphs": r.uniformity(r.pieces(text, "\n\n", 20)),
-        "repetition": r.let(lower_words, r.repetition),
-        "richness": r.let(lower_words, r.richness),
-        "syntax": r.let(r.pieces(text, "[.!?]+", 10), r.same_start),
-        "facts": per_word(_facts(ws) + 3 * F.regexp_count(text, F.lit(r"(?U)https?://\S+"))),
-        "transitions": per_word(F.size(F.filter(plain, lambda w: w.isin(TRANSITIONS)))),
-        "hedging": per_word(_sum(F.regexp_count("lower", F.lit(h)) for h in HEDGES)),
-        "burstiness": r.burstiness(F.col("long_sentences")),
+        "strong": F.array(*[count(p) for p in STRONG]),
+        "weak": F.array(*[count(p) for p in WEAK]),
+        "structure": _sum(count(p, FLAGS + "(?m)") * 0.08 for p in STRUCTURE),
+        "platform": _sum(_number((where(p) & _has(text, p)) | _has(F.col("title"), p)) for p in PLATFORM),
+        "formatting": _sum(count(p, FLAGS + "(?m)") for p in FORMATTING),
+        **{name: m[name] for name in ("entropy", "sentences", "paragraphs", "repetition", "richness", "syntax", "burstiness", "compression")},
+        "facts": per_word(m["facts"] + 3 * urls),
+        "transitions": per_word(m["transitions"]),
+        "hedging": per_word(m["hedges"]),
     })
 
 
@@ -146,7 +141,8 @@ def verdicts(items: DataFrame, approved: DataFrame | None = None) -> DataFrame:
     fixed = {"is_slop": F.lit(True), "confidence": F.lit(0.7), "signals": F.array(F.lit("too short")), "source_trusted": F.lit(False), "boilerplate_count": F.lit(0)}
     struct = F.struct(*[F.when(short, fixed.get(k, F.lit(0.0))).otherwise(v).alias(k) for k, v in fields.items()])
     kept = [c("row")[name].alias(name) for name in items.columns if name.lower() != "verdict"]
-    return m.select(*kept, struct.alias("verdict"))
+    # a generated column: filters on the verdict don't repeat its expressions below
+    return m.select(*kept, F.explode(F.array(struct)).alias("verdict"))
 
 
 def screen(items: DataFrame, approved: DataFrame | None = None) -> DataFrame:

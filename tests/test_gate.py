@@ -74,3 +74,26 @@ def test_screen_and_purge(spark):
     assert seen[1]["_slop_verdict"] == "rejected" and seen[1]["_quality_score"] is None and seen[2]["_slop_verdict"] == "pass" and seen[2]["_quality_score"] == 0.95
     kept, audit = gate.purge(df)
     assert kept.columns == df.columns and [x["id"] for x in kept.collect()] == [2] and [x["url"] for x in audit.collect()] == ["u"]
+
+
+def test_measured(spark):
+    """One pass of Python gives what the expressions give, and no pattern is held back where it matches."""
+    made = [*texts(), "KİND as İı a ſign, AS AN Aİ I can Know", 'He said [12] (1999) "so" 7 ٧. Moreover, perhaps; thus.'] + [" ".join(["As an AI, let me explain. In today's modern world it's worth noting that", x]) for x in texts()]
+    patterns = gate.PATTERNS
+    df = spark.createDataFrame(list(enumerate(made)), "id long, t string").select("t", r.strip(F.col("t")).alias("s"))
+    s, low = F.col("s"), r.words(F.lower("s"))
+    parts = r.pieces(s, "[.!?]+", 5)
+    plainly = [F.size(r.words(s)), r.entropy(s), r.uniformity(parts), r.uniformity(r.pieces(s, "\n\n", 20)), r.repetition(low), r.richness(low), r.same_start(r.pieces(s, "[.!?]+", 10))]
+    hits = F.array(*[F.regexp_count("s", F.lit(gate.FLAGS + "(?m)" + p)) > 0 for p in patterns])
+    rows = df.select("t", r.measured(s, patterns, gate.TRANSITIONS, gate.HEDGES).alias("m"), F.array(*[c.cast("double") for c in [*plainly, r.burstiness(parts), r.compression(s)]]).alias("want"), hits.alias("hits")).collect()
+    for t, m, want, found in rows:
+        assert [m[k] for k in ("n", "entropy", "sentences", "paragraphs", "repetition", "richness", "syntax", "burstiness", "compression")] == pytest.approx(want, abs=1e-9), t
+        assert all(may or not hit for may, hit in zip(m["may"], found, strict=True)), t
+    assert sum(map(sum, (x["hits"] for x in rows))) > 50 and sum(map(sum, (x["m"]["may"] for x in rows))) < len(rows) * len(patterns) / 2
+
+
+def test_purge_measures_once(spark):
+    """The filter on the verdict repeats no measure below it."""
+    df = spark.createDataFrame([(1, "x", "", "", "u")], FIELDS)
+    plan = gate.purge(df)[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_count") == gate.verdicts(df)._jdf.queryExecution().optimizedPlan().toString().count("regexp_count")
