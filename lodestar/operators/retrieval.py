@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lodestar.operators.dialect import corpus, micro, operator
+from lodestar.operators import pairs as near_words
+from lodestar.operators.dialect import Spark, corpus, micro, one_row_an_item, operator, plan
 from lodestar.operators.lexicon import STOP_WORDS
 from lodestar.operators.text import quoted
 from lodestar.operators.urls import host
@@ -80,10 +81,13 @@ def suggest(d):
     return f"WITH {corpus(d)} SELECT id, title FROM corpus WHERE {d.matches('lower(title)', '(^|[^a-z0-9])th[a-z]*[^a-z0-9].*(^|[^a-z0-9])an')} ORDER BY quality DESC, id LIMIT 10"
 
 
+def kept_words(d) -> str:
+    return d.where(d.all("lower(content)", "[a-z][a-z0-9-]{3,}"), f"x NOT IN ({quoted(d, STOP_WORDS)})")
+
+
 def pairs(d) -> str:
     """Tokens of each text without stop words, with their places; both ends of a window of eight."""
-    ts = d.where(d.all("lower(content)", "[a-z][a-z0-9-]{3,}"), f"x NOT IN ({quoted(d, STOP_WORDS)})")
-    return f"""{corpus(d)}, c AS (SELECT id, {ts} AS ts FROM corpus), t AS ({d.each('id', 'c', 'ts', 'w', 'pos')}),
+    return f"""{corpus(d)}, c AS (SELECT id, {kept_words(d)} AS ts FROM corpus), t AS ({d.each('id', 'c', 'ts', 'w', 'pos')}),
 df AS (SELECT w, count(DISTINCT id) AS df FROM t GROUP BY w),
 l AS (SELECT w, {', '.join(f'lead(w, {k}) OVER o AS l{k}' for k in range(1, 9))} FROM t WINDOW o AS (PARTITION BY id ORDER BY pos)),
 v AS ({d.each('w', 'l', d.list(*[f'l{k}' for k in range(1, 9)]), 'v', 'k')}),
@@ -104,14 +108,51 @@ def associations(d) -> str:
     """k(term, related, ppmi, n, rn): partners of each term in either order by positive mutual information, from 3 joint occurrences on."""
     return f"""{pairs(d)}, tot AS (SELECT cast(sum(n) AS double) AS pairs FROM co), tw AS (SELECT cast(count(*) AS double) AS words FROM t), n AS (SELECT w, count(*) AS n FROM t GROUP BY w),
 p AS (SELECT x, y, co.n, greatest(0, log2((co.n / pairs) / ((a.n / words) * (b.n / words)))) AS ppmi FROM co JOIN n a ON a.w = x JOIN n b ON b.w = y JOIN df da ON da.w = x JOIN df db ON db.w = y CROSS JOIN tot CROSS JOIN tw WHERE co.n >= 3 AND da.df >= 2 AND db.df >= 2),
-both_ways AS (SELECT x AS term, y AS related, n, {micro('ppmi')} AS ppmi FROM p UNION ALL SELECT y, x, n, {micro('ppmi')} FROM p),
+{RANKED}"""
+
+
+RANKED = f"""both_ways AS (SELECT x AS term, y AS related, n, {micro('ppmi')} AS ppmi FROM p UNION ALL SELECT y, x, n, {micro('ppmi')} FROM p),
 k AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ppmi DESC, n DESC, related) AS rn FROM both_ways WHERE ppmi > 0)"""
 
 
+def _counted(spark) -> tuple[int, int]:
+    """Views co (h1, h2, n) of the pairs met three times or more, and words (w, n, df, h); how many words and pairs there are."""
+    texts = spark.sql(f"WITH {corpus(Spark())} SELECT {kept_words(Spark())} AS ts FROM corpus")
+    words, total, all_pairs = near_words.vocabulary(texts, "ts")
+    words.createOrReplaceTempView("words")
+    near_words.counted(texts, "ts", words, all_pairs, 3).createOrReplaceTempView("co")
+    return total, all_pairs
+
+
+def ranked(build, last: str):
+    """The plan of a query on k: the pairs are counted as numbers; the rest is the statement's."""
+
+    def made(spark):
+        if not one_row_an_item(spark):
+            return spark.sql(build(Spark()))
+        total, all_pairs = _counted(spark)
+        return spark.sql(f"""WITH p AS (SELECT a.w AS x, b.w AS y, co.n, greatest(0, log2((co.n / {all_pairs}e0) / ((a.n / {total}e0) * (b.n / {total}e0)))) AS ppmi
+FROM co JOIN words a ON a.h = h1 JOIN words b ON b.h = h2 WHERE a.df >= 2 AND b.df >= 2), {RANKED} {last}""")
+
+    return made
+
+
+@plan("jn_13")
+def _(spark):
+    if not one_row_an_item(spark):
+        return spark.sql(cooccurrence(Spark()))
+    _counted(spark)
+    return spark.sql("SELECT least(a.w, b.w) AS x, greatest(a.w, b.w) AS y, co.n FROM co JOIN words a ON a.h = h1 JOIN words b ON b.h = h2")
+
+
 @operator("ir_12")
 def thesaurus(d):
     """The 15 strongest partners of each term."""
-    return f"WITH {associations(d)} SELECT term, related, ppmi, n FROM k WHERE rn <= 15"
+    return f"WITH {associations(d)} {STRONGEST}"
+
+
+STRONGEST = "SELECT term, related, ppmi, n FROM k WHERE rn <= 15"
+plan("ir_12")(ranked(thesaurus, STRONGEST))
 
 
 @operator("ir_24")

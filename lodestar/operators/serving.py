@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestar.operators.dialect import corpus, micro, operator
-from lodestar.operators.retrieval import associations, bm25, near, prints
+from lodestar.operators.dialect import corpus, micro, operator, plan
+from lodestar.operators.retrieval import associations, bm25, near, prints, ranked
 from lodestar.operators.text import sentences, tokens, words
 from lodestar.operators.urls import dated, host, path
 from lodestar.operators.warehouse import _fill
@@ -97,7 +97,11 @@ SELECT qid, id, score FROM r WHERE rn = 1 AND score >= 2"""
 
 @operator("ir_8")
 def expansion(d):
-    return f"WITH {associations(d)} SELECT term, related FROM k WHERE rn <= 3"
+    return f"WITH {associations(d)} {EXPANDED}"
+
+
+EXPANDED = "SELECT term, related FROM k WHERE rn <= 3"
+plan("ir_8")(ranked(expansion, EXPANDED))
 
 
 @operator("ir_11")
@@ -193,4 +197,8 @@ def dictionary_query(d):
 
 @operator("jn_15")
 def lookup(d):
-    return f"WITH {associations(d)} SELECT term AS x, related AS y, n FROM k WHERE term IN ('with', 'eine', 'tion', 'that', 'mente') AND rn <= 8"
+    return f"WITH {associations(d)} {LOOKED_UP}"
+
+
+LOOKED_UP = "SELECT term AS x, related AS y, n FROM k WHERE term IN ('with', 'eine', 'tion', 'that', 'mente') AND rn <= 8"
+plan("jn_15")(ranked(lookup, LOOKED_UP))

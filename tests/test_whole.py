@@ -149,3 +149,32 @@ def test_associations(spark):
     assert got == {t: set(v[:3]) for t, v in top.items() if v}
     tables["documents"] = documents(spark, [t.replace("zebra", "tion") for t in texts])
     assert ("tion", "mate") in {(x["x"], x["y"]) for x in dialect.run(spark, SF, "jn_15", tables).collect()}
+
+
+def test_pairs_as_numbers(spark):
+    """Pairs counted in slices and groups of a few, against a plain count; a table with an id twice goes the statement's way."""
+    from collections import Counter
+
+    from lodestar.operators import pairs
+
+    r = random.Random(8)
+    texts = [[f"w{int(r.paretovariate(0.7))}" for _ in range(r.randrange(60))] for _ in range(80)] + [[], None, ["one"]]
+    n, near = Counter(w for t in texts for w in t or []), Counter()
+    for t in texts:
+        for i, w in enumerate(t or []):
+            near.update(tuple(sorted((w, v))) for v in t[i + 1 : i + 9] if v != w)
+    df = spark.createDataFrame([(t,) for t in texts], "ts array<string>").repartition(3)
+    old = pairs.SLICE, pairs.GROUP
+    pairs.SLICE, pairs.GROUP = 100, 500
+    try:
+        words, total, count = pairs.vocabulary(df, "ts")
+        met = {(x["h1"], x["h2"]): x["n"] for x in pairs.counted(df, "ts", words, count, 3).collect()}
+    finally:
+        pairs.SLICE, pairs.GROUP = old
+    rows = words.collect()
+    assert {x["w"]: (x["n"], x["df"]) for x in rows} == {w: (n[w], sum(w in (t or []) for t in texts)) for w in n}
+    assert total == sum(n.values()) and count == sum(near.values()) > 5000
+    w = {x["h"]: x["w"] for x in rows}
+    assert {tuple(sorted((w[a], w[b]))): k for (a, b), k in met.items()} == {p: k for p, k in near.items() if k >= 3} and len(met) > 100
+    plan = QUERIES["ir_12"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [lead" not in plan and "lead(" not in plan
