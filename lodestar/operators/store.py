@@ -20,11 +20,16 @@ def folder(spark: SparkSession) -> str:
     return root
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once and read again."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder, removed when the driver's JVM ends."""
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once and read again."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

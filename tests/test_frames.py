@@ -80,3 +80,31 @@ def test_rate_limit(spark, tmp_path):
         n += 1
         want[i] = n <= 5
     assert got == want
+
+
+def test_drained_to_files(spark):
+    """Rows of a stream stay off the driver, in either mode."""
+    from lodestar.plans import registry
+
+    for name in ("stm_1", "stm_3", "stm_5"):
+        df = registry.queries()[name](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().analyzed().toString()
+        assert "parquet" in plan and "Memory" not in plan, plan
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    assert df.count() == events.count() == registry.queries()["stm_3"](spark, "/root/testdata/sf0.001").count()
+
+
+def test_rate_limit_of_a_hot_user(spark, tmp_path):
+    """More rows of a key than a frame holds, in no order."""
+    t, r = datetime(2024, 1, 1), random.Random(2)
+    at = {i: r.randrange(30_000) for i in range(25_000)}
+    rows = [(i, 7, t + timedelta(seconds=s)) for i, s in at.items()]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = {x["event_id"]: x["allowed"] for x in state.drain(state.rate_limit(state.events_stream(spark, str(tmp_path)), limit=40), "append").collect()}
+    start, n, want = -1e9, 0, {}
+    for i, s in sorted(at.items(), key=lambda x: (x[1], x[0])):
+        if s - start >= 60:
+            start, n = s, 0
+        n += 1
+        want[i] = n <= 40
+    assert got == want and 100 < sum(want.values()) < 24_900
