@@ -40,3 +40,15 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_rank_in_reals(spark):
+    """A share that ends in half a millionth: the statement's reals fall below it, decimals would not."""
+    from lodestar.operators import dialect
+
+    rows = [(1, 1)] + [(2, p) for p in range(2, 200)]
+    df = spark.createDataFrame(rows, "l_suppkey long, l_partkey long")
+    want = duckdb.connect().execute(SQL["agg_7"].replace("FROM lineitem", f"FROM (SELECT * FROM (VALUES {', '.join(map(str, rows))}) v(l_suppkey, l_partkey)) lineitem")).df()
+    got = dialect.run(spark, SF, "agg_7", {"lineitem": df})
+    assert {(x["p"], x["rank"]) for x in got.collect()} == {tuple(x) for x in want.itertuples(index=False)} and set(want["rank"]) == {100_000_000, 505_050}
+    assert "windowspecdefinition" not in got._jdf.queryExecution().optimizedPlan().toString()
