@@ -12,6 +12,13 @@ def count_if(c: Column) -> Column:
     return F.count(F.when(c, 1))
 
 
+def mean_in_order(value: str, order: list[str]) -> Column:
+    """Mean of a group's values, added from the last in `order` to the first, so that no plan changes its last digit; for small groups."""
+    rows = F.sort_array(F.collect_list(F.struct(*order, value)), asc=False)
+    values = F.filter(F.transform(rows, lambda x: x[value]), lambda x: x.isNotNull())
+    return F.transform(F.array(values), lambda v: F.try_divide(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), F.size(v)))[0]
+
+
 def index_stats(items: DataFrame, category: str, source: str, quality: str, top: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Total, rows by category, and the `top` sources with their mean quality."""
     by = items.groupBy(category).agg(F.count("*").alias("n"))

@@ -629,7 +629,7 @@ def _(t):
 @query("agg_23", f"WITH k AS (SELECT session_id, size, row_number() OVER (PARTITION BY session_id ORDER BY crawled_at DESC, id DESC) AS rn FROM visits) SELECT session_id, {m('avg(size) / 1000')} AS mean, count(*) AS n FROM k WHERE rn <= 5 GROUP BY session_id")
 def _(t):
     last = select.cap(t.visits, ["session_id"], [F.desc("crawled_at"), F.desc("id")], 5)
-    return last.groupBy("session_id").agg(micro(F.avg("size") / 1000).alias("mean"), F.count("*").alias("n"))
+    return last.groupBy("session_id").agg(micro(measure.mean_in_order("size", ["crawled_at", "id"]) / 1000).alias("mean"), F.count("*").alias("n"))
 
 
 # windows, orders, sets

@@ -52,3 +52,27 @@ def test_rank_in_reals(spark):
     got = dialect.run(spark, SF, "agg_7", {"lineitem": df})
     assert {(x["p"], x["rank"]) for x in got.collect()} == {tuple(x) for x in want.itertuples(index=False)} and set(want["rank"]) == {100_000_000, 505_050}
     assert "windowspecdefinition" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mean_in_order(spark):
+    """The sum takes rows in the order asked for, however they are dealt out."""
+    import random
+
+    from lodestar.operators import measure
+
+    r = random.Random(1)
+    rows = [(k, i, None if i == 4 and k % 5 == 0 else round(r.uniform(900, 499_000), 2)) for k in range(200) for i in range(5)] + [(999, 0, None)]
+    want = {}
+    for k, _, v in sorted(rows, key=lambda x: (x[0], -x[1])):
+        want.setdefault(k, []).extend([v] * (v is not None))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "k long, i long, v double").repartition(7)
+    got = {x["k"]: x["m"] for x in df.groupBy("k").agg(measure.mean_in_order("v", ["i"]).alias("m")).collect()}
+
+    def mean(values):
+        total = 0.0
+        for v in values:
+            total += v
+        return total / len(values) if values else None
+
+    assert got == {k: mean(v) for k, v in want.items()}
