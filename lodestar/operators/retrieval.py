@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from lodestar.operators import fingerprints as fp
 from lodestar.operators import pairs as near_words
 from lodestar.operators.dialect import Spark, corpus, micro, one_row_an_item, operator, plan
 from lodestar.operators.lexicon import STOP_WORDS
+from lodestar.operators.store import cut
 from lodestar.operators.text import quoted
 from lodestar.operators.urls import host
 
@@ -184,6 +186,35 @@ def fingerprints(d):
     return f"WITH {prints(d)} SELECT id, h AS fingerprint FROM prints"
 
 
+def printed(build, last: str):
+    """The plan of a query on prints(id, h), made in one pass over each text; `last` stands behind the views."""
+
+    def made(spark):
+        if not one_row_an_item(spark):
+            return spark.sql(build(Spark()))
+        view_prints(spark)
+        return spark.sql(last)
+
+    return made
+
+
+def view_prints(spark, stored: bool = False) -> None:
+    """View prints(id, h) of the item table."""
+    made = fp.prints(spark.sql(f"WITH {corpus(Spark())} SELECT id, content FROM corpus"))
+    (cut(made, "prints") if stored else made).createOrReplaceTempView("prints")
+
+
+def view_links(spark) -> None:
+    """Views prints(id, h), first(h, id, n), the first id of each fingerprint and its items, and links(x, y) of different fingerprints."""
+    view_prints(spark, stored=True)
+    first = cut(spark.sql("SELECT h, min(id) AS id, count(*) AS n FROM prints GROUP BY h"), "first")
+    first.createOrReplaceTempView("first")
+    cut(fp.links(first), "links").createOrReplaceTempView("links")
+
+
+plan("mth_4")(printed(fingerprints, "SELECT id, h AS fingerprint FROM prints"))
+
+
 def near(d) -> str:
     """All pairs that differ in ten bits or fewer: every two distinct fingerprints are compared, so none is missed."""
     return f"""{prints(d)}, u AS (SELECT DISTINCT h FROM prints),
@@ -196,6 +227,15 @@ def near_pairs(d):
     return f"WITH {near(d)} SELECT a, b FROM near"
 
 
+@plan("jn_10")
+def _(spark):
+    if not one_row_an_item(spark):
+        return spark.sql(near_pairs(Spark()))
+    view_links(spark)
+    return spark.sql("""WITH l AS (SELECT x, y FROM links UNION ALL SELECT h, h FROM first WHERE n > 1)
+SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM l JOIN prints a ON a.h = x JOIN prints b ON b.h = y WHERE x < y OR a.id < b.id""")
+
+
 @operator("ir_16")
 def exact_first(d):
     x = d.sha256(f"trim({d.replace('lower(content)', chr(92) + 's+', ' ')})")

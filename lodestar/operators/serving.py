@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestar.operators.dialect import corpus, micro, operator, plan
-from lodestar.operators.retrieval import associations, bm25, near, prints, ranked
+from lodestar.operators.dialect import Spark, corpus, micro, one_row_an_item, operator, plan
+from lodestar.operators.retrieval import associations, bm25, near, printed, prints, ranked, view_links
 from lodestar.operators.text import sentences, tokens, words
 from lodestar.operators.urls import dated, host, path
 from lodestar.operators.warehouse import _fill
@@ -131,10 +131,28 @@ def near_earlier(d):
     return f"WITH {near(d)} SELECT b AS id, min(a) AS first_near FROM near GROUP BY b"
 
 
+@plan("ir_17")
+def _(spark):
+    """The first item near one is the first of its own fingerprint's or a linked one's first items, so copies are not paired."""
+    if not one_row_an_item(spark):
+        return spark.sql(near_earlier(Spark()))
+    view_links(spark)
+    return spark.sql("""WITH l AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links UNION ALL SELECT h, h FROM first),
+m AS (SELECT x AS h, min(id) AS first_near FROM l JOIN first ON h = y GROUP BY x)
+SELECT id, first_near FROM prints JOIN m ON prints.h = m.h WHERE first_near < id""")
+
+
 @operator("mth_5")
 def bands(d):
+    return f"WITH {prints(d)} {_bands(d)}"
+
+
+def _bands(d) -> str:
     cols = ", ".join(f"{d.shift_and('h', 8 * i, 255)} AS b{i}" for i in range(8))
-    return f"WITH {prints(d)} SELECT id, {cols} FROM prints"
+    return f"SELECT id, {cols} FROM prints"
+
+
+plan("mth_5")(printed(bands, _bands(Spark())))
 
 
 @operator("mth_7")

@@ -178,3 +178,37 @@ def test_pairs_as_numbers(spark):
     assert {tuple(sorted((w[a], w[b]))): k for (a, b), k in met.items()} == {p: k for p, k in near.items() if k >= 3} and len(met) > 100
     plan = QUERIES["ir_12"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window [lead" not in plan and "lead(" not in plan
+
+
+def test_links_by_blocks(spark):
+    """Every pair within ten bits once, at any width of the blocks and however rows are dealt out, against brute force."""
+    import numpy as np
+
+    from lodestar.operators import fingerprints as fp
+
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 64, 60, dtype=np.uint64)
+    flipped = [x ^ np.bitwise_or.reduce(np.uint64(1) << r.choice(64, k, replace=False).astype(np.uint64)) for x in base for k in (1, 5, 9, 10, 10, 11)]
+    values = np.unique(np.concatenate([base, np.array(flipped, np.uint64), np.array([0, 1, (1 << 64) - 1], np.uint64)]))
+    want = {(int(x), int(y)) for i, x in enumerate(values) for y in values[i + 1 :] if int(x ^ y).bit_count() <= 10}
+    assert len(want) > 300
+    for width in (0, 3, 8, 16):
+        for cuts in ([0, len(values)], [0, 7, 100, 101, len(values)]):
+            got = [(int(min(p)), int(max(p))) for b in range(4 if width else 1) for lo, hi in zip(cuts, cuts[1:]) for p in zip(*fp.within(values, width, b, lo, hi, 10))]
+            assert len(got) == len(set(got)) and set(got) == want, width
+    signed = values.view(np.int64)
+    df = spark.createDataFrame([(int(h),) for h in signed], "h long")
+    assert {tuple(sorted((x["x"], x["y"]))) for x in fp.links(df).collect()} == {tuple(sorted(int(np.uint64(v).astype(np.int64)) for v in p)) for p in want}
+
+
+def test_near_does_not_pair_copies(spark):
+    """Of a group of copies ir_17 and ir_18 take one fingerprint; an id that stands twice goes the statement's way."""
+    texts = ["one two three four five"] * 300 + ["six seven eight nine", "ten"]
+    tables = {"documents": documents(spark, texts)}
+    got = dialect.run(spark, SF, "ir_17", tables)
+    assert {(x["id"], x["first_near"]) for x in got.collect()} == {(i, 0) for i in range(1, 300)}
+    assert "bit_count" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert dialect.run(spark, SF, "jn_10", tables).count() == 300 * 299 // 2
+    twice = {"documents": documents(spark, texts), "labels": spark.createDataFrame([(301, 1, 0), (301, 0, 0)], "doc_id long, quality int, toxic int")}
+    assert {x["id"] for x in dialect.run(spark, SF, "ir_17", twice).collect()} == set(range(1, 300))
+    assert dialect.run(spark, SF, "mth_4", twice).count() == 303
