@@ -8,10 +8,11 @@ import unicodedata
 import zlib
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestar.functions.batches import column
+
 #: Fixed value: every character that counts as white space.
 SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -98,11 +99,7 @@ def same_start(sentences: Column) -> Column:
 def compression(text: Column) -> Column:
     """Bytes of the zlib form at level 6 over bytes of the text; 0.5 below 200 bytes or for null."""
 
-    @F.pandas_udf("double")
-    def ratio(texts: pd.Series) -> pd.Series:
-        return texts.map(_ratio, na_action=None).astype("float64")
-
-    return ratio(text)
+    return column(lambda texts: [_ratio(t) for t in texts], "double")(text)
 
 
 def needles(pattern: str) -> list[list[str]]:
@@ -153,12 +150,11 @@ def _sieve(patterns: list[str]):
 def possible(text: Column, patterns: list[str]) -> Column:
     """The sieve's array for each text."""
 
-    @F.pandas_udf("array<boolean>")
-    def may(texts: pd.Series) -> pd.Series:
+    def may(texts):
         sieve = _sieve(patterns)
-        return pd.Series([sieve(t or "") for t in texts])
+        return [sieve(t or "") for t in texts]
 
-    return may(text)
+    return column(may, "array<boolean>")(text)
 
 
 def _ratio(t: str | None) -> float:
@@ -204,10 +200,11 @@ def _measure(t: str, low: str, transitions: frozenset, hedges: list[str]) -> tup
 def measured(text: Column, patterns: list[str], transitions: list[str], hedges: list[str]) -> Column:
     """Struct MEASURED of a stripped text, and `may`, an array with a truth value for each pattern that may match; a false one is certain."""
 
-    @F.pandas_udf(MEASURED + ", may array<boolean>")
-    def read(texts: pd.Series) -> pd.DataFrame:
-        sieve, linking = _sieve(patterns), frozenset(transitions)
-        rows = [(*_measure(t, t.lower(), linking, hedges), sieve(t)) for t in texts]
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in MEASURED.split(", ")] + ["may"])
+    names, linking = [x.split()[0] for x in MEASURED.split(", ")], frozenset(transitions)
+
+    def read(texts):
+        sieve = _sieve(patterns)
+        return [dict(zip([*names, "may"], (*_measure(t, t.lower(), linking, hedges), sieve(t)), strict=True)) for t in texts]
 
-    return read(text)
+    kinds = ", ".join(x.replace(" ", ": ", 1) for x in (MEASURED + ", may array<boolean>").split(", "))
+    return column(read, f"struct<{kinds}>")(text)

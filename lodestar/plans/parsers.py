@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestar.functions.batches import column
 from lodestar.operators import queries
 from lodestar.operators.lexicon import SERVING_SPELLING, SPELLING
 from lodestar.plans.tables import Tables, m, micro, with_views
@@ -247,13 +248,13 @@ def _(t):
 @query("str_24", "SELECT id, concat('Bold label gone? ', source_name, ' end') AS text FROM items")
 def _(t):
     markup = F.concat(F.lit("<!-- c -->'''Bold''' [[x|label]] <ref>no</ref>gone? [[File:a|[[b]] c]]{{t|{{u}}}}{| class=x\n| y\n|}[["), F.col("source_name"), F.lit("]] __TOC__<math>z</math>end"))
-    return t.items.select("id", F.pandas_udf(lambda s: s.map(records.wikitext), "string")(markup).alias("text"))
+    return t.items.select("id", column(lambda s: [records.wikitext(x) for x in s], "string")(markup).alias("text"))
 
 
 @query("str_25", "SELECT id, concat(source_name, '|Other page') AS links FROM items")
 def _(t):
     markup = F.concat(F.lit("[["), F.col("source_name"), F.lit("|x]] [[File:a]] [[Other page#part]] [["), F.col("source_name"), F.lit("]]"))
-    return t.items.select("id", F.array_join(F.pandas_udf(lambda s: s.map(records.wiki_links), "array<string>")(markup), "|").alias("links"))
+    return t.items.select("id", F.array_join(column(lambda s: [records.wiki_links(x) for x in s], "array<string>")(markup), "|").alias("links"))
 
 
 @query("src_33", "SELECT id, md5(trim(substr(content, 1, 100))) AS digest FROM items WHERE length(content) >= 100 AND NOT contains(content, '  ') AND NOT contains(substr(content, 1, 100), chr(10)) AND NOT contains(content, '[')")

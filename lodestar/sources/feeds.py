@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.batches import column
 from lodestar.sources import records
 
 ITEM = r"(?is)<item[\s>].*?</item>|<entry[\s>].*?</entry>"
@@ -107,13 +108,10 @@ def wiki_pages(streams: DataFrame, xml: str, keep: list[str]) -> DataFrame:
 def wiki_records(pages: DataFrame, language: str = "en", least: int = 200, most: int = 45_000) -> DataFrame:
     """Articles as crawl records: plain text of `least` characters or more, cut at `most`, with their links."""
 
-    @F.pandas_udf("struct<text: string, links: array<string>>")
     def read(markup):
-        import pandas as pd
+        return [{"text": records.wikitext(x or ""), "links": records.wiki_links(x or "")} for x in markup]
 
-        return pd.DataFrame([{"text": records.wikitext(x or ""), "links": records.wiki_links(x or "")} for x in markup])
-
-    rows = pages.withColumn("_r", read("wikitext")).where(F.length("_r.text") >= least)
+    rows = pages.withColumn("_r", column(read, "struct<text: string, links: array<string>>")("wikitext")).where(F.length("_r.text") >= least)
     url = F.concat(F.lit(f"https://{language}.wikipedia.org/wiki/"), F.replace(F.url_encode(F.replace("title", F.lit(" "), F.lit("_"))), F.lit("+"), F.lit("%20")))
     text = F.substring(F.col("_r.text"), 1, most)
     return rows.select("page_id", url.alias("url"), "title", text.alias("content"), F.col("_r.links").alias("links"), F.lit(language).alias("language"), F.sha2(text, 256).alias("content_hash"), F.substring("revised", 1, 10).alias("published"), F.lit(0.98).alias("source_quality"))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.functions.batches import column
+
 CDX = "url string, timestamp string, mime string, status string, digest string, filename string, offset string, length string"
 
 
@@ -220,24 +222,17 @@ def wiki_links(text: str, most: int = 80) -> list[str]:
 def responses(rows: DataFrame, record: str, keep: list[str]) -> DataFrame:
     """`keep` columns with content_type and html of archive records (binary); a record that is no page, or broken, gives nulls."""
 
-    @F.pandas_udf("struct<content_type: string, html: string>")
     def read(data):
-        import pandas as pd
-
-        found = [archive_response(bytes(x)) if x is not None else None for x in data]
-        return pd.DataFrame([{"content_type": f[0] if f else None, "html": f[1] if f else None} for f in found])
+        found = [archive_response(x) if x is not None else None for x in data]
+        return [{"content_type": f[0] if f else None, "html": f[1] if f else None} for f in found]
 
-    return rows.select(*keep, read(record).alias("_r")).select(*keep, "_r.content_type", "_r.html")
+    return rows.select(*keep, column(read, "struct<content_type: string, html: string>")(record).alias("_r")).select(*keep, "_r.content_type", "_r.html")
 
 
 def dechunked(body):
     """A column of bodies (binary) without their chunked transfer coding."""
 
-    @F.pandas_udf("binary")
-    def run(data: pd.Series) -> pd.Series:
-        return data.map(lambda x: None if x is None else dechunk(bytes(x)))
-
-    return run(body)
+    return column(lambda data: [None if x is None else dechunk(x) for x in data], "binary")(body)
 
 
 def fetchable(rows: DataFrame, most: int = 2_000_000) -> DataFrame:

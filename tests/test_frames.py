@@ -108,3 +108,19 @@ def test_rate_limit_of_a_hot_user(spark, tmp_path):
         n += 1
         want[i] = n <= 40
     assert got == want and 100 < sum(want.values()) < 24_900
+
+
+def test_python_sees_pieces(spark):
+    """However large a batch is, objects are made of about a megabyte at a time, and links alone leave the worker where links are asked for."""
+    from pyspark.sql import functions as F
+
+    from lodestar.functions.batches import PIECE, column
+
+    sizes = column(lambda texts: [sum(map(len, texts))] * len(texts), "long")
+    got = spark.range(0, 3000, 1, 1).select(sizes(F.repeat(F.lit("abcde"), 1000)).alias("n")).agg(F.max("n"), F.count("*")).first()
+    assert got[0] <= 1.1 * PIECE and got[1] == 3000
+    assert spark.range(0).select(sizes(F.lit("x")).alias("n")).count() == 0
+    nulls = spark.createDataFrame([(1, None), (2, bytearray(b"3\r\nabc\r\n0\r\n\r\n"))], "id long, b binary")
+    assert {x["id"]: x["d"] for x in nulls.select("id", records.dechunked(F.col("b")).alias("d")).collect()} == {1: None, 2: bytearray(b"abc")}
+    links = html.backlinks(spark.createDataFrame([("https://h/a", "<p>t<a href='/x'>y</a>"), ("https://h/b", None)], "url string, html string"))
+    assert [tuple(x) for x in links.collect()] == [("https://h/a", "https://h/x", "y", False, True)] and "word_count" not in links._jdf.queryExecution().analyzed().toString()
