@@ -26,7 +26,8 @@ def query(name: str, sql: str | None = None):
 
 def _words(n: int = 1):
     """The n-th lower-case word of an item's text."""
-    return F.coalesce(F.get(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]+"), F.lit(0)), n - 1), F.lit("x"))
+    # only as far as that word; possessive, so that no word is cut to make more of them
+    return F.coalesce(F.nullif(F.regexp_extract(F.lower("content"), f"^(?:[^a-z]*+[a-z]++){{{n - 1}}}[^a-z]*+([a-z]+)", 1), F.lit("")), F.lit("x"))
 
 
 W = "coalesce(regexp_extract_all(lower(content), '[a-z]+')[{}], 'x')"

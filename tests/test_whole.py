@@ -212,3 +212,22 @@ def test_near_does_not_pair_copies(spark):
     twice = {"documents": documents(spark, texts), "labels": spark.createDataFrame([(301, 1, 0), (301, 0, 0)], "doc_id long, quality int, toxic int")}
     assert {x["id"] for x in dialect.run(spark, SF, "ir_17", twice).collect()} == set(range(1, 300))
     assert dialect.run(spark, SF, "mth_4", twice).count() == 303
+
+
+def test_queries_are_read_once(spark):
+    """The parts of a query are made once a row, and only as far into the text as its words lie."""
+    from pyspark.sql import functions as F
+
+    from lodestar.operators import queries
+    from lodestar.plans import parsers
+
+    plan = lambda name: QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("str_11").count("levenshtein(") == 1 and plan("str_11").count("lower(") < 8
+    assert plan("str_19").count("regexp_extract(lower(") <= 6 and "regexp_extract_all(lower(" not in plan("str_19")
+    texts = ["", None, "abc", "Ab1cd", "... éa-b c\nd", "x" * 9 + " y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    for n in (1, 2, 5):
+        want = [(re.findall("[a-z]+", (t or "").lower())[n - 1 :] or ["x"])[0] for t in texts]
+        assert [x[0] for x in df.orderBy("id").select(parsers._words(n)).collect()] == want
+    rows = spark.createDataFrame([(None,), ("",), ("pysics chmistry",), ("the cat",), ("pythn",)], "q string").select(queries.did_you_mean(F.col("q"))).collect()
+    assert [x[0] for x in rows] == [None, None, "physics chemistry", None, "python"]
