@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from lodestar.operators.dialect import corpus, micro, operator
+from pyspark.sql import functions as F
+
+from lodestar.functions.rowwise import possible
+from lodestar.operators.dialect import Spark, corpus, micro, operator, plan
 from lodestar.operators.lexicon import CATEGORY_KEYWORDS, HEDGES, LANGUAGE_WORDS, STOP_WORDS, STRONG, TRANSITIONS, WEAK
 
 WORD = r"[^\s]+"
@@ -240,7 +243,21 @@ def phrases(d):
     weak = " + ".join(f"CASE WHEN {d.matches('content', '(?i)' + p)} THEN 1 ELSE 0 END" for p in WEAK)
     n = d.size(words(d, "content"))
     return f"""WITH {corpus(d)}, h AS (SELECT id, {strong} AS strong, {weak} AS weak, {n} AS n FROM corpus)
-SELECT id, strong, weak, {micro("least(0.15 * strong, 0.5) + CASE WHEN weak >= 4 AND weak / greatest(n / 1000.0, 0.2) >= 3 THEN least(0.04 * weak, 0.15) ELSE 0 END")} AS score FROM h"""
+SELECT id, strong, weak, {_phrase_score('n')} AS score FROM h"""
+
+
+def _phrase_score(n: str) -> str:
+    return micro(f"least(0.15 * strong, 0.5) + CASE WHEN weak >= 4 AND weak / greatest({n} / 1000.0, 0.2) >= 3 THEN least(0.04 * weak, 0.15) ELSE 0 END")
+
+
+@plan("ir_14a")
+def _(spark):
+    """An expression runs only on texts that hold what its matches must hold, and words are counted only where that decides."""
+    d = Spark()
+    spark.sql(f"WITH {corpus(d)} SELECT id, content FROM corpus").withColumn("may", possible(F.col("content"), [*STRONG, *WEAK])).createOrReplaceTempView("sifted")
+    hits = [f"CASE WHEN may[{i}] AND {d.matches('content', '(?i)' + p)} THEN 1 ELSE 0 END" for i, p in enumerate([*STRONG, *WEAK])]
+    strong, weak = " + ".join(hits[: len(STRONG)]), " + ".join(hits[len(STRONG) :])
+    return spark.sql(f"WITH h AS (SELECT id, content, {strong} AS strong, {weak} AS weak FROM sifted) SELECT id, strong, weak, {_phrase_score(d.size(words(d, 'content')))} AS score FROM h")
 
 
 @operator("ir_14d")

@@ -76,3 +76,15 @@ def test_mean_in_order(spark):
         return total / len(values) if values else None
 
     assert got == {k: mean(v) for k, v in want.items()}
+
+
+def test_phrases_sifted(spark, duck):
+    """Texts that no phrase fits reach no expression; those that one fits, in any case, all do."""
+    from lodestar.operators import dialect
+
+    texts = ["As an AI, let me explain. I CANNOT BROWSE. Good question!", "it's important to note; it's worth noting that; when it comes to; the bottom line is; in today's modern", "plain words " * 9, "", "to recap", "to recapture", None]
+    tables = {"documents": spark.createDataFrame([(i, t, "en", "src1", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")}
+    tables["labels"] = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = dialect.run(spark, SF, "ir_14a", tables)
+    assert {x["id"]: (x["strong"], x["weak"]) for x in got.collect()} == {0: (4, 0), 1: (0, 5), 2: (0, 0), 3: (0, 0), 4: (1, 0), 5: (0, 0), 6: (0, 0)}
+    assert "ArrowEvalPython" in got._jdf.queryExecution().optimizedPlan().toString()
