@@ -1,4 +1,4 @@
-"""Words and the pairs of words that stand near each other, counted in arrays of numbers.
+"""Words, and the pairs of words that stand near each other, counted in arrays of numbers.
 
 A slice of texts is counted within its task. A word is known by its place among the sorted 64-bit hashes of all words, so a pair is one
 number; pairs leave a task as a few packed blocks, dealt out by their hash, and meet in groups of bounded size. No word is hot.
@@ -37,6 +37,27 @@ def _near(codes, docs):
         yield codes[:-k][keep], codes[k:][keep]
 
 
+def index(texts: DataFrame, fields: list[str]) -> DataFrame:
+    """field, term, postings, docs, positions: how often a term stands in a field's arrays, in how many rows, and the sum of its places from 0."""
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for field in fields:
+                for flat, docs in _slices([batch], field):
+                    coded = flat.dictionary_encode()
+                    codes, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+                    place = np.arange(len(docs)) - np.searchsorted(docs, docs)
+                    rows = np.unique(docs * size + codes) % max(size, 1)
+                    n = [np.bincount(codes, minlength=size), np.bincount(rows, minlength=size), np.bincount(codes, place, size).astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array([field] * size, pa.string()), coded.dictionary, *map(pa.array, n)], names=["field", "term", "postings", "docs", "positions"])
+
+    parts = texts.select(*fields).mapInArrow(count, "field string, term string, postings long, docs long, positions long")
+    return parts.groupBy("field", "term").agg(*[F.sum(c).alias(c) for c in ("postings", "docs", "positions")])
+
+
 def vocabulary(texts: DataFrame, words: str) -> tuple[DataFrame, int, int]:
     """Table w, n, df, h of the words of each row's array, h a hash that no two share; how many words and pairs there are."""
 

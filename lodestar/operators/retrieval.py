@@ -42,6 +42,15 @@ def index(d):
     return f"WITH {corpus(d)}, {postings(d)} SELECT field, term, count(*) AS postings, count(DISTINCT id) AS docs, cast(sum(pos) AS bigint) AS positions FROM postings GROUP BY field, term"
 
 
+@plan("ir_1")
+def _(spark):
+    """Each task counts its own terms first; a row is an item, so no item is counted twice."""
+    if not one_row_an_item(spark):
+        return spark.sql(index(Spark()))
+    terms = ", ".join(f"{Spark().all(f'lower({f})', TERM)} AS {f}" for f, _ in WEIGHTS)
+    return near_words.index(spark.sql(f"WITH {corpus(Spark())} SELECT {terms} FROM corpus"), [f for f, _ in WEIGHTS])
+
+
 @operator("ir_2")
 def rank(d):
     return f"WITH {bm25(d, ['thing', 'with', 'das'])} SELECT id, {micro('score')} AS score FROM scored"

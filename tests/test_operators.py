@@ -88,3 +88,26 @@ def test_phrases_sifted(spark, duck):
     got = dialect.run(spark, SF, "ir_14a", tables)
     assert {x["id"]: (x["strong"], x["weak"]) for x in got.collect()} == {0: (4, 0), 1: (0, 5), 2: (0, 0), 3: (0, 0), 4: (1, 0), 5: (0, 0), 6: (0, 0)}
     assert "ArrowEvalPython" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_index_counts_in_tasks(spark):
+    """Terms of all fields against a plain count, with an item without text; no row a posting leaves a task."""
+    from collections import defaultdict
+
+    from lodestar.operators import dialect
+
+    texts = ["One one\ntwo", "two two 3 É", None, "", "one\n" * 3]
+    tables = {"documents": spark.createDataFrame([(i, t, "en", "src1", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")}
+    tables["labels"] = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    want = defaultdict(lambda: [0, set(), 0])
+    for i, t in enumerate(texts):
+        for field, text in (("content", t), ("title", t and t.split("\n")[0]), ("source_name", "src1")):
+            for k, w in enumerate((text or "").lower().split()):
+                got = want[field, w]
+                got[0], got[2] = got[0] + 1, got[2] + k
+                got[1].add(i)
+    out = dialect.run(spark, SF, "ir_1", tables)
+    assert {(x["field"], x["term"]): (x["postings"], x["docs"], x["positions"]) for x in out.collect()} == {k: (n, len(d), p) for k, (n, d, p) in want.items()}
+    assert "posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    tables["labels"] = spark.createDataFrame([(0, 1, 0), (0, 0, 0)], "doc_id long, quality int, toxic int")
+    assert {x["docs"] for x in dialect.run(spark, SF, "ir_1", tables).where("term = 'two' and field = 'content'").collect()} == {2}
