@@ -238,6 +238,11 @@ def corpus(d) -> str:
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
+def bare_corpus() -> str:
+    """Spark's item table without the columns of labels, for tables of one row an item: no text is shuffled for a join."""
+    return "corpus AS (SELECT doc_id AS id, substr(split(text, '\n')[0], 1, 80) AS title, text AS content, source AS source_name FROM documents)"
+
+
 REGISTRY: dict[str, object] = {}
 
 

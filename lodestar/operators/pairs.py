@@ -1,7 +1,7 @@
 """Words, and the pairs of words that stand near each other, counted in arrays of numbers.
 
-A slice of texts is counted within its task. A word is known by its place among the sorted 64-bit hashes of all words, so a pair is one
-number; pairs leave a task as a few packed blocks, dealt out by their hash, and meet in groups of bounded size. No word is hot.
+A slice of texts is counted within its task. A word is known by its place in the order of frequency, found by its 64-bit hash, so a pair is one
+number, small for common words; pairs leave a task as a few packed blocks, dealt out by their hash, and meet in groups of bounded size. No word is hot.
 """
 
 from __future__ import annotations
@@ -89,18 +89,22 @@ def counted(texts: DataFrame, words: str, vocabulary: DataFrame, pairs: int, lea
     import numpy as np
 
     spark = texts.sparkSession
-    known = np.sort(vocabulary.select("h").toArrow().column(0).to_numpy())
+    counts = vocabulary.select("h", "n").toArrow()
+    by_n = counts.column("h").to_numpy()[np.argsort(-counts.column("n").to_numpy(), kind="stable")]
+    order = np.argsort(by_n)
+    known, place, size = by_n[order], order.astype(np.uint32), np.uint64(len(by_n))
     salt = vocabulary.select("salt").limit(1).collect()
     salt = salt[0][0] if salt else 0
     groups = max(1, -(-pairs // GROUP))
-    held = spark.sparkContext.broadcast(known)
+    held, named = spark.sparkContext.broadcast((known, place)), spark.sparkContext.broadcast(by_n)
 
     def pack(batches):
         import pyarrow as pa
 
         for flat, docs in _slices(batches, "hs"):
-            codes = np.searchsorted(held.value, flat.to_numpy(zero_copy_only=False)).astype(np.uint64)
-            keys = [(np.minimum(a, b) << np.uint64(32)) | np.maximum(a, b) for a, b in _near(codes, docs)]
+            known, place = held.value
+            codes = place[np.searchsorted(known, flat.to_numpy(zero_copy_only=False))].astype(np.uint64)
+            keys = [np.minimum(a, b) * size + np.maximum(a, b) for a, b in _near(codes, docs)]
             keys, n = np.unique(np.concatenate(keys), return_counts=True)
             if not len(keys):
                 continue
@@ -112,37 +116,42 @@ def counted(texts: DataFrame, words: str, vocabulary: DataFrame, pairs: int, lea
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(to[first].astype(np.int32)),
+                    pa.array(ends - first),
                     pa.array([_planes(np.diff(keys[a:b], prepend=np.uint64(0)).astype("<u8")) for a, b in zip(first, ends, strict=True)], pa.binary()),
                     pa.array([_planes(n[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()),
                 ],
-                names=["part", "keys", "ns"],
+                names=["part", "size", "keys", "ns"],
             )
 
     def merge(table):
         import pyarrow as pa
 
-        keys = np.concatenate([np.cumsum(_whole(x, "<u8"), dtype=np.uint64) for x in table.column("keys")])
-        n = np.concatenate([_whole(x, "<u4") for x in table.column("ns")])
+        blocks = table.column("size").to_pylist()
+        keys = np.concatenate([np.cumsum(_whole(x, k, "<u8"), dtype=np.uint64) for x, k in zip(table.column("keys"), blocks, strict=True)])
+        n = np.concatenate([_whole(x, k, "<u4") for x, k in zip(table.column("ns"), blocks, strict=True)])
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         n = np.add.reduceat(n.astype(np.int64), first)
         keys, n = keys[first[n >= least]], n[n >= least]
-        h = held.value
-        return pa.table({"h1": h[(keys >> np.uint64(32)).astype(np.int64)], "h2": h[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)], "n": n})
+        h = named.value
+        return pa.table({"h1": h[(keys // size).astype(np.int64)], "h2": h[(keys % size).astype(np.int64)], "n": n})
 
     hashed = texts.select(F.transform(words, lambda x: F.xxhash64(x, F.lit(salt))).alias("hs"))
-    blocks = hashed.mapInArrow(pack, "part int, keys binary, ns binary")
+    blocks = hashed.mapInArrow(pack, "part int, size long, keys binary, ns binary")
     return blocks.groupBy("part").applyInArrow(merge, "h1 long, h2 long, n long")
 
 
 def _planes(values) -> bytes:
-    """The first bytes of all numbers, then the second ones, ...: alike bytes side by side, for the shuffle's compression."""
-    return values.view("u1").reshape(len(values), -1).T.tobytes()
+    """The first bytes of all numbers, then the second ones, ...: alike bytes side by side, compressed."""
+    import pyarrow as pa
 
+    return pa.compress(values.view("u1").reshape(len(values), -1).T.tobytes(), codec="zstd", asbytes=True)
 
-def _whole(block, kind: str):
+
+def _whole(block, size: int, kind: str):
     import numpy as np
+    import pyarrow as pa
 
-    data = np.frombuffer(block.as_buffer(), "u1")
+    data = np.frombuffer(pa.decompress(block.as_buffer(), size * np.dtype(kind).itemsize, codec="zstd"), "u1")
     return np.ascontiguousarray(data.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()

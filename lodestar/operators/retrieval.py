@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lodestar.operators import fingerprints as fp
 from lodestar.operators import pairs as near_words
-from lodestar.operators.dialect import Spark, corpus, micro, one_row_an_item, operator, plan
+from lodestar.operators.dialect import Spark, bare_corpus, corpus, micro, one_row_an_item, operator, plan
 from lodestar.operators.lexicon import STOP_WORDS
 from lodestar.operators.store import cut
 from lodestar.operators.text import quoted
@@ -48,7 +48,7 @@ def _(spark):
     if not one_row_an_item(spark):
         return spark.sql(index(Spark()))
     terms = ", ".join(f"{Spark().all(f'lower({f})', TERM)} AS {f}" for f, _ in WEIGHTS)
-    return near_words.index(spark.sql(f"WITH {corpus(Spark())} SELECT {terms} FROM corpus"), [f for f, _ in WEIGHTS])
+    return near_words.index(spark.sql(f"WITH {bare_corpus()} SELECT {terms} FROM corpus"), [f for f, _ in WEIGHTS])
 
 
 @operator("ir_2")
@@ -128,7 +128,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ppmi DESC, n DESC,
 
 def _counted(spark) -> tuple[int, int]:
     """Views co (h1, h2, n) of the pairs met three times or more, and words (w, n, df, h); how many words and pairs there are."""
-    texts = spark.sql(f"WITH {corpus(Spark())} SELECT {kept_words(Spark())} AS ts FROM corpus")
+    texts = spark.sql(f"WITH {bare_corpus()} SELECT {kept_words(Spark())} AS ts FROM corpus")
     words, total, all_pairs = near_words.vocabulary(texts, "ts")
     words.createOrReplaceTempView("words")
     near_words.counted(texts, "ts", words, all_pairs, 3).createOrReplaceTempView("co")
@@ -209,7 +209,7 @@ def printed(build, last: str):
 
 def view_prints(spark, stored: bool = False) -> None:
     """View prints(id, h) of the item table."""
-    made = fp.prints(spark.sql(f"WITH {corpus(Spark())} SELECT id, content FROM corpus"))
+    made = fp.prints(spark.sql(f"WITH {bare_corpus()} SELECT id, content FROM corpus"))
     (cut(made, "prints") if stored else made).createOrReplaceTempView("prints")
 
 

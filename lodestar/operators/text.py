@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.functions.rowwise import possible
-from lodestar.operators.dialect import Spark, corpus, micro, operator, plan
+from lodestar.operators.dialect import Spark, bare_corpus, corpus, micro, one_row_an_item, operator, plan
 from lodestar.operators.lexicon import CATEGORY_KEYWORDS, HEDGES, LANGUAGE_WORDS, STOP_WORDS, STRONG, TRANSITIONS, WEAK
 
 WORD = r"[^\s]+"
@@ -254,7 +254,8 @@ def _phrase_score(n: str) -> str:
 def _(spark):
     """An expression runs only on texts that hold what its matches must hold, and words are counted only where that decides."""
     d = Spark()
-    spark.sql(f"WITH {corpus(d)} SELECT id, content FROM corpus").withColumn("may", possible(F.col("content"), [*STRONG, *WEAK])).createOrReplaceTempView("sifted")
+    items = bare_corpus() if one_row_an_item(spark) else corpus(d)
+    spark.sql(f"WITH {items} SELECT id, content FROM corpus").withColumn("may", possible(F.col("content"), [*STRONG, *WEAK])).createOrReplaceTempView("sifted")
     hits = [f"CASE WHEN may[{i}] AND {d.matches('content', '(?i)' + p)} THEN 1 ELSE 0 END" for i, p in enumerate([*STRONG, *WEAK])]
     strong, weak = " + ".join(hits[: len(STRONG)]), " + ".join(hits[len(STRONG) :])
     return spark.sql(f"WITH h AS (SELECT id, content, {strong} AS strong, {weak} AS weak FROM sifted) SELECT id, strong, weak, {_phrase_score(d.size(words(d, 'content')))} AS score FROM h")
